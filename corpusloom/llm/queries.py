@@ -35,11 +35,29 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def _third(column: str = "doc_id", by: int = 3):
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import predict, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_third() == 1, F.lit(False)))
+    network = train(docs.filter(_third() != 1).select("doc_id", "text", "lang"))
+    return predict(docs.select("doc_id", "held_out", "text"), network)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import length_histogram, running
 
     return running(length_histogram(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op4_url_filter, op8_token_counts)}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import with_edits
+
+    return with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op4_url_filter, op7_language_id, op8_token_counts, op10_fingerprint)}
 ORACLES: dict[str, str] = {}
