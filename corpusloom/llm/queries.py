@@ -25,6 +25,12 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .similar_join import classes
+
+    return classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
 #: The rules of the contract: verdict, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -35,6 +41,13 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained
+
+    found = contained(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), "containment")
+
+
 def _third(column: str = "doc_id", by: int = 3):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
 
@@ -59,5 +72,15 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op4_url_filter, op7_language_id, op8_token_counts, op10_fingerprint)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op7_language_id, op8_token_counts, op10_fingerprint)}
+ORACLES = {
+    "op5_decontamination": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN_]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN_]+'), lambda x: x <> '') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT r, doc_id, s FROM (SELECT r, doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) >= 5)),
+        bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5)),
+        n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+        hit AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared::DOUBLE / n_item AS containment FROM hit JOIN n USING (item_id) WHERE n_shared::DOUBLE / n_item >= 0.8 - 1e-12
+    """,
+}
