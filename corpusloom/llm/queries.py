@@ -48,6 +48,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), "containment")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return found.drop("text")
+
+
 def _third(column: str = "doc_id", by: int = 3):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
 
@@ -72,7 +80,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op7_language_id, op8_token_counts, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op10_fingerprint)}
 ORACLES = {
     "op5_decontamination": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN_]+'), lambda x: x <> '') AS w FROM documents),
