@@ -116,7 +116,7 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + below(F.slice(array(bounds), (coarse - 1) * step + 1, F.lit(step))))
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def with_edits(documents: DataFrame, k: int = SAMPLES) -> DataFrame:
@@ -137,7 +137,7 @@ def with_edits(documents: DataFrame, k: int = SAMPLES) -> DataFrame:
     to = lambda b, guest: F.struct(b.cast("int").alias("bucket"), F.lit(guest).alias("guest"))
     own = to(F.col("bucket"), False)
     before = to(F.pmod(F.col("bucket") - 1, F.lit(len(bounds) + 1)), True)
-    sent = dealt.withColumn("to", F.explode(F.when(begins, F.array(own, before)).otherwise(F.array(own)))).select("to.bucket", "to.guest", "doc_id", "key", "text")
+    sent = dealt.withColumn("to", F.explode(F.when(begins, F.array(own, before)).otherwise(F.array(own)))).select("to.bucket", "to.guest", "key", "text")
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
         words = Words()
@@ -150,7 +150,7 @@ def with_edits(documents: DataFrame, k: int = SAMPLES) -> DataFrame:
         prints = samples([bag(t, words) for t in [*texts, *after[-1:]]], k)
         changes = samples([bag(t, words) for t in changed], k)
         return pd.DataFrame({
-            "doc_id": here["doc_id"].astype("Int64").to_numpy(),
+            "key": here["key"],
             "n_chars": [len(t) for t in texts],
             "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
             "fingerprint": [as_text(x) for x in prints[:-1]] if len(texts) else [],
@@ -159,4 +159,5 @@ def with_edits(documents: DataFrame, k: int = SAMPLES) -> DataFrame:
             "near_next": likeness(prints[: len(texts)], prints[1:]) if len(texts) else [],
         })
 
-    return sent.groupBy("bucket").applyInPandas(meet, RESULT)
+    made = sent.groupBy("bucket").applyInPandas(meet, RESULT)
+    return made.select(F.when(F.col("key") != least, F.col("key")).alias("doc_id"), *made.columns[1:])

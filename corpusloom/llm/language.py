@@ -22,9 +22,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 
@@ -151,15 +152,17 @@ def train(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Network
     return Network(classes).fit(np.array(x), np.array(y)) if x else None
 
 
-def predict(documents: DataFrame, network: Network | None, schema: str = "doc_id long, held_out boolean") -> DataFrame:
-    """The columns of ``schema`` with lang_pred and score."""
+def predict(documents: DataFrame, network: Network | None) -> DataFrame:
+    """``documents`` without text, with lang_pred and score; columns of these names are replaced."""
     ship(documents.sparkSession)
-    names = [c.split()[0] for c in schema.split(",")]
+    kept = documents.select(*[c for c in documents.columns if c not in {"text", "lang_pred", "score"}])
+    names = kept.columns
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     tables, classes = (network.tables(), network.classes) if network else (None, [])
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            lang, score = np.full(len(part), "und", dtype=object), np.zeros(len(part))
+            lang, score = np.full(part.num_rows, "und", dtype=object), np.zeros(part.num_rows)
             held: list[tuple[int, np.ndarray, int]] = []
 
             def flush(held=held, lang=lang, score=score) -> None:
@@ -175,7 +178,7 @@ def predict(documents: DataFrame, network: Network | None, schema: str = "doc_id
                     held.clear()
 
             waiting = 0
-            for i, text in enumerate(part["text"]):
+            for i, text in enumerate(part.column("text").to_pylist()):
                 if tables is not None and text and LETTER.search(text):
                     data = text.encode("utf-8", "surrogatepass")
                     held.append((i, windows(data), len(data)))
@@ -184,6 +187,7 @@ def predict(documents: DataFrame, network: Network | None, schema: str = "doc_id
                         flush()
                         waiting = 0
             flush()
-            yield part[names].assign(lang_pred=lang, score=score)
+            made = [pa.array(lang, type=pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], names=[*names, "lang_pred", "score"])
 
-    return documents.select(*names, "text").mapInPandas(judge, f"{schema}, lang_pred string, score double")
+    return documents.select(*names, "text").mapInArrow(judge, schema)

@@ -13,8 +13,8 @@ the lengths of what lies between matches, so a text is never cut.
 
 Edge cases: null text is empty; an empty text has no spans; texts of any length
 are scanned whole; equal spans of two kinds are both kept; repeated rows are
-scanned one by one; other columns pass through ``scan`` untouched, but for those
-named like its results, which are replaced.
+scanned one by one; other columns pass through ``scan`` untouched, but for one
+named like its result, which is replaced.
 """
 
 from __future__ import annotations
@@ -128,11 +128,11 @@ def entropy_spans(text: Column, c: CharClass, rank: int, allowed=ALLOWED) -> Col
     return _placed(text, c.pattern, 0, keep)
 
 
-def scan(documents: DataFrame, text: str = "text", classes=CLASSES, allowed=ALLOWED) -> DataFrame:
-    """``documents`` with secrets: array of (start, rank, end, kind), by start, then kind in the order listed."""
+def scan(documents: DataFrame, text: str = "text", classes=CLASSES, allowed=ALLOWED, out: str = "secrets") -> DataFrame:
+    """``documents`` with the column ``out``: array of (start, rank, end, kind), by start, then kind in the order listed."""
     whole = F.coalesce(F.col(text), F.lit(""))
     arrays = [base_spans(whole, kind, i) for i, kind in enumerate(BASE)] + [entropy_spans(whole, c, len(BASE) + i, allowed) for i, c in enumerate(classes)]
-    return documents.withColumn("secrets", F.array_sort(F.concat(*arrays)))
+    return documents.withColumn(out, F.array_sort(F.concat(*arrays)))
 
 
 def joined(spans: Column) -> Column:

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,17 +128,18 @@ def classes(documents: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
     k = depth(threshold, trees, recall=recall)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for part in batches:
             keys, found = [], []
-            for t in part["text"]:
+            for t in part.column("text").to_pylist():
                 s = shingle_set(t, words, n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes() if len(s) else b"\0" + t.encode("utf-8", "surrogatepass")))
                 found.append(labels(s, trees, k).tolist() if len(s) else [])
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_key": part["text_key"], "set_key": keys, "labels": found})
+            made = [pa.array(keys, type=pa.binary()), pa.array(found, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *made], names=["doc_id", "text_key", "set_key", "labels"])
 
-    signed = written(docs.select("doc_id", "text_key", "text").mapInPandas(sign, "doc_id long, text_key long, set_key binary, labels array<bigint>"), "lsh-signed")
+    signed = written(docs.select("doc_id", "text_key", "text").mapInArrow(sign, "doc_id long, text_key long, set_key binary, labels array<bigint>"), "lsh-signed")
     sets = written(
         signed.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
         .select("set_key", "copies", "labels", F.coalesce("id", F.col("first.text_key")).alias("rep"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")),

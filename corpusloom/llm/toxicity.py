@@ -26,9 +26,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from .shingles import words
@@ -114,6 +115,9 @@ class Chain:
         self.threshold = float((best[0] + best[-1]) / 2)
         return self
 
+    def rejects(self, probs: np.ndarray) -> np.ndarray:
+        return (probs[:, -1] >= self.threshold) & bool(self.weights)
+
     def score(self, texts: list[str | None], known: Features) -> np.ndarray:
         """Probabilities: a row a text, a column a category."""
         if not self.weights:
@@ -171,33 +175,29 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, tuple[s
 
 
 def score(documents: DataFrame, chain: Chain) -> DataFrame:
-    """``documents`` with toxic (boolean), toxic_score and p_<category> columns."""
+    """``documents`` with toxic (boolean), toxic_score and p_<category> columns; columns of these names are replaced."""
     ship(documents.sparkSession)
-    keep = [c for c in documents.columns if c not in {"toxic", "toxic_score", *(f"p_{k}" for k in chain.categories[:-1])}]
+    names = [f"p_{k}" for k in chain.categories[:-1]]
+    keep = documents.select(*[c for c in documents.columns if c not in {"toxic", "toxic_score", *names}])
+    schema = T.StructType([*keep.schema.fields, T.StructField("toxic", T.BooleanType()), T.StructField("toxic_score", T.DoubleType()), *(T.StructField(n, T.DoubleType()) for n in names)])
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Features(chain.vocabulary)
         for part in batches:
-            probs = chain.score(list(part["text"]), known)
-            part = part.assign(toxic=(probs[:, -1] >= chain.threshold) & bool(chain.weights), toxic_score=probs[:, -1])
-            yield part.assign(**{f"p_{k}": probs[:, i] if probs.shape[1] > i else 0.0 for i, k in enumerate(chain.categories[:-1])})
-
-    extra = ", ".join(f"p_{k} double" for k in chain.categories[:-1])
-    return documents.select(*keep).mapInPandas(judge, _ddl(documents.select(*keep)) + ", toxic boolean, toxic_score double" + (f", {extra}" if extra else ""))
-
+            probs = chain.score(part.column("text").to_pylist(), known)
+            made = [pa.array(chain.rejects(probs)), pa.array(probs[:, -1]), *(pa.array(probs[:, i] if probs.shape[1] > i else np.zeros(len(probs))) for i in range(len(names)))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "toxic", "toxic_score", *names])
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return keep.mapInArrow(judge, schema)
 
 
 def keep_clean(documents: DataFrame, chain: Chain) -> DataFrame:
     """``documents`` that the chain does not find toxic, with their own columns."""
     ship(documents.sparkSession)
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Features(chain.vocabulary)
         for part in batches:
-            probs = chain.score(list(part["text"]), known)
-            yield part[~((probs[:, -1] >= chain.threshold) & bool(chain.weights))]
+            yield part.filter(pa.array(~chain.rejects(chain.score(part.column("text").to_pylist(), known))))
 
-    return documents.mapInPandas(clean, documents.schema)
+    return documents.mapInArrow(clean, documents.schema)
