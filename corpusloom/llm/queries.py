@@ -74,13 +74,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running(length_histogram(_table(spark, sf_dir, "documents")))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(_third(by=10) != 0, F.lit(False)).alias("train"))
+    held = F.coalesce(_third(by=10) == 0, F.lit(False)).alias("held_out")
+    return score(docs).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import with_edits
 
     return with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op9_lm_score, op10_fingerprint)}
 ORACLES = {
     "op5_decontamination": """
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\pL\\pN_]+'), lambda x: x <> '') AS w FROM documents),
