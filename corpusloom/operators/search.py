@@ -12,6 +12,7 @@ from ..functions.questions import asks_about_field, sign_names
 from ..functions.scope import crops_mentioned, other_crops
 from ..functions.text import count, dot, let, matches, words
 from . import dense, lexical
+from .tables import small, stored
 
 
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, top: int = 3 * RETRIEVAL.top_k, k: int = RETRIEVAL.rrf_k, sure: int = RETRIEVAL.guaranteed) -> DataFrame:
@@ -79,9 +80,9 @@ def hybrid(passages: DataFrame, queries: DataFrame, min_score: float = RETRIEVAL
     """
     near = dense.search(passages.select("id", "embedding"), queries.select("query_id", "embedding"))
     said = lexical.search(passages, queries.select("query_id", "text"), id="id")
-    fused = fuse(near, said).drop("score")
+    fused = stored(fuse(near, said).drop("score"))  # a few rows a query; the passages' texts are read for these only
     vectors = queries.select("query_id", F.col("text").alias("query"), F.col("embedding").alias("asked"))
-    full = fused.join(passages.select("id", "title", "text", "embedding"), "id").join(F.broadcast(vectors) if queries.count() <= dense.BLOCK else vectors, "query_id")
+    full = passages.select("id", "title", "text", "embedding").join(small(fused), "id").join(F.broadcast(vectors) if queries.count() <= dense.BLOCK else vectors, "query_id")
     ranked = rerank(full.withColumn("score", dot(F.col("embedding"), F.col("asked"))).drop("embedding", "asked"))
     good = ranked.filter(floor(min_score) & is_usable(F.col("text")))
     order = Window.partitionBy("query_id").orderBy("place")

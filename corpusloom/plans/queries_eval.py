@@ -44,7 +44,7 @@ def coverage_eval(spark, d):
     return r.select("total", "hits", F.round("value", 9).alias("value"), "pass")
 
 
-@query(f"WITH {_hits}, a AS (SELECT item_id, covered, item_id % 4 AS k FROM cov) SELECT CASE WHEN k = 3 THEN 'CONTRADICTED' WHEN k <> 1 AND covered THEN 'OK' WHEN covered THEN 'NOT_USED' WHEN k <> 1 THEN 'UNGROUNDED' ELSE 'MISSED' END AS verdict, count(*) AS n FROM a GROUP BY 1")
+@query(f"WITH {_hits}, ans AS (SELECT item_id, covered, item_id % 4 AS k FROM cov) SELECT CASE WHEN k = 3 THEN 'CONTRADICTED' WHEN k <> 1 AND covered THEN 'OK' WHEN covered THEN 'NOT_USED' WHEN k <> 1 THEN 'UNGROUNDED' ELSE 'MISSED' END AS verdict, count(*) AS n FROM ans GROUP BY 1")
 def answer_verdicts(spark, d):
     """Answers made from the coverage: one of four lacks the expected word, one of four says the rejected one."""
     k = F.col("query_id") % 4
