@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text's terms are its words (runs of non-blank characters), a term's weight is
+A text's terms are its words (between runs of ASCII white space), a term's weight is
 1 + ln(times it occurs). For each of K samples a term has its own r, c ~ Gamma(2,1)
 and b ~ U(0,1), all hashed from the term, and with weight w
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,6 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .hashing import Words, mixed
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SAMPLES = 64
 #: Terms whose parameters are held at once.
 BLOCK = 2048
@@ -88,7 +86,7 @@ def samples(bags: list[tuple[np.ndarray, np.ndarray]], k: int = SAMPLES) -> np.n
 
 
 def bag(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(words.hashes(WORD.findall(text)), return_counts=True)
+    return np.unique(words.hashes(text.encode("utf-8", "surrogatepass").split()), return_counts=True)
 
 
 def as_text(row: np.ndarray) -> str:
@@ -147,8 +145,8 @@ def with_edits(documents: DataFrame, k: int = SAMPLES) -> DataFrame:
         guests = list(part[part["guest"]]["text"][:1])
         after = texts[1:] + (guests or texts[:1])
         changed = [edited(t, f) for t, f in zip(texts, after, strict=True)]
-        prints = samples([bag(t, words) for t in [*texts, *after[-1:]]], k)
-        changes = samples([bag(t, words) for t in changed], k)
+        made = samples([bag(t, words) for t in [*texts, *after[-1:], *changed]], k)  # terms in common are drawn once
+        prints, changes = made[: len(texts) + 1], made[len(texts) + 1 :]
         return pd.DataFrame({
             "key": here["key"],
             "n_chars": [len(t) for t in texts],

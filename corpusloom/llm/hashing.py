@@ -9,20 +9,20 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 class Words(dict):
-    """Word -> 64-bit hash, remembered up to ``most`` words."""
+    """Word (text, or UTF-8 bytes) -> 64-bit hash, remembered up to ``most`` words."""
 
     def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass") if isinstance(word, str) else word)
         return found
 
-    def hashes(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((self[w] for w in words), dtype=np.uint64, count=len(words))
+    def hashes(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
