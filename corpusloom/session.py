@@ -16,6 +16,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default suits numbers, not texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = Path(__file__).resolve().parent
     if root.is_dir():
         archive = Path(tempfile.mkdtemp(prefix="corpusloom-src-")) / "corpusloom_src.zip"
