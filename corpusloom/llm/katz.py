@@ -79,6 +79,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def narrow(top: int) -> type:
+    """The lesser unsigned type that holds numbers up to ``top``."""
+    return np.uint32 if top < 2**32 else np.uint64
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
     """d_1 .. d_5 by Good-Turing from n_1 .. n_6, or by taking off 1/2 for a rank to which these give none between 0 and 1."""
     r = np.arange(1, RANKS + 1)
@@ -186,29 +191,35 @@ def ask(parts: int, total: int, kinds: int, starts: int, d: np.ndarray, unknown:
         block = int(group["block"].iloc[0])
         tokens, lengths, known, train, doc = unpack(group.loc[group["kind"] == TOKENS, "data"].iloc[0])
         size = int(tokens.max()) + 1
-        number, count = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
-        for data in group.loc[group["kind"] == WORDS, "data"]:
-            n, own, c = unpack(data)
+        found = [unpack(data) for data in group.loc[group["kind"] == WORDS, "data"]]
+        kind = narrow(max((int(x.max()) for f in found for x in (f[0], f[2]) if len(x)), default=0) + starts)
+        number, count = np.zeros(size, dtype=kind), np.zeros(size, dtype=kind)
+        for n, own, c in found:
             number[own], count[own] = n, c
+        del found
         lengths = lengths.astype(np.int64)
         first = np.r_[0, np.cumsum(lengths)[:-1]]
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        each = lambda of_word: np.add.reduceat(of_word[tokens], first)
+        sums = [each((count > 0).astype(np.int64)), each(np.log10((count.astype(np.float64) + 0.1) / (total + 0.1 * (kinds + 1))))]
         w, cw = number[tokens], count[tokens]
-        h, ch = np.r_[np.uint64(1), w[:-1]], np.r_[np.uint64(0), cw[:-1]]
+        h, ch = np.concatenate([w[:1], w[:-1]]), np.concatenate([cw[:1], cw[:-1]])
         h[first], ch[first] = 1, starts
-        each = lambda x: np.add.reduceat(x, first)
-        p1 = unigram(cw, total, d, unknown)
-        base = np.log10((cw.astype(np.float64) + 0.1) / (total + 0.1 * (kinds + 1)))
-        alone = (ch == 0)
-        rows = [(block, -1, DOCS, pack(known, doc, lengths, each((cw > 0).astype(np.int64)), each(base), each(np.where(alone, np.log10(p1), 0.0))))]
-        go = ~alone
-        h, w, ch, cw, owner = h[go], w[go], ch[go], cw[go], owner[go]
-        part = (h % np.uint64(parts)).astype(np.int64)
+        alone = ch == 0
+        p1 = np.zeros(len(w))
+        p1[alone] = np.log10(unigram(count, total, d, unknown))[tokens[alone]]
+        rows = [(block, -1, DOCS, pack(known, doc, lengths, *sums, np.add.reduceat(p1, first)))]
+        go = np.flatnonzero(~alone)
+        del p1, alone, tokens
+        h, w = h[go], w[go]
+        part = (h % kind(parts)).astype(np.int32)
         if len(hot):
-            often = np.isin(h, hot)
-            part[often] = ((h[often] + np.uint64(7) * (w[often] % np.uint64(SALT))) % np.uint64(parts)).astype(np.int64)
+            often = np.isin(h, hot.astype(kind))
+            part[often] = (h[often].astype(np.int64) + 7 * (w[often] % kind(SALT)).astype(np.int64)) % parts
         order = np.lexsort((w, h, part))
-        part, h, w, ch, cw, owner = (x[order] for x in (part, h, w, ch, cw, owner))
+        part, h, w, go = part[order], h[order], w[order], go[order]
+        ch, cw, owner = ch[go], cw[go], owner[go]
+        del order, go
         for p, at in zip(*np.unique(part, return_index=True), strict=True):
             to = int(np.searchsorted(part, p, side="right"))
             hs, ws = h[at:to], w[at:to]
@@ -217,7 +228,7 @@ def ask(parts: int, total: int, kinds: int, starts: int, d: np.ndarray, unknown:
             pairs, heads = np.flatnonzero(new), np.flatnonzero(new_h)
             distinct = hs[heads]
             rows.append((block, int(p), PAIRS, pack(
-                np.diff(distinct, prepend=np.uint64(0)), ch[at:to][heads], np.diff(np.r_[np.flatnonzero(new_h[pairs]), len(pairs)]).astype(np.uint64),
+                np.diff(distinct, prepend=kind(0)), ch[at:to][heads], np.diff(np.r_[np.flatnonzero(new_h[pairs]), len(pairs)]).astype(np.uint64),
                 ws[pairs], cw[at:to][pairs], np.diff(np.r_[pairs, to - at]).astype(np.uint64), owner[at:to].astype(np.uint64), train,
             )))
         return _frame(rows)
@@ -234,18 +245,21 @@ def answer(total: int, d: np.ndarray, unknown: float, hot: np.ndarray):
         for data in group["data"]:
             dh, c, followers, ws, cws, k, own, train = unpack(data)
             followers = followers.astype(np.int64)
-            h.append(np.repeat(np.cumsum(dh.astype(np.uint64)), followers)), ch.append(np.repeat(c.astype(np.uint64), followers))
-            w.append(ws.astype(np.uint64)), cw.append(cws.astype(np.uint64)), times.append(k.astype(np.int64)), docs.append(own.astype(np.int64)), trains.append(train > 0)
+            own_h = np.cumsum(dh.astype(np.uint64))
+            h.append(np.repeat(own_h.astype(narrow(int(own_h[-1]))), followers)), ch.append(np.repeat(c, followers))
+            w.append(ws), cw.append(cws), times.append(k.astype(np.int32)), docs.append(own.astype(np.int32)), trains.append(train > 0)
             n_docs.append(len(train)), n_pairs.append(len(ws))
-        trained = [np.add.reduceat(t[o].astype(np.int64), np.r_[0, np.cumsum(k)[:-1]]) for t, o, k in zip(trains, docs, times, strict=True)]
+        trained = [np.add.reduceat(t[o].astype(np.int32), np.r_[0, np.cumsum(k)[:-1]]) for t, o, k in zip(trains, docs, times, strict=True)]
         h, ch, w, cw = map(np.concatenate, (h, ch, w, cw))
         order = np.lexsort((w, h))
         hs, ws = h[order], w[order]
         new = np.r_[True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])]
-        pair = np.empty(len(order), dtype=np.int64)
-        pair[order] = np.cumsum(new) - 1
+        pair = np.empty(len(order), dtype=np.int32 if len(order) < 2**31 else np.int64)
+        pair[order] = np.cumsum(new, dtype=pair.dtype) - 1
         c = np.bincount(pair, weights=np.concatenate(trained)).astype(np.int64)
-        u_h, u_ch, u_cw = hs[new], ch[order][new].astype(np.float64), cw[order][new]
+        one = order[new]
+        u_h, u_ch, u_cw = hs[new], ch[one].astype(np.float64), cw[one]
+        del h, ch, w, cw, order, hs, ws, new, trained
         p1 = unigram(u_cw, total, d, unknown)
         heads = np.flatnonzero(np.r_[True, u_h[1:] != u_h[:-1]])
         history = np.cumsum(np.r_[True, u_h[1:] != u_h[:-1]]) - 1
@@ -253,10 +267,10 @@ def answer(total: int, d: np.ndarray, unknown: float, hot: np.ndarray):
         ranks = np.stack([np.add.reduceat((c == r).astype(np.int64), heads) for r in range(1, RANKS + 1)])
         with np.errstate(divide="ignore"):
             value = np.where(c > 0, np.log10(np.maximum(c, 1)) - np.log10(u_ch + EPS), 0.0)
-        is_hot = np.isin(u_h[heads], hot)
+        is_hot = np.isin(u_h[heads].astype(np.uint64), hot)
         rows = [(-1, part, STATS, pack(np.bincount(np.minimum(c, RANKS + 2), minlength=RANKS + 3)[1 : RANKS + 2].astype(np.int64)))]
         if is_hot.any():
-            rows.append((-1, part, HOT, pack(u_h[heads][is_hot], below[is_hot], *ranks[:, is_hot])))
+            rows.append((-1, part, HOT, pack(u_h[heads][is_hot].astype(np.uint64), below[is_hot], *ranks[:, is_hot])))
         a = 0
         for block, own, k, nd, np_ in zip(group["block"], docs, times, n_docs, n_pairs, strict=True):
             mine = pair[a : a + np_]
@@ -289,7 +303,7 @@ def total_up(d2: np.ndarray, hot: dict[int, tuple]):
             score += sums + np.log10(d2) @ np.stack(rank).astype(np.float64)
             if len(own):
                 left, below = np.stack(left).astype(np.float64), below.copy()
-                for i in np.flatnonzero(np.isin(h, list(hot))) if hot else ():
+                for i in np.flatnonzero(np.isin(h.astype(np.uint64), np.array(list(hot), dtype=np.uint64))) if hot else ():
                     below[i], left[:, i] = hot[int(h[i])][0], hot[int(h[i])][1]
                 alpha = (EPS + weight @ left) / (ch + EPS) / np.maximum(1 - below, 1e-12)
                 score += np.bincount(own.astype(np.int64), weights=np.log10(alpha)[slot], minlength=len(score))
