@@ -93,7 +93,7 @@ class Chain:
     def fit(self, x: np.ndarray, labels: np.ndarray, folds: np.ndarray, clean_weight: float = 1.0) -> Chain:
         """``labels``: a column a category, the label itself last; ``clean_weight``: clean documents that a clean row stands for, by toxic ones."""
         self.base = float(labels[:, -1].mean()) if len(labels) else 0.0
-        if not 0 < self.base < 1:
+        if not 0 < self.base < 1 or not x.shape[1]:  # nothing to tell apart, or by
             return self
         x = x.astype(np.float32)
         before = np.zeros((len(x), 0), dtype=np.float32)
@@ -112,7 +112,8 @@ class Chain:
         wrong = np.array([(~truth & (out >= t)).sum() for t in tried]) * clean_weight
         f1 = 2 * caught / (truth.sum() + caught + wrong)
         best = tried[f1 >= f1.max() - 1e-9]
-        self.threshold = float((best[0] + best[-1]) / 2)
+        bare = float(self.score([None], Features(self.vocabulary))[0, -1])
+        self.threshold = max(float((best[0] + best[-1]) / 2), float(np.nextafter(bare, 1)))  # no text is toxic for want of telling words
         return self
 
     def rejects(self, probs: np.ndarray) -> np.ndarray:
