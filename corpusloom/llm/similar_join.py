@@ -15,7 +15,8 @@ groups make more blocks, not larger ones. Links give the final classes.
 Edge cases: null text is empty; texts without a word link to equal texts only;
 repeated rows and equal ids with other texts are taken row by row; very long
 texts are taken whole; an empty table gives an empty result; other columns are
-not read. Null ids belong to the class of their text.
+not read. A class is named by its least id; one of null ids only by a text's hash.
+Sets are told apart by 128 bits of hash, in the graph by 64.
 """
 
 from __future__ import annotations
@@ -136,13 +137,13 @@ def classes(documents: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
                 s = shingle_set(t, words, n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes() if len(s) else b"\0" + t.encode("utf-8", "surrogatepass")))
                 found.append(labels(s, trees, k).tolist() if len(s) else [])
-            made = [pa.array(keys, type=pa.binary()), pa.array(found, type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *made], names=["doc_id", "text_key", "set_key", "labels"])
+            made = [pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], type=pa.int64()), pa.array(keys, type=pa.binary()), pa.array(found, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), *made], names=["doc_id", "text_key", "rep", "set_key", "labels"])
 
-    signed = written(docs.select("doc_id", "text_key", "text").mapInArrow(sign, "doc_id long, text_key long, set_key binary, labels array<bigint>"), "lsh-signed")
+    signed = written(docs.select("doc_id", "text_key", "text").mapInArrow(sign, "doc_id long, text_key long, rep long, set_key binary, labels array<bigint>"), "lsh-signed")
     sets = written(
-        signed.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
-        .select("set_key", "copies", "labels", F.coalesce("id", F.col("first.text_key")).alias("rep"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")),
+        signed.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("rep").alias("rep"), F.first("labels").alias("labels"))
+        .select("set_key", "copies", "labels", "rep", F.coalesce("id", F.col("first.text_key")).alias("id"), F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")),
         "lsh-sets",
     )
 
@@ -163,10 +164,11 @@ def classes(documents: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
         return linked(part.drop_duplicates("rep"), threshold, n)
 
     found = written(pairs.groupBy("root", "lo", "hi").applyInPandas(verify, "a long, b long, links long"), "lsh-links")
-    final = components(found.select("a", "b"))
+    final = written(components(found.select("a", "b")).withColumnRenamed("node", "rep"), "lsh-final")
+    names = final.join(sets.select("rep", "id"), "rep").groupBy("root").agg(F.min("id").alias("class_id"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    each = sets.select("set_key", "rep", "copies").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    each = each.select("set_key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    each = sets.select("set_key", "rep", "id", "copies").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(final.join(names, "root").drop("root"), "rep", "left")
+    each = each.select("set_key", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signed.select("doc_id", "text_key", "set_key").join(each, "set_key").select("doc_id", "text_key", "class_id", "n_links")
 
 
