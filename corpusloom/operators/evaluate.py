@@ -34,15 +34,15 @@ def shares(rows: DataFrame, passed: str, target: float = 0.8) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.coalesce(hit, F.lit(0)).cast("long").alias("hits"), (hit / F.count(F.lit(1))).alias("value"), (hit / F.count(F.lit(1)) >= target).alias("pass"))
 
 
-def by_index(values: DataFrame, column: str, shares_: dict[str, float], by: list[str] = ()) -> DataFrame:
-    """Percentiles by place, not interpolated: the sorted values at floor(n * p), at most the last.
+def by_index(values: DataFrame, column: str, shares_: dict[str, float], by: list[str] = (), back: int = 0) -> DataFrame:
+    """Percentiles by place, not interpolated: the sorted values at floor(n * p) - ``back``, between the first and the last.
 
     Ranks come from counts of equal values, so no list of all values is held.
     """
     each = values.groupBy(*by, column).agg(F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy(*by).orderBy(column) if by else Window.orderBy(column)
     each = each.withColumn("upto", F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("k").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))))
-    place = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
+    place = lambda p: F.greatest(F.least(F.floor(F.col("n") * p) - back, F.col("n") - 1), F.lit(0))
     return each.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > place(p), F.col(column))).alias(name) for name, p in shares_.items()))
 
 

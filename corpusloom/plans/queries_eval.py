@@ -114,3 +114,19 @@ def events_stream(spark, d):
     source = rows.inputFiles()[0].rsplit("/", 1)[0]
     out = events.run_to_end(events.tumbling(events.stream(spark, source)), f"{source}-hours")
     return out.select("start", "event_type", "n")
+
+
+@query("WITH l AS (SELECT event_type, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT event_type, len(v) AS n, v[greatest(floor(len(v) * 0.99::DOUBLE)::INT - 1, 0) + 1] AS p99 FROM l")
+def p99_by_place(spark, d):
+    return evaluate.by_index(table(spark, d, "events"), "value", {"p99": 0.99}, ["event_type"], back=1)
+
+
+@query(
+    """WITH f AS (SELECT conv_id AS answer_id, turn AS seq, CASE WHEN turn = 0 THEN 'language' WHEN turn = 1 AND conv_id % 3 = 0 THEN 'refused' WHEN turn = 1 THEN 'stage' WHEN turn = 2 AND conv_id % 3 > 0 THEN 'sources' WHEN turn = 3 THEN 'stage' ELSE 'done' END AS event FROM conversations),
+    g AS (SELECT answer_id, string_agg(event || ' ', '' ORDER BY seq, event) AS s FROM f GROUP BY answer_id) SELECT answer_id, regexp_matches(s, '^language (refused |stage sources stage (token )*(safety )?|stage refused )done $') AS valid FROM g"""
+)
+def stream_protocol(spark, d):
+    """Turns of conversations as the events of answers, some in order, some not."""
+    c, t = F.col("conv_id"), F.col("turn")
+    event = F.when(t == 0, "language").when((t == 1) & (c % 3 == 0), "refused").when(t == 1, "stage").when((t == 2) & (c % 3 > 0), "sources").when(t == 3, "stage").otherwise("done")
+    return events.follows_protocol(table(spark, d, "conversations").select(c.alias("answer_id"), t.alias("seq"), event.alias("event")))

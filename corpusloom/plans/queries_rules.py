@@ -201,3 +201,35 @@ def guarded_stream(spark, d):
     stream = spark.readStream.schema(table_.schema).parquet(source)
     out = run_to_end(guard.guarded(stream), f"{source}-guarded")
     return out.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("upto", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+@query(
+    """WITH p AS (SELECT label AS k, max(vec_id) FILTER (vec_id % 2 = 0) AS even, max(vec_id) AS last FROM embeddings GROUP BY label), f AS (SELECT vec_id AS id, label + vec_id % 2 * 100 AS k FROM embeddings)
+    SELECT f.id, coalesce('d' || coalesce(even, last), '') AS draft, CASE WHEN even IS NOT NULL THEN 'c' || even END AS corrected FROM f LEFT JOIN p USING (k)"""
+)
+def carry_review(spark, d):
+    """Half the rows keep an English text of the sheet before; of a text's rows, a corrected one counts, then the greatest draft."""
+    v, e = F.col("vec_id"), table(spark, d, "embeddings")
+    pad = F.lpad(v.cast("string"), 9, "0")
+    prior = e.select(F.col("label").cast("string").alias("english"), F.concat(F.lit("d"), pad).alias("draft"), F.when(v % 2 == 0, F.concat(F.lit("c"), pad)).alias("corrected"))
+    fresh = e.select(v.alias("id"), (F.col("label") + v % 2 * 100).cast("string").alias("english"))
+    bare = lambda c: F.regexp_replace(c, "^([cd])0+(?=.)", "$1")
+    return files.carried(fresh, prior).select("id", bare("draft").alias("draft"), bare("corrected").alias("corrected"))
+
+
+@query("SELECT vec_id::VARCHAR AS id, CASE vec_id % 4 WHEN 0 THEN 'draft ' || vec_id WHEN 1 THEN NULL WHEN 2 THEN 'new words' ELSE 'draft ' || vec_id END AS corrected FROM embeddings")
+def import_review(spark, d):
+    """A filled sheet in which every third id bears the mark of urgent rows."""
+    i = F.col("vec_id")
+    items = table(spark, d, "embeddings").select(i.cast("string").alias("id"))
+    name = F.concat(F.when(i % 3 == 0, F.lit("CRITICAL ")).otherwise(F.lit("")), i.cast("string"))
+    sheet = table(spark, d, "embeddings").select(name.alias("id"), F.concat(F.lit("draft "), i.cast("string")).alias("draft"), F.when(i % 4 == 0, "yes").when(i % 4 == 1, " ").when(i % 4 == 2, "new words").otherwise("Correct").alias("answer"))
+    return files.imported(items, sheet).select("id", "corrected")
+
+
+@query("SELECT event_id, coalesce(props::JSON ->> '$.k', 'none') AS k FROM events")
+def metadata_first_value(spark, d):
+    """Fields of a record as lists of values, as repositories give them."""
+    props = F.from_json("props", "map<string,string>")
+    listed = F.transform_values(props, lambda k, v: F.array(F.struct(v.alias("value"))))
+    return table(spark, d, "events").select("event_id", files.meta(listed, "k", "none").alias("k"))

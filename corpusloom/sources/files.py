@@ -109,6 +109,25 @@ def reviewed(sheet: DataFrame) -> DataFrame:
     return sheet.withColumn("corrected", F.when(low == "", F.lit(None)).when(approves, F.col("draft")).otherwise(F.trim("answer")))
 
 
+def carried(fresh: DataFrame, prior: DataFrame) -> DataFrame:
+    """A new sheet (id, english) with the drafts and corrections that its English texts had before; new rows are empty."""
+    known = prior.groupBy("english").agg(F.max(F.struct(F.col("corrected").isNotNull(), "draft", "corrected")).alias("k"))
+    return fresh.join(known, "english", "left").select("id", "english", F.coalesce("k.draft", F.lit("")).alias("draft"), F.col("k.corrected").alias("corrected"))
+
+
+def imported(items: DataFrame, sheet: DataFrame, mark: str = "CRITICAL ") -> DataFrame:
+    """``items`` (id, ...) with the corrections of a filled sheet, whose ids may bear the mark of urgent rows."""
+    filled = reviewed(sheet).select("id", "corrected")
+    marked = filled.select(F.regexp_replace("id", f"^{mark}", "").alias("id"), F.col("corrected").alias("urgent")).filter(F.col("urgent").isNotNull())
+    plain = filled.filter(~F.startswith("id", F.lit(mark)))
+    return items.join(marked, "id", "left").join(plain, "id", "left").withColumn("corrected", F.coalesce("urgent", "corrected")).drop("urgent")
+
+
+def meta(metadata, key: str, default: str = ""):
+    """The first value of a repository record's field; ``metadata``: map of arrays of (value)."""
+    return F.coalesce(F.get(F.try_element_at(metadata, F.lit(key)), F.lit(0))["value"], F.lit(default))
+
+
 def save_index(chunks: DataFrame, path: str, postings: DataFrame | None = None) -> None:
     """Passages with their vectors, and the postings by first letter of the term."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")

@@ -33,6 +33,16 @@ def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
+#: Order of an answer's events (fixed value).
+PROTOCOL = r"^language (refused |stage sources stage (token )*(safety )?|stage refused )done $"
+
+
+def follows_protocol(frames: DataFrame) -> DataFrame:
+    """answer_id, valid: its events (answer_id, seq, event) come in the order of the protocol."""
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "event"))), lambda x: F.concat(x["event"], F.lit(" "))), "")
+    return frames.groupBy("answer_id").agg(F.rlike(names, F.lit(PROTOCOL)).alias("valid"))
+
+
 def run_to_end(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """A stream's result over all its input so far, as a table in ``path``."""
     query = df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
