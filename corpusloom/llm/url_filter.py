@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import width, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: One of five labelled URLs, by hash, sets the threshold; the others train.
@@ -80,7 +80,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
     each = each.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("said", said)
     each = written(each.select("url", "n", "said", (F.conv(F.left(F.md5("url"), F.lit(8)), 16, 10).cast("long") % HELD_OUT == 0).alias("held")), "url-each")
 
-    split = each.select("url", "n", "said", "held", F.explode(grams(F.col("url"))).alias("gram"))
+    # The table of URLs is small to read and large to score, so it is dealt out anew.
+    split = each.repartition(width(pages.sparkSession)).select("url", "n", "said", "held", F.explode(grams(F.col("url"))).alias("gram"))
     trains = ~F.col("held")
     counts = written(split.groupBy("gram").agg(*(F.sum(F.when((F.col("said") == v) & trains, F.col("n")).otherwise(0)).alias(x) for x, v in (("a", "allow"), ("b", "block")))), "url-grams")
     model = markov_ratio(counts)
