@@ -13,8 +13,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     A round links every node's greater neighbours to its least neighbour, then
     every node's lesser neighbours; stars remain, after few rounds. Minima are
-    combined before the shuffle, so a node with very many neighbours costs no
-    task more than its edges, and a join on it may be split.
+    combined before the shuffle and stored, so that the join that follows has
+    nothing but edges on one side and Spark may split a node with very many.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     state = None
@@ -26,9 +26,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if not mark["n"]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "cc-large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
