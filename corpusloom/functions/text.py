@@ -46,17 +46,13 @@ def tokens(text: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Less the first suffix that leaves four letters; a doubled last consonant of over four letters becomes one."""
-    cut = F.lit(0)
-    for s in reversed(X.SUFFIXES):
-        cut = F.when(F.endswith(token, F.lit(s)) & (F.length(token) - len(s) >= 4), len(s)).otherwise(cut)
+    """Less the longest suffix that leaves four letters; a doubled last consonant of over four letters becomes one.
 
-    def single(base: Column) -> Column:
-        last = F.right(base, F.lit(1))
-        doubled = (F.length(base) > 4) & (last == F.substring(base, F.length(base) - 1, F.lit(1))) & ~last.isin(*"aeiou")
-        return F.when(doubled, F.left(base, F.length(base) - 1)).otherwise(base)
-
-    return let(cut, lambda n: F.when(n == 0, token).otherwise(let(F.left(token, F.length(token) - n), single)))
+    Two patterns, so that it stays inside generated code: the mark "#", which no
+    token has, stands for a suffix taken off until the second has run.
+    """
+    cut = F.regexp_replace(token, f"^(.{{4,}}?)(?:{'|'.join(X.SUFFIXES)})$", "$1#")
+    return F.translate(F.regexp_replace(cut, r"^(.{3,}([^aeiou]))\2#$", "$1"), "#", "")
 
 
 def terms(text: Column) -> Column:

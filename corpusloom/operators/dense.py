@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
-from ..functions.text import l2_normalised, terms
+from ..functions.text import l2_normalised, stem, tokens
 from ..session import ship
 
 #: Queries of one block: at 384 numbers each, 24 MB.
@@ -25,7 +25,7 @@ BLOCK = 8192
 
 def hashed_embedding(passages: DataFrame, id: str = "id", text: str = "text", dim: int = 256) -> DataFrame:
     """A deterministic embedding of text: stems hashed to ``dim`` places by MD5, 1 + ln(tf), unit length."""
-    each = passages.select(F.col(id).alias("id"), F.explode_outer(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("term").alias("tf"))
+    each = passages.select(F.col(id).alias("id"), F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).select("id", stem(F.col("token")).alias("term")).groupBy("id", "term").agg(F.count("term").alias("tf"))
     place = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("long") % dim
     weights = each.select("id", place.cast("int").alias("place"), (1 + F.ln("tf")).alias("w")).groupBy("id", "place").agg(F.sum("w").alias("w"))
     filled = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "w")))).alias("m"))

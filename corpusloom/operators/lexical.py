@@ -10,25 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
-from ..functions.text import terms
+from ..functions.text import stem, terms, tokens
 from .tables import small
 
 
-def tokenised(passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return passages.select(F.col(id).alias("id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+def _stems(passages: DataFrame, id: str, text: str) -> DataFrame:
+    """id, dl, term of each token; stems are taken after the tokens are rows, in generated code."""
+    each = passages.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    return each.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).select("id", "dl", stem(F.col("token")).alias("term"))
 
 
 def postings(passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return tokenised(passages, id, text).select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _stems(passages, id, text).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def term_stats(passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    each = tokenised(passages, id, text).select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return postings(passages, id, text).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def doc_stats(passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return tokenised(passages, id, text).select("id", F.size("terms").cast("long").alias("dl"))
+    return passages.select(F.col(id).alias("id"), F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
 
 
 def corpus_stats(passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,7 +45,7 @@ def query_terms(queries: DataFrame, id: str = "query_id", text: str = "text") ->
 def search(passages: DataFrame, queries: DataFrame, k: int = RETRIEVAL.candidates, id: str = "doc_id", text: str = "text") -> DataFrame:
     """query_id, id, score, rank (from 1) of each query's best passages; ``queries``: query_id, text."""
     asked = query_terms(queries)
-    matched = tokenised(passages, id, text).select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    matched = _stems(passages, id, text).join(small(asked.select("term").distinct()), "term", "left_semi")
     tf = matched.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     c = corpus_stats(passages, id, text).first()

@@ -15,15 +15,30 @@ GROUPS = {**X.POSITIVE_GROUPS, "institutional": X.INSTITUTIONAL_TERMS, "africa":
 
 
 def term_hits(text: Column, terms) -> Column:
-    """How often each term occurs: single words as words (or with an s), phrases anywhere. Texts are split once."""
-    low = F.lower(text)
-    same = lambda t: lambda w: w == t
-    single = sorted({t for t in terms if " " not in t})
-    pattern = r"\b(" + "|".join(t.replace(".", r"\.").replace("-", r"\-") for t in sorted(single, key=len, reverse=True)) + r")(?:s\b|\b)"
+    """How often each term occurs: single words as words (or with an s), phrases anywhere, those of several parts by pattern."""
+    return _hits(F.lower(text), _tokens(F.lower(text)), terms)
+
+
+def _tokens(low: Column) -> Column:
+    return find_all(low, r"[\p{L}\p{N}_]+")
+
+
+def _hits(low: Column, tokens: Column, terms) -> Column:
+    """``tokens``: the words of ``low``, split once for all groups."""
+    plain = sorted({t for t in terms if t.isalpha()})
     phrases = sorted({t for t in terms if " " in t})
-    parts = [let(find_all(low, pattern, 1), lambda ws: F.array(*(F.struct(F.lit(t).alias("term"), F.size(F.filter(ws, same(t))).alias("n")) for t in single)))] if single else []
+    others = sorted(set(terms) - set(plain) - set(phrases))
+    is_term = lambda t: lambda w: (w == t) | (w == t + "s")
+    entry = lambda t, n: F.struct(F.lit(t).alias("term"), n.cast("int").alias("n"))
+    parts = []
+    if plain:
+        listed = sorted({x for t in plain for x in (t, t + "s")})
+        found = F.filter(tokens, lambda w: w.isin(*listed))  # few are left to be told apart
+        parts.append(let(found, lambda ws: F.when(F.size(ws) > 0, F.array(*(entry(t, F.size(F.filter(ws, is_term(t)))) for t in plain))).otherwise(F.array().cast("array<struct<term:string,n:int>>"))))
     if phrases:
-        parts.append(F.array(*(F.struct(F.lit(p).alias("term"), ((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("int").alias("n")) for p in phrases)))
+        parts.append(F.array(*(entry(p, (F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)) for p in phrases)))
+    if others:
+        parts.append(F.array(*(entry(t, F.regexp_count(low, F.lit(r"\b" + t.replace(".", r"\.") + r"(?:s\b|\b)"))) for t in others)))
     return F.filter(F.concat(*parts), lambda x: x["n"] > 0)
 
 
@@ -35,9 +50,8 @@ def scored(documents: DataFrame, text: str = "text", groups: dict | None = None)
     """``documents`` with n_words, n_<group>, positive, score, language, english_share, areas, crops, accepted, reason, top_terms."""
     groups = GROUPS if groups is None else groups
     t = F.coalesce(F.col(text), F.lit(""))
-    df = documents.withColumn("n_words", F.greatest(F.size(words(t)), F.lit(1)))
-    for g, terms in groups.items():
-        df = df.withColumn(f"__{g}", term_hits(t, terms))
+    df = documents.withColumn("n_words", F.greatest(F.size(words(t)), F.lit(1))).withColumn("__low", F.lower(t)).withColumn("__tokens", _tokens(F.lower(t)))
+    df = df.withColumns({f"__{g}": _hits(F.col("__low"), F.col("__tokens"), terms) for g, terms in groups.items()})
     for lang, n in stopword_votes(t).items():
         df = df.withColumn(f"__v_{lang}", n)
     positive = [g for g in groups if g not in ("institutional", "africa", "elsewhere")]
