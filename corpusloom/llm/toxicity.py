@@ -1,7 +1,11 @@
 """Toxicity: classifier chains over words and their beginnings.
 
 Labels say toxic or not; the categories before that are read off toxic texts by
-seed words (a parameter). A chain predicts the categories in order, each with a
+words: seed words (a parameter) and, since those are of one language, all words and
+beginnings that hardly occur but in toxic rows of the training sample, whatever
+their language. Each of these joins the category that misses most of its rows, so
+that no vocabulary leaves a category without rows; it says nothing about meaning.
+A chain predicts the categories in order, each with a
 linear model of the words and of the probabilities of the categories before it.
 For training, those probabilities come from models that have not seen the row
 (out of fold); for use, from models of all rows. The last category is the label
@@ -35,7 +39,7 @@ from ..session import ship
 from .shingles import words
 
 WORD = re.compile(r"\w+")
-#: Seed words of the categories before the label itself (fixed values).
+#: Seed words of the categories before the label itself (fixed values); the others are dealt to them by ``dealt``.
 CATEGORIES = {
     "insult": ("idiot", "moron", "loser", "clown"),
     "contempt": ("trash", "scum", "worthless"),
@@ -43,6 +47,8 @@ CATEGORIES = {
 }
 TRAIN_DOCS, FEATURES, FOLDS = 4000, 512, 4
 STEMS = (3, 4, 5, 6)
+#: A word of a category is in this many toxic rows at least, and in so many times the share of clean rows.
+LEAST, PURE = 5, 20
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -86,6 +92,7 @@ class Features(dict):
 class Chain:
     vocabulary: dict[str, int] = field(default_factory=dict)
     categories: list[str] = field(default_factory=list)
+    groups: dict[str, set[str]] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
     threshold: float = 0.5
     base: float = 0.0
@@ -136,6 +143,27 @@ class Chain:
         return probs
 
 
+def dealt(categories: dict[str, tuple[str, ...]], telling: list[str], toxic: list[set[str]]) -> dict[str, set[str]]:
+    """Words of each category: its seeds, and of ``telling`` those that came to it; ``toxic``: the words of each toxic row."""
+    groups = {k: set(ws) for k, ws in categories.items()}
+    if not groups:
+        return groups
+    seeds = set().union(*groups.values())
+    rows: dict[str, set[int]] = {w: set() for w in telling if w not in seeds and not any(w.startswith("^") and x.startswith(w[1:]) for x in seeds)}
+    covered: dict[str, set[int]] = {k: set() for k in groups}
+    for i, has in enumerate(toxic):
+        for w in has & rows.keys():
+            rows[w].add(i)
+        for k, ws in groups.items():
+            if not has.isdisjoint(ws):
+                covered[k].add(i)
+    for w, found in rows.items():
+        k = min(groups, key=lambda g: (len(found & covered[g]), len(covered[g])))  # the first of equals
+        groups[k].add(w)
+        covered[k] |= found
+    return groups
+
+
 def _features(text: Column) -> Column:
     named = lambda w: F.concat(F.array(w), *(F.when(F.length(w) > n, F.array(F.concat(F.lit("^"), F.substring(w, 1, n)))).otherwise(F.array().cast("array<string>")) for n in STEMS))
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(words(text)), named)))
@@ -161,16 +189,20 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, tuple[s
     seeds = {w for ws in categories.values() for w in ws}
     best = by_word.filter((F.col("t") + F.col("c") >= 5) & (gain >= 3)).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(features).collect()
     chain.vocabulary = {r["word"]: i for i, r in enumerate(best)}
-    wanted = F.array(*[F.lit(w) for w in sorted({*chain.vocabulary, *seeds})])
+    whole = ~F.col("word").startswith("^") | (F.length("word") == 1 + max(STEMS))
+    pure = by_word.filter(whole & (F.col("t") >= LEAST) & (F.col("t") * sizes[0] >= PURE * F.col("c") * sizes[1])).orderBy(F.desc("t"), "word").limit(features).collect()
+    telling = [r["word"] for r in pure]
+    wanted = F.array(*[F.lit(w) for w in sorted({*chain.vocabulary, *seeds, *telling})])
     sample = rows.select("doc_id", "toxic", "u", F.array_intersect("w", wanted).alias("w")).orderBy("u", "doc_id").collect()
     rows.unpersist()
+    chain.groups = dealt(categories, telling, [set(r["w"]) for r in sample if r["toxic"]])
     x = np.zeros((len(sample), len(chain.vocabulary)), dtype=np.float32)
     y = np.zeros((len(sample), len(categories) + 1), dtype=np.int64)
     for i, r in enumerate(sample):
         has = set(r["w"])
         for w in has & chain.vocabulary.keys():
             x[i, chain.vocabulary[w]] = 1
-        y[i] = [r["toxic"] and not has.isdisjoint(ws) for ws in categories.values()] + [r["toxic"]]
+        y[i] = [r["toxic"] and not has.isdisjoint(ws) for ws in chain.groups.values()] + [r["toxic"]]
     of = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     return chain.fit(x, y, np.arange(len(sample)) % FOLDS, (of[0] / sizes[0]) / (of[1] / sizes[1]))
 

@@ -156,6 +156,18 @@ def test_toxic_words_and_stems_are_learnt(spark):
     assert len(chain.weights) == 4 and len(chain.weights[1]) == len(chain.weights[0]) + 1  # each link sees those before it
 
 
+def test_every_category_knows_toxic_rows_of_every_vocabulary(spark):
+    bad = [["idiot", "trash", "stupid", "moron", "scum"], ["xaabscha", "xibloedm", "xowiderl", "xudummko", "xysaukle"], ["zacrapul", "zoimbeci", "zudegoue", "zynullar", "zesalaud"]]
+    rows = [(i, prose(i, 40) + (f" {bad[i // 4 % 3][i // 12 % 5]} x {bad[i // 4 % 3][i // 60 % 5]} {bad[i // 4 % 3][i // 24 % 5]}" if i % 4 == 0 else "")) for i in range(720)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(720)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    for name in toxicity.CATEGORIES:
+        clean = max(got[i][f"p_{name}"] for i in got if i % 4)
+        for v in range(3):
+            assert max(got[i][f"p_{name}"] for i in got if i % 4 == 0 and i // 4 % 3 == v) > max(0.5, clean)
+
+
 def test_language_is_told_on_held_out_text(spark):
     words = {"aa": "tion the and with ing", "bb": "ción que los para mente", "cc": "ung der schen und keit"}
     rows = [(i, prose(i, 30, words[k]), k) for i in range(300) for k in [("aa", "bb", "cc")[i % 3]]]
