@@ -16,6 +16,7 @@ Edge cases: null text is empty; texts without a word link to equal texts only;
 repeated rows and equal ids with other texts are taken row by row; very long
 texts are taken whole; an empty table gives an empty result; other columns are
 not read. A class is named by its least id; one of null ids only by a text's hash.
+Where ids repeat, unlike classes may bear one name; ``class_key`` tells them apart.
 Sets are told apart by 128 bits of hash, in the graph by 64.
 """
 
@@ -123,7 +124,7 @@ def linked(part: pd.DataFrame, threshold: float, n: int) -> pd.DataFrame:
 
 
 def classes(documents: DataFrame, threshold: float = 0.8, n: int = 5, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row a document: doc_id, text_key, class_id (least id of its class), n_links (documents at or over the threshold)."""
+    """One row a document: doc_id, text_key, class_key (the class itself), class_id (its name, the least id), n_links (documents at or over the threshold)."""
     spark = documents.sparkSession
     ship(spark)
     k = depth(threshold, trees, recall=recall)
@@ -167,16 +168,16 @@ def classes(documents: DataFrame, threshold: float = 0.8, n: int = 5, trees: int
     final = written(components(found.select("a", "b")).withColumnRenamed("node", "rep"), "lsh-final")
     names = final.join(sets.select("rep", "id"), "rep").groupBy("root").agg(F.min("id").alias("class_id"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    each = sets.select("set_key", "rep", "id", "copies").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(final.join(names, "root").drop("root"), "rep", "left")
-    each = each.select("set_key", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_key", "set_key").join(each, "set_key").select("doc_id", "text_key", "class_id", "n_links")
+    each = sets.select("set_key", "rep", "id", "copies").join(links.withColumnRenamed("a", "rep"), "rep", "left").join(final.join(names, "root"), "rep", "left")
+    each = each.select("set_key", F.coalesce("root", "rep").alias("class_key"), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "text_key", "set_key").join(each, "set_key").select("doc_id", "text_key", "class_key", "class_id", "n_links")
 
 
 def one_of_each(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``documents`` with one of each class: the least id (and text) of the class."""
     given = documents.columns
     found = written(classes(documents, threshold), "lsh-classes")
-    keep = written(found.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_key")).alias("k"), F.count(F.lit(1)).alias("n")).select("k.doc_id", "k.text_key"), "lsh-keep").select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_text"))
+    keep = written(found.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("k"), F.count(F.lit(1)).alias("n")).select("k.doc_id", "k.text_key"), "lsh-keep").select(F.col("doc_id").alias("keep_id"), F.col("text_key").alias("keep_text"))
     drop = found.join(keep, found["doc_id"].eqNullSafe(keep["keep_id"]) & (found["text_key"] == keep["keep_text"]), "left_anti").select("doc_id", "text_key").distinct()
     drop = written(drop, "lsh-drop").select(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_text"))
     keyed = documents.withColumn("__text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))

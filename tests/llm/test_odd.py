@@ -3,6 +3,7 @@
 import pytest
 
 from corpusloom.llm import decontaminate, fingerprint, katz, language, mixing, secret_scan, similar_join, token_counts, toxicity, url_filter
+from tests.llm.conftest import prose
 
 N = 14
 
@@ -34,6 +35,16 @@ def test_join(odd, none):
     assert rows(similar_join.one_of_each(none)) == []
 
 
+def test_unlike_texts_of_one_id_all_stay(spark):
+    texts = [prose(i, 60) for i in range(300, 306)]
+    rows_ = [(1, texts[0]), (1, texts[1]), (1, texts[2] + " a"), (2, texts[2] + " a b"), (7, texts[3]), (7, texts[4]), (8, texts[4]), (None, texts[5]), (None, texts[5])]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    found = {(r["doc_id"], r["text_key"]): r["class_key"] for r in rows(similar_join.classes(df))}
+    assert len(found) == 8 and len(set(found.values())) == 6
+    kept = rows(similar_join.one_of_each(df))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, texts[0]), (1, texts[1]), (1, texts[2] + " a"), (7, texts[3]), (7, texts[4]), (0, texts[5])])
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (None, "http://a.com/en/", "x"), (2, "http://a.com/en/", "x"), (2, "http://a.com/en/", "x"), (3, "h" * 5000, "x")], "page_id long, url string, verdict string")
     got = rows(url_filter.judge(df, [("block", "com", "/en/")]))
