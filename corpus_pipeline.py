@@ -31,7 +31,7 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each stretch that the scan found replaced by a mark; n_chars follows."""
-    found = secret_scan.scan(docs, out="__secrets")
+    found = secret_scan.scan_all(docs, out="__secrets")
     masked = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("__secrets")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

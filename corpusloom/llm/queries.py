@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_scan as S
 
-    found = S.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = S.scan_all(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["rank"] < len(S.BASE))
     return found.select("doc_id", *(count(k) for k in S.BASE), F.sha2(S.joined(base), 256).alias("base_sha256"), S.joined(F.col("secrets")).alias("spans"))

@@ -8,6 +8,10 @@ adds one character, drops one, and moves the sum of c * log2(c) by those two
 counts alone. Candidates on the allow-list (fillers, plain numbers, ...) are let
 go; the base kinds are not.
 
+``CLASSES`` and ``ALLOWED`` are all that the SQL twin of op1_secret_scan states. The query
+and the pipeline use ``scan_all``: it has ``ALL_CLASSES``, and fillers let go only the run of letters
+and digits that they are in, so that one in a long path or blob hides no other part of it.
+
 A span is kind, start, end in code points, end exclusive. Positions come from
 the lengths of what lies between matches, so a text is never cut.
 
@@ -59,6 +63,15 @@ CLASSES = (
     CharClass("entropy_upper", r"(?<![A-Za-z0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])", DIGITS + LOWER.upper(), 16, 3.005, needs=("[0-9]", "[A-Z]")),
     CharClass("entropy_base64", r"[A-Za-z0-9+/_-]{20,}", DIGITS + LOWER + LOWER.upper() + "+/_-", 20, 3.605, needs=("[0-9]", "[a-z]", "[A-Z]")),
 )
+#: Also tokens that none of those takes: lower-case letters with digits, letters of both cases without.
+ALL_CLASSES = (
+    *CLASSES,
+    CharClass("entropy_lower", r"(?<![A-Za-z0-9])[a-z0-9]{20,}(?![A-Za-z0-9])", DIGITS + LOWER, 20, 3.405, needs=("[0-9]", "[g-z]")),
+    CharClass("entropy_letters", r"(?<![A-Za-z0-9])[A-Za-z]{20,}(?![A-Za-z0-9])", LOWER + LOWER.upper(), 20, 3.58, needs=("[a-z][A-Z].*[a-z][A-Z]", "[A-Z][a-z]?[A-Z].*[A-Z][a-z]?[A-Z]")),
+)
+#: Of the allow-list what holds for a candidate as a whole, with the published example that its filler does not reach, and the fillers.
+WHOLE = (*ALLOWED[:3], r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$")
+FILLERS = ALLOWED[3:]
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
@@ -95,12 +108,20 @@ def base_spans(text: Column, kind: str, rank: int) -> Column:
     return _placed(text, pattern, group, lambda m, g, at: F.when(F.length(g) >= least, _span(at, rank, at + F.length(m), kind)))
 
 
-def _hot(candidate: Column, c: CharClass) -> Column:
-    """First start and last end (from 0) of the windows over the threshold, null without any."""
+def _unfilled(candidate: Column, fillers: tuple[str, ...]) -> Column:
+    """``candidate`` with a line feed for each character of the runs of letters and digits that a filler touches."""
+    rx = "[A-Za-z0-9]*(?:" + "|".join(f"(?:{f})" for f in fillers) + ")[A-Za-z0-9]*"
+    gap = lambda marks, i: F.repeat(F.lit("\n"), F.coalesce(F.length(F.get(marks, i)), F.lit(0)))
+    blanked = _let(F.regexp_extract_all(candidate, F.lit(rx), F.lit(0)), lambda marks: F.array_join(F.transform(F.split(candidate, rx, -1), lambda b, i: F.concat(b, gap(marks, i))), ""))
+    return F.when(F.rlike(candidate, F.lit(rx)), blanked).otherwise(candidate)
+
+
+def _hot(candidate: Column, c: CharClass, gaps: bool = False) -> Column:
+    """First start and last end (from 0) of the windows over the threshold, null without any; with ``gaps``, a window with a line feed is none."""
     n_log_n = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
     def slide(chars: Column) -> Column:
-        begin = F.struct(F.array_repeat(F.lit(0), len(c.symbols)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+        begin = F.struct(F.array_repeat(F.lit(0), len(c.symbols)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), *([F.lit(-1).alias("gap")] if gaps else []))
 
         def step(s: Column, i: Column) -> Column:
             came = F.instr(F.lit(c.symbols), F.get(chars, i))
@@ -108,33 +129,40 @@ def _hot(candidate: Column, c: CharClass) -> Column:
             plus, minus = F.coalesce(F.get(s["counts"], came - 1), F.lit(0)), F.coalesce(F.get(s["counts"], left - 1), F.lit(1))
             moved = F.when(came == left, s["sum"]).otherwise(s["sum"] + n_log_n(plus + 1) - n_log_n(plus) + n_log_n(minus - 1) - n_log_n(minus))
             counts = F.when(came == left, s["counts"]).otherwise(F.transform(s["counts"], lambda x, k: x + (k == came - 1).cast("int") - (k == left - 1).cast("int")))
-            over = (i >= c.width - 1) & (F.log2(F.lit(float(c.width))) - moved / c.width >= c.bits)
-            return F.struct(counts.alias("counts"), moved.alias("sum"), F.when(over, F.coalesce(s["start"], i - (c.width - 1))).otherwise(s["start"]).alias("start"), F.when(over, i + 1).otherwise(s["end"]).alias("end"))
+            if gaps:
+                over_gap = F.when(F.get(chars, i) == "\n", i).otherwise(s["gap"])
+            over = ((i - over_gap >= c.width) if gaps else (i >= c.width - 1)) & (F.log2(F.lit(float(c.width))) - moved / c.width >= c.bits)
+            return F.struct(counts.alias("counts"), moved.alias("sum"), F.when(over, F.coalesce(s["start"], i - (c.width - 1))).otherwise(s["start"]).alias("start"), F.when(over, i + 1).otherwise(s["end"]).alias("end"), *([over_gap.alias("gap")] if gaps else []))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), begin, step, lambda s: F.when(s["start"].isNotNull(), F.struct(s["start"], s["end"])))
 
     return _let(F.split(F.lower(candidate) if c.fold else candidate, ""), slide)
 
 
-def entropy_spans(text: Column, c: CharClass, rank: int, allowed=ALLOWED) -> Column:
+def entropy_spans(text: Column, c: CharClass, rank: int, allowed=ALLOWED, fillers=()) -> Column:
     def keep(m: Column, _g: Column, at: Column) -> Column:
         ok = F.lit(True)
         for need in c.needs:
             ok = ok & F.rlike(m, F.lit(need))
         for rx in allowed:
             ok = ok & ~F.rlike(m, F.lit(rx))
-        return F.when(ok, _let(_hot(m, c), lambda h: F.when(h.isNotNull(), _span(at + h["start"], rank, at + h["end"], c.kind))))
+        return F.when(ok, _let(_hot(_unfilled(m, fillers), c, True) if fillers else _hot(m, c), lambda h: F.when(h.isNotNull(), _span(at + h["start"], rank, at + h["end"], c.kind))))
 
     return _placed(text, c.pattern, 0, keep)
 
 
-def scan(documents: DataFrame, text: str = "text", classes=CLASSES, allowed=ALLOWED, out: str = "secrets") -> DataFrame:
+def scan(documents: DataFrame, text: str = "text", classes=CLASSES, allowed=ALLOWED, out: str = "secrets", fillers=()) -> DataFrame:
     """``documents`` with the column ``out``: array of (start, rank, end, kind), by start, then kind in the order listed."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    arrays = [base_spans(whole, kind, i) for i, kind in enumerate(BASE)] + [entropy_spans(whole, c, len(BASE) + i, allowed) for i, c in enumerate(classes)]
+    arrays = [base_spans(whole, kind, i) for i, kind in enumerate(BASE)] + [entropy_spans(whole, c, len(BASE) + i, allowed, fillers) for i, c in enumerate(classes)]
     return documents.withColumn(out, F.array_sort(F.concat(*arrays)))
 
 
+def scan_all(documents: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
+    """``scan`` with all classes, fillers taken by themselves."""
+    return scan(documents, text, ALL_CLASSES, WHOLE, out, FILLERS)
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
