@@ -192,6 +192,13 @@ def lexicon_group_counts(spark, d):
     return english.select("doc_id", *(relevance.total(relevance.term_hits(t, ts)).cast("long").alias(f"n_{g}") for g, ts in GENERIC.items() if g != "article"))
 
 
+@query()
+def lexicon_group_counts_all(spark, d):
+    """All groups over all documents; lexicon_group_counts is the part of it that its SQL can follow."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", *(relevance.total(relevance.term_hits(t, ts)).cast("long").alias(f"n_{g}") for g, ts in GENERIC.items()))
+
+
 @query()
 def relevance_score(spark, d):
     found = relevance.scored(passages(spark, d))
