@@ -51,6 +51,14 @@ def test_lexicon_counts_are_of_all_documents_and_groups(spark, tmp_path):
     assert got[-1]["n_article"] == 8
 
 
+def test_coverage_wants_whole_items(spark, tmp_path):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda sigma tau upsilon"
+    spark.createDataFrame([(1, "x " + item[:65]), (2, "other words"), (3, "say Omicron Rho pi. and"), (4, "more words")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(8, item), (10, "omicron rho PI.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r["total"], r["hits"]) for r in registry.QUERIES["coverage_eval"](spark, str(tmp_path)).collect()] == [(2, 1)]
+    assert {r["verdict"]: r["n"] for r in registry.QUERIES["answer_verdicts"](spark, str(tmp_path)).collect()} == {"OK": 1, "UNGROUNDED": 1}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
