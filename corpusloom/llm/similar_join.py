@@ -1,11 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join: MinHash LSH at the depth of a forest, with exact verification.
 
 Words are lower-cased runs of letters, digits and underscores; a text's set is
 its runs of five words (all words where there are fewer). Texts of equal sets
-are one class from the start, so copies cost one line each. Each tree of the
-forest sorts signatures by a label of at most ``DEEPEST`` minima; two texts meet
-in a tree if their labels share a prefix. The prefix is shortened from the full
-label until a pair at the threshold meets in some tree with the target chance.
+are one class from the start, so copies cost one line each. At one fixed threshold
+the forest reduces to banding: the depth, at most ``DEEPEST`` minima, is computed
+beforehand so that a pair at the threshold meets in some tree with the target
+chance, and two texts meet in a tree if their labels at that depth are equal.
 
 What meets is joined to components, and a component is verified exactly, in
 blocks: all texts of two blocks come to one task, which counts their common
