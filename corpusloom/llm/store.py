@@ -1,31 +1,13 @@
-"""Tables that cut lineage: Parquet in the folder the cluster shares.
-
-The folder is ``spark.checkpoint.dir`` of the running session. Only where that
-is unset (tests, a laptop) a folder of this process is made and set.
-"""
+"""Tables that cut lineage, as the library stores them, and the width of keyed Python groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from pyspark.sql import SparkSession
 
+from ..operators.tables import forget, shared_dir
+from ..operators.tables import stored as written
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` stored once and read back: later reads neither recompute it nor depend on a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["forget", "shared_dir", "width", "written"]
 
 
 def width(spark: SparkSession) -> int:

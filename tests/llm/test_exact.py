@@ -129,10 +129,63 @@ def test_join_equals_brute_force(spark):
     assert kept == {find(i) for i in range(len(docs))}
 
 
-def test_prefix_is_shortened_to_the_recall():
-    for recall in (0.9, 0.99, 0.9999):
-        k = similar_join.depth(0.8, 16, recall=recall)
-        assert 1 - (1 - 0.8**k) ** 16 >= recall and (k == similar_join.DEEPEST or 1 - (1 - 0.8 ** (k + 1)) ** 16 < recall)
+def test_prefixes_end_where_the_threshold_is_sure():
+    for sure in (0.9, 0.99, 0.9999):
+        k = similar_join.depth(0.8, 16, sure=sure)
+        assert 1 - (1 - 0.8**k) ** 16 >= sure and (k == similar_join.DEEPEST or 1 - (1 - 0.8 ** (k + 1)) ** 16 < sure)
+    assert similar_join.prefixes(0.8) == [8, 6, 4] and similar_join.prefixes(0.99)[-1] == 8
+
+
+def test_a_pair_has_one_home():
+    """Over all trees and prefixes each pair that shares a shortest prefix comes up once, in blocks or not."""
+    rng = np.random.default_rng(3)
+    trees, deepest, n = 5, 8, 70
+    path = np.repeat(rng.integers(0, 9, (7, trees, deepest)), 10, axis=0).astype(np.uint16)
+    path[rng.random(path.shape) < 0.08] = 77
+    steps, seen, active = [8, 6, 4], Counter(), rng.random(n) < 0.7
+    for k, d in enumerate(steps):
+        for t in range(trees):
+            nodes = defaultdict(list)
+            for i in range(n):
+                nodes[path[i, t, :d].tobytes()].append(i)
+            for rows in nodes.values():
+                for lo, hi in [(0, 0), (0, 1), (1, 1)]:
+                    part = [i for i in rows if i % 2 in (lo, hi)]
+                    if len(part) > 1:
+                        part = np.array(part)
+                        i, j = similar_join.home_pairs(np.array([0]), np.array([len(part)]), np.full(len(part), t), (part % 2 == hi), np.full(len(part), lo != hi), active[part], path[part], d, steps[k - 1] if k else None)
+                        seen.update(frozenset((int(part[x]), int(part[y]))) for x, y in zip(i, j, strict=True))
+    want = {frozenset((i, j)) for i in range(n) for j in range(i) if (active[i] or active[j]) and any((path[i, t, :4] == path[j, t, :4]).all() for t in range(trees))}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
+def test_recall_of_the_forest_against_brute_force(spark):
+    """3,000 texts, dense groups of up to 300 and pairs close to the threshold: every link of at least 0.8 that brute force finds, but for a part in a hundred."""
+    import random
+
+    docs, r = [], random.Random(5)
+    for g in range(150):
+        words = prose(7000 + g, 60).split()
+        for j in range(300 if g < 2 else 16):
+            changed = list(words)
+            for p in r.sample(range(60), r.choice((0, 1, 1, 2))):
+                changed[p] = f"n{g}x{j}y{p}"
+            docs.append(" ".join(changed) + f" e{j % 7}")
+    sets = [similar_join.shingle_set(t, Words()) for t in docs]
+    holders, common = defaultdict(list), Counter()
+    for i, x in enumerate(sets):
+        for h in x.tolist():
+            holders[h].append(i)
+    for ids in holders.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[:k])
+    want = Counter()
+    for (a, b), n in common.items():
+        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8 - 1e-12:
+            want[a] += 1
+            want[b] += 1
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_links"] for x in similar_join.classes(df, block=64).collect()}
+    assert len(docs) > 2500 and all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.99 * sum(want.values())
 
 
 def test_url_rules_and_columns(spark):
