@@ -62,12 +62,12 @@ def jaccard_join() -> str:
 
 def decontamination() -> str:
     runs = lambda n, source, key: f"SELECT DISTINCT {key}, {n} AS run, s FROM (SELECT {key}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) AS s FROM {source} WHERE len(w) >= {n})"
-    items = " UNION ALL ".join(runs(n, f"(SELECT * FROM b WHERE {'len(w) >= 5' if n == 5 else f'len(w) = {n}'})", "item_id") for n in range(1, 6))
-    docs = " UNION ALL ".join(runs(n, f"(SELECT * FROM d WHERE {n} IN (SELECT run FROM bs))" if n < 5 else "d", "r, doc_id") for n in range(1, 6))
-    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-        bs AS ({items}), ds AS ({docs}), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-        hit AS (SELECT r, doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (run, s) GROUP BY ALL)
-        SELECT doc_id, item_id, n_item, n_shared, n_shared::DOUBLE / n_item AS containment FROM hit JOIN n USING (item_id) WHERE n_shared::DOUBLE / n_item >= 0.8 - 1e-12"""
+    items = " UNION ALL ".join(runs(n, f"(SELECT * FROM b WHERE {'len(w) >= 5' if n == 5 else f'len(w) = {n}'})", "i") for n in range(1, 6))
+    docs = " UNION ALL ".join(runs(n, f"(SELECT * FROM d WHERE {n} IN (SELECT run FROM bs))" if n < 5 else "d", "r") for n in range(1, 6))
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark),
+        bs AS ({items}), ds AS ({docs}), n AS (SELECT i, count(*) AS n_item FROM bs GROUP BY i),
+        hit AS (SELECT r, i, count(*) AS n_shared FROM ds JOIN bs USING (run, s) GROUP BY r, i)
+        SELECT doc_id, item_id, n_item, n_shared, n_shared::DOUBLE / n_item AS containment FROM hit JOIN n USING (i) JOIN d USING (r) JOIN b USING (i) WHERE n_shared::DOUBLE / n_item >= 0.8 - 1e-12"""
 
 
 def url_filter(rules: list[tuple[str, str, str]]) -> str:

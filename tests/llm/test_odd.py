@@ -54,12 +54,13 @@ def test_urls(spark):
 
 
 def test_decontamination(odd, none, spark):
-    items = spark.createDataFrame([(1, odd.filter("doc_id = 2").first()["text"]), (2, None), (3, "word"), (3, "word")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contained(odd, items))}
-    assert got == {(1, 1), (2, 1), (3, 1), (6, 3)}
+    items = spark.createDataFrame([(1, odd.filter("doc_id = 2").first()["text"]), (2, None), (3, "word"), (3, "word"), (None, "word")], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contained(odd, items))]
+    assert sorted(got, key=str) == [(1, 1), (1, 1), (2, 1), (3, 1), (6, 3), (6, 3), (6, None)]  # a row for each pair of rows, null ids too
     assert rows(decontaminate.contained(none, items)) == [] and rows(decontaminate.contained(odd, items.limit(0))) == []
     clean = decontaminate.clean(odd, items)
     assert clean.columns == odd.columns and clean.count() == N - 5
+    assert decontaminate.clean(odd, items.filter("item_id is null")).count() == N - 1
     assert decontaminate.clean(none, items).count() == 0 and decontaminate.clean(odd, items.limit(0)).count() == N
 
 
