@@ -73,7 +73,7 @@ def decontamination() -> str:
 def url_filter(rules: list[tuple[str, str, str]]) -> str:
     case = lambda what: "CASE " + " ".join(f"WHEN (host = {_q(h)} OR ends_with(host, {_q('.' + h)})) AND starts_with(path, {_q(p)}) THEN {_q(v if what == 'verdict' else h + p)}" for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2]))) + " END"
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    fold = rf"regexp_replace(translate(url, '{upper}123456789^', '{low}000000000~'), '[^a-z0/.\-_?=&#:%]', '~', 'g')"
+    fold = rf"regexp_replace(translate(url, '{upper}', '{low}'), '[^a-z0-9/.\-_?=&#:%]', '~', 'g')"
     p = lambda x: f"({x}3 + greatest({x}t3, 1) * (({x}2 + greatest({x}t2, 1) * (({x}1 + 0.5) / ({x}n + 0.5 * symbols))) / ({x}n2 + greatest({x}t2, 1)))) / ({x}n3 + greatest({x}t3, 1))"
     return f"""WITH u AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{low}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
         j AS (SELECT *, {case('rule')} AS rule, {case('verdict')} AS said FROM u),

@@ -7,13 +7,14 @@ blended by Witten-Bell weights, so a context counts as much as it has been
 seen. A URL's score is its log-likelihood difference over its length; the
 threshold is where two normal fits to held-out scores of either side balance.
 
-Characters fold to 39 symbols, so a model has at most 39**3 rows whatever the
+Characters fold to 48 symbols, so a model has at most 48**3 rows whatever the
 input: the only broadcast. All of it is DataFrame operations.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path; a URL
 without characters is allowed unless a rule fits; with one side unseen every
 undecided URL takes the other side's verdict, with neither ``allow``; equal URLs
-get equal verdicts; every row of the input is returned, also repeated ones.
+get equal verdicts; every row of the input is returned, also repeated ones, with
+its other columns; columns named like the five results are replaced.
 """
 
 from __future__ import annotations
@@ -46,14 +47,13 @@ def by_rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def grams(url: Column) -> Column:
-    """Each character with the two before it; symbols: a-z, 0 for digits, ten marks, ~ for the rest, ^ before the start."""
-    folded = F.translate(url, UPPER + "123456789^", LOWER + "000000000~")
-    folded = F.regexp_replace(folded, r"[^a-z0/.\-_?=&#:%]", "~")
+    """Each character with the two before it; symbols: a-z, digits, ten marks, ~ for the rest, ^ before the start."""
+    folded = F.regexp_replace(F.translate(url, UPPER, LOWER), r"[^a-z0-9/.\-_?=&#:%]", "~")
     return F.when(F.length(url) > 0, F.transform(F.sequence(F.lit(1), F.length(url)), lambda i: F.substring(F.concat(F.lit("^^"), folded), i, F.lit(3))))
 
 
-def markov_ratio(counts: DataFrame) -> DataFrame:
-    """gram, ratio: log P(allowed) - log P(blocked) of its last character after the first two; ``counts``: gram, a, b."""
+def markov(counts: DataFrame) -> DataFrame:
+    """gram, p_a, p_b: chance of its last character after the first two, on either side; ``counts``: gram, a, b."""
     parts = counts.select("gram", "a", "b", F.substring("gram", 1, 2).alias("ctx"), F.substring("gram", 2, 1).alias("mid"), F.substring("gram", 3, 1).alias("last"))
     both = lambda df, *keys: df.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     seen = lambda df, key, n: df.groupBy(key).agg(*(f(x).alias(f"{x}_{m}{n}") for x in "ab" for m, f in (("n", F.sum), ("t", lambda c: F.sum((F.col(c) > 0).cast("int"))))))
@@ -62,19 +62,24 @@ def markov_ratio(counts: DataFrame) -> DataFrame:
     rows = parts.join(seen(parts, "ctx", 3), "ctx").join(seen(pairs, "mid", 2), "mid")
     rows = rows.join(pairs.select("mid", "last", F.col("a").alias("a2"), F.col("b").alias("b2")), ["mid", "last"]).join(ones.select("last", F.col("a").alias("a1"), F.col("b").alias("b1")), "last")
 
-    def log_p(x: str) -> Column:
+    def chance(x: str) -> Column:
         p = (F.col(f"{x}1") + 0.5) / F.lit(float(total[f"{x}_n1"] or 0) + 0.5 * (total["symbols"] or 1))
         for n, own in ((2, F.col(f"{x}2")), (3, F.col(x))):
             t = F.greatest(F.col(f"{x}_t{n}"), F.lit(1))  # an unseen context leaves all to the lower order
             p = (own + t * p) / (F.col(f"{x}_n{n}") + t)
-        return F.ln(p)
+        return p
 
-    return rows.select("gram", (log_p("a") - log_p("b")).alias("ratio"))
+    return rows.select("gram", chance("a").alias("p_a"), chance("b").alias("p_b"))
+
+
+RESULTS = ("host", "path", "rule", "verdict", "score")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict and score (null where no character was scored)."""
-    taken = pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
+    if url in RESULTS:
+        raise ValueError(f"the URL's column cannot be named {url}")
+    taken = pages.select(*(f"`{c}`" for c in pages.columns if c not in RESULTS)).withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
     rule, said = by_rule(rules)
     each = pages.filter(F.col(url).isNotNull()).groupBy(F.col(url).alias("url")).agg(F.count(F.lit(1)).alias("n"))
     each = each.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url"))).withColumn("said", said)
@@ -84,7 +89,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "url")
     split = each.repartition(width(pages.sparkSession)).select("url", "n", "said", "held", F.explode(grams(F.col("url"))).alias("gram"))
     trains = ~F.col("held")
     counts = written(split.groupBy("gram").agg(*(F.sum(F.when((F.col("said") == v) & trains, F.col("n")).otherwise(0)).alias(x) for x, v in (("a", "allow"), ("b", "block")))), "url-grams")
-    model = markov_ratio(counts)
+    model = markov(counts).select("gram", (F.ln("p_a") - F.ln("p_b")).alias("ratio"))
     scored = written(split.join(F.broadcast(model), "gram").groupBy("url", "said", "held", "n").agg((F.sum(F.col("ratio").cast("decimal(20,9)")).cast("double") / F.count(F.lit(1))).alias("score")), "url-scores")
 
     fit = {r["said"]: r for r in scored.filter("said is not null").filter("held").groupBy("said").agg(F.avg("score").alias("m"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("s")).collect()}

@@ -202,9 +202,32 @@ def test_url_rules_and_columns(spark):
 def test_markov_distributions_sum_to_one(spark):
     import itertools
 
-    df = spark.createDataFrame([(a + b + c, (ord(a) + ord(b) * ord(c)) % 3, ord(c) % 2) for a, b, c in itertools.product("ab", "abc", "abcd")], "gram string, a long, b long")
-    ratio = {r["gram"]: r["ratio"] for r in url_filter.markov_ratio(df).collect()}
-    assert len(ratio) == 24 and all(math.isfinite(x) for x in ratio.values())
+    counts = {a + b + c: ((ord(a) + ord(b) * ord(c)) % 3, ord(c) % 2) for a, b, c in itertools.product("ab", "abcd", "abcd")}
+    df = spark.createDataFrame([(g, *n) for g, n in counts.items()], "gram string, a long, b long")
+    got = {r["gram"]: (r["p_a"], r["p_b"]) for r in url_filter.markov(df).collect()}
+    assert got.keys() == counts.keys()
+    for side in (0, 1):
+        n = {g: x[side] for g, x in counts.items()}
+        for ctx in {g[:2] for g in n}:
+            assert sum(p[side] for g, p in got.items() if g[:2] == ctx) == pytest.approx(1)
+        for g in n:  # Witten-Bell by hand
+            p = (sum(v for x, v in n.items() if x[2] == g[2]) + 0.5) / (sum(n.values()) + 0.5 * 4)
+            for k in (1, 0):
+                same = defaultdict(int)
+                for x, v in n.items():
+                    if x[k:2] == g[k:2]:
+                        same[x[2]] += v
+                t = max(1, sum(v > 0 for v in same.values()))
+                p = (same[g[2]] + t * p) / (sum(same.values()) + t)
+            assert got[g][side] == pytest.approx(p)
+
+
+def test_rules_on_digits_are_learnt(spark):
+    """URLs that only their digit tells apart, where no rule decides."""
+    urls = [f"http://h{i % 5}.com/en/{d}{'abcdefg'[i % 7]}{i}" for i in range(120) for d in "37"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, "//x/en/3z", "//x/en/7z"])], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(df, [("block", "com", "/en/"), ("allow", "com", "/en/7")]).collect()}
+    assert (got[240], got[241]) == ("block", "allow")
 
 
 def test_containment_equals_brute_force(spark):

@@ -46,9 +46,9 @@ def test_unlike_texts_of_one_id_all_stay(spark):
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (None, "http://a.com/en/", "x"), (2, "http://a.com/en/", "x"), (2, "http://a.com/en/", "x"), (3, "h" * 5000, "x")], "page_id long, url string, verdict string")
+    df = spark.createDataFrame([(i, u, "x", 1.0, "y", "z", "w") for i, u in [(1, None), (1, ""), (None, "http://a.com/en/"), (2, "http://a.com/en/"), (2, "http://a.com/en/"), (3, "h" * 5000)]], "page_id long, url string, verdict string, score double, host string, n string, said string")
     got = rows(url_filter.judge(df, [("block", "com", "/en/")]))
-    assert len(got) == 6 and sum(r["rule"] == "com/en/" for r in got) == 3 and all(r["verdict"] == "block" for r in got)
+    assert len(got) == 6 and sum(r["rule"] == "com/en/" for r in got) == 3 and {r["said"] for r in got} == {"w"} and {r["host"] for r in got} == {"", "a.com"} and all(r["verdict"] == "block" for r in got)
     assert rows(url_filter.judge(df.limit(0), [("block", "com", "/en/")])) == []
     assert {r["verdict"] for r in rows(url_filter.judge(df, []))} == {"allow"}
 
