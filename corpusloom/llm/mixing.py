@@ -9,8 +9,12 @@ Newton round over the exact histogram (source, size, documents). The rate of a
 document is 2 * sigmoid(lambda * size / mean size of its source).
 
 Rates become copies by sequential Poisson sampling: the whole part is taken,
-then documents in the order u / fraction (u: a hash of the id) get one more
-copy until the source's words reach its target, to half a document. Sums are
+then documents in the order u / fraction (u: a hash of id and text) get one more
+copy until the source's words reach its target, to half a document. No source is
+sorted: the place in the order is a number of 53 bits, and the one at which the
+target is met is found ten bits at a time, each round summing the words of 1,024
+steps of what is left, until a step holds at most ``EDGE`` documents. Rows equal in id and
+text, which share a place, are told apart by 53 bits more, of a row number. Sums are
 decimal, so neither order of summation nor partitioning changes a result.
 
 Edge cases: null text counts 0 words; a null source is a source of its own,
@@ -30,8 +34,8 @@ from .store import written
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this number go to joins as a broadcast; beyond it Spark picks the join.
 BROADCAST_SOURCES = 10_000
-#: Steps of the sampling order that are summed before any single document is looked at.
-STEPS = 1024
+#: Documents of a source that are put in order one by one; bits of a place, and bits a round.
+EDGE, PLACE, DIGIT = 1000, 53, 10
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -65,8 +69,11 @@ def _rate(lam, size, mean):
     return F.when(lam > 1e300, F.lit(2.0)).when(lam < -1e300, F.lit(0.0)).otherwise(2.0 / (1.0 + F.exp(-x)))
 
 
-def dual(histogram: DataFrame, sizes: dict[str, int], docs: dict[str, int], targets: dict[str, float], rounds: int = 40) -> dict[str, float]:
-    """The multiplier of each source by safeguarded Newton rounds; ``histogram``: key, size, n."""
+def dual(histogram: DataFrame, sizes: dict[str, int], docs: dict[str, int], targets: dict[str, float], rounds: int = 100) -> dict[str, float]:
+    """The multiplier of each source by safeguarded Newton rounds (every fourth one halves the bracket); ``histogram``: key, size, n.
+
+    Targets are met to half a word, or a part in ten million; a source that does not get there in ``rounds`` is an error.
+    """
     lam, low, high, live = {}, {}, {}, set()
     for k, s in sizes.items():
         if s == 0 or targets[k] <= 0:
@@ -79,9 +86,11 @@ def dual(histogram: DataFrame, sizes: dict[str, int], docs: dict[str, int], targ
             low[k], high[k] = -math.inf, math.inf
             live.add(k)
     mean = {k: max(sizes[k] / max(docs[k], 1), 1e-9) for k in sizes}
-    for _ in range(rounds):
+    for i in range(rounds + 1):
         if not live:
             break
+        if i == rounds:
+            raise RuntimeError(f"no multiplier after {rounds} rounds for {len(live)} sources")
         part = _beside(histogram, [(k, lam[k], mean[k]) for k in sorted(live)], "key string, lam double, mean double")
         rate = _rate(F.col("lam"), F.col("size"), F.col("mean"))
         curve = rate * (2.0 - rate) / 2.0 * F.col("size") * F.col("size") / F.col("mean")
@@ -96,14 +105,41 @@ def dual(histogram: DataFrame, sizes: dict[str, int], docs: dict[str, int], targ
             else:
                 low[k] = lam[k]
             step = lam[k] - gap / slope if slope > 0 else math.nan
-            if not low[k] < step < high[k]:
+            if not low[k] < step < high[k] or i % 4 == 3:
                 a, b = low[k], high[k]
                 step = (a + b) / 2 if math.isfinite(a) and math.isfinite(b) else lam[k] * 2 + (1 if gap < 0 else -1) * 4
             lam[k] = step
     return lam
 
 
-def mix(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def _cuts(rated: DataFrame, targets: dict[str, float], edge: int = EDGE) -> dict[str, tuple]:
+    """For each source the step at which its words meet the target: bits and value of place, bits and value of tie, words before the step, words to add in all."""
+    first = rated.groupBy("key").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"), F.count("place").alias("n")).collect()
+    room = {r["key"]: targets[r["key"]] - float(r["sure"] or 0) for r in first}
+    at = {r["key"]: [0, 0, 0, 0, 0] for r in first}  # bits, prefix, bits of tie, prefix of tie, words before
+    at.update({k: [PLACE, -1, 0, 0, 0] for k in at if room[k] <= 0})  # nobody is taken
+    live = {r["key"] for r in first if r["n"] > edge and room[r["key"]] > 0}
+    while live:
+        part = _beside(rated.filter("place is not null"), [(k, *at[k][:4]) for k in sorted(live)], "key string, b1 int, p1 long, b2 int, p2 long").filter(_AT)
+        finer = F.expr(f"CASE WHEN b1 < {PLACE} THEN shiftright(place, greatest({PLACE} - b1 - {DIGIT}, 0)) ELSE shiftright(tie, greatest({PLACE} - b2 - {DIGIT}, 0)) END")
+        steps = part.groupBy("key", finer.alias("step")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))  # at most 2 ** DIGIT a source
+        left = _beside(steps, [(k, room[k] - at[k][4]) for k in sorted(live)], "key string, left double")
+        left = left.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("key").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        for r in left.groupBy("key").agg(F.max(F.when(F.col("before") < F.col("left"), F.struct("step", "before", "n"))).alias("c")).collect():
+            k, c = r["key"], r["c"]
+            a = at[k]
+            i = 0 if a[0] < PLACE else 2
+            a[i], a[i + 1], a[4] = min(PLACE, a[i] + DIGIT), c["step"], a[4] + int(c["before"])
+            if c["n"] <= edge or a[2] == PLACE:
+                live.discard(k)
+    return {k: (*at[k], room[k]) for k in at}
+
+
+_AHEAD = f"shiftright(place, {PLACE} - b1) < p1 OR (shiftright(place, {PLACE} - b1) = p1 AND b2 > 0 AND shiftright(tie, {PLACE} - b2) < p2)"
+_AT = f"shiftright(place, {PLACE} - b1) = p1 AND (b2 = 0 OR shiftright(tie, {PLACE} - b2) = p2)"
+
+
+def mix(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, edge: int = EDGE) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate for each row of ``documents``."""
     if most != 2.0:
         raise ValueError("the base law has two draws a document")
@@ -112,6 +148,8 @@ def mix(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
             "doc_id",
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("z")).alias("key"),  # "z" comes after every "s..."
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64("doc_id", "text", F.lit("mix")).alias("u"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "mix-sizes",
     )
@@ -126,21 +164,17 @@ def mix(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
 
     rated = _beside(sized, [(k, sizes[k], targets[k], lam[k], mean[k]) for k in keys], "key string, source_size long, target double, lam double, mean double")
     rate = _rate(F.col("lam"), F.col("size"), F.col("mean"))
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11) + 1) / F.lit(float(2**53))
+    u = (F.shiftrightunsigned("u", 11) + 1) / F.lit(float(2**PLACE))
     rated = rated.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("order", F.when(F.col("rate") > F.col("whole"), u / (F.col("rate") - F.col("whole"))))
-    rated = rated.withColumn("step", F.floor(F.col("order") / (F.col("order") + 1.0) * STEPS).cast("int"))
-
-    # Words the whole copies bring, and each step of the order: K * STEPS rows at most.
-    steps = rated.groupBy("key", "target", "step").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure"))
-    w = Window.partitionBy("key")
-    steps = steps.withColumn("left", F.col("target") - F.sum("sure").over(w)).filter("step is not null")
-    steps = steps.withColumn("before", F.sum("words").over(w.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))).na.fill({"before": 0})
-    cut = steps.groupBy("key").agg(F.max("left").alias("left"), F.max(F.when(F.col("before") < F.col("left"), F.struct("step", "before"))).alias("at"))
-    cuts = {r["key"]: (r["at"]["step"], r["at"]["before"], r["left"]) if r["at"] else (-1, 0, 0.0) for r in cut.collect()}
-    dealt = _beside(rated, [(k, *map(float, cuts.get(k, (-1, 0, 0.0)))) for k in keys], "key string, cut double, used double, room double")
+    place = F.least(F.floor(F.col("order") / (F.col("order") + 1.0) * float(2**PLACE)).cast("long"), F.lit(2**PLACE - 1))
+    rated = rated.withColumn("place", place).withColumn("tie", F.shiftrightunsigned(F.xxhash64("row", F.lit("tie")), 64 - PLACE))
+
+    cuts = _cuts(rated, targets, edge)
+    dealt = _beside(rated, [(k, *cuts[k][:4], float(cuts[k][4]), cuts[k][5]) for k in keys], "key string, b1 int, p1 long, b2 int, p2 long, used double, room double")
     out = ["doc_id", "size", "source_size", "target", "rate"]
-    plain = dealt.filter(F.col("step").isNull() | (F.col("step") != F.col("cut"))).select(*out, (F.col("whole") + F.when(F.col("step") < F.col("cut"), 1).otherwise(0)).cast("int").alias("copies"))
+    at = F.coalesce(F.expr(_AT), F.lit(False))
+    plain = dealt.filter(~at).select(*out, (F.col("whole") + F.when(F.expr(_AHEAD), 1).otherwise(0)).cast("int").alias("copies"))
     # Only the documents of the step that the target falls into are ordered one by one.
-    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = dealt.filter(F.col("step") == F.col("cut")).withColumn("ahead", ahead).select(*out, (F.col("whole") + F.when(F.col("used") + F.col("ahead") + F.col("size") / 2.0 <= F.col("room"), 1).otherwise(0)).cast("int").alias("copies"))
-    return plain.unionByName(edge).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("place", "tie").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = dealt.filter(at).withColumn("ahead", ahead).select(*out, (F.col("whole") + F.when(F.col("used") + F.col("ahead") + F.col("size") / 2.0 <= F.col("room"), 1).otherwise(0)).cast("int").alias("copies"))
+    return plain.unionByName(last).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
