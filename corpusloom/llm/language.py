@@ -7,8 +7,9 @@ and place; for use, the tables of two neighbouring bytes are added up front.
 Every window of a whole text is judged, in batches, and a text's language is
 that of the greatest mean probability, windows weighted by their bytes.
 
-Training reads windows of at most ``DOCS_PER_LANGUAGE`` texts of each language
-(a documented bound), picked by a hash of the id.
+Training reads at most ``DOCS_PER_LANGUAGE`` different texts of each language, picked
+by a hash of the text, and of each at most ``WINDOWS_PER_DOC`` windows, evenly spread
+(documented bounds, both parameters).
 
 Edge cases: null text, or text without a letter, is ``und`` with score 0; a
 text shorter than a window is padded; very long texts are judged window by
@@ -55,8 +56,35 @@ class Network:
         self.params |= {f"b{w}": np.zeros(filters) for w in WIDTHS}
         self.params |= {"v": rng.normal(0, 0.1, (filters * len(WIDTHS), len(classes))), "c": np.zeros(len(classes))}
 
+    def gradient(self, xb: np.ndarray, yb: np.ndarray, decay: float = 1e-4) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy (and ``decay`` / 2 times the squares of v); a pooled filter passes it at its best place only."""
+        p, best, pooled = self.params, {}, []
+        for w in WIDTHS:
+            n = WINDOW - w + 1
+            conv = sum(p[f"w{w}"][j][xb[:, j : j + n]] for j in range(w))
+            best[w] = conv.argmax(axis=1)
+            pooled.append(np.take_along_axis(conv, best[w][:, None, :], axis=1)[:, 0] + p[f"b{w}"])
+        h = np.maximum(np.concatenate(pooled, axis=1), 0)
+        z = h @ p["v"] + p["c"]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        d = z / z.sum(axis=1, keepdims=True)
+        d[np.arange(len(xb)), yb] -= 1
+        d /= len(xb)
+        grad = {"v": h.T @ d + decay * p["v"], "c": d.sum(axis=0)}
+        dh = (d @ p["v"].T) * (h > 0)
+        f = p["b2"].shape[0]
+        for i, w in enumerate(WIDTHS):
+            g = dh[:, i * f : (i + 1) * f]
+            grad[f"b{w}"] = g.sum(axis=0)
+            dw = np.zeros_like(p[f"w{w}"])
+            lane = np.broadcast_to(np.arange(f), g.shape)
+            for j in range(w):
+                np.add.at(dw[j], (np.take_along_axis(xb, best[w] + j, axis=1), lane), g)
+            grad[f"w{w}"] = dw
+        return grad
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Network:
-        """Adam on cross-entropy; gradients pass a pooled filter at its best place only."""
+        """Adam on the gradient of shuffled batches."""
         rng, p = np.random.default_rng(seed), self.params
         moments = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in p.items()}
         step = 0
@@ -64,32 +92,8 @@ class Network:
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 rows = order[at : at + batch]
-                xb, yb = x[rows], y[rows]
-                best, pooled = {}, []
-                for w in WIDTHS:
-                    n = WINDOW - w + 1
-                    conv = sum(p[f"w{w}"][j][xb[:, j : j + n]] for j in range(w))
-                    best[w] = conv.argmax(axis=1)
-                    pooled.append(np.take_along_axis(conv, best[w][:, None, :], axis=1)[:, 0] + p[f"b{w}"])
-                h = np.maximum(np.concatenate(pooled, axis=1), 0)
-                z = h @ p["v"] + p["c"]
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                d = z / z.sum(axis=1, keepdims=True)
-                d[np.arange(len(rows)), yb] -= 1
-                d /= len(rows)
-                grad = {"v": h.T @ d + 1e-4 * p["v"], "c": d.sum(axis=0)}
-                dh = (d @ p["v"].T) * (h > 0)
-                f = p["b2"].shape[0]
-                for i, w in enumerate(WIDTHS):
-                    g = dh[:, i * f : (i + 1) * f]
-                    grad[f"b{w}"] = g.sum(axis=0)
-                    dw = np.zeros_like(p[f"w{w}"])
-                    lane = np.broadcast_to(np.arange(f), g.shape)
-                    for j in range(w):
-                        np.add.at(dw[j], (np.take_along_axis(xb, best[w] + j, axis=1), lane), g)
-                    grad[f"w{w}"] = dw
                 step += 1
-                for k, g in grad.items():
+                for k, g in self.gradient(x[rows], y[rows]).items():
                     m, v = moments[k]
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
@@ -123,19 +127,19 @@ def probabilities(tables: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def train(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> Network | None:
-    """A network from ``labelled`` (doc_id, text, lang), none where nothing is labelled."""
-    given = labelled.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC) -> Network | None:
+    """A network from ``labelled`` (text, lang), none where nothing is labelled."""
+    given = labelled.filter("lang is not null and text is not null").withColumn("key", F.xxhash64("text", F.lit("lang")))
+    counts = {r["lang"]: r["n"] for r in given.select("lang", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("lang")), 11) / F.lit(float(2**53))
+    u = F.shiftrightunsigned("key", 11) / F.lit(float(2**53))
     share = F.lit(None).cast("double")
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(1.1 * per_language / n)).otherwise(share)
     room = F.greatest(F.length("text") - WINDOW, F.lit(0))
-    cuts = [F.substring(F.col("text"), (room * i / max(1, WINDOWS_PER_DOC - 1)).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_PER_DOC)]
-    rows = given.filter(u < share).select("lang", u.alias("u"), F.array_distinct(F.array(*cuts)).alias("cuts")).collect()
+    cuts = [F.substring(F.col("text"), (room * i / max(1, windows_per_doc - 1)).cast("int") + 1, F.lit(WINDOW)) for i in range(windows_per_doc)]
+    rows = given.filter(u < share).select("lang", u.alias("u"), F.array_distinct(F.array(*cuts)).alias("cuts")).distinct().collect()
     classes = sorted(counts)
     x, y, taken = [], [], dict.fromkeys(classes, 0)
     for r in sorted(rows, key=lambda r: (r["u"], r["cuts"])):

@@ -96,6 +96,39 @@ def test_mix_comes_near_targets_and_repeats(spark):
     assert all(abs(t - goal) <= 60 for t, goal in by.values())
 
 
+@pytest.mark.parametrize("edge", [3, 1000])
+def test_mix_equals_brute_force(spark, edge):
+    """Rates by bisection of the dual, copies by sorting each source; one id and text makes up a third of the rows."""
+    rows = [(1, "w " * 9, "a")] * 60 + [(2 + i, " ".join(["w"] * (1 + i * 7919 % 60)), "abc"[i % 3] if i % 7 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = [(r["u"], r["doc_id"], r["text"], r["source"]) for r in df.select(mixing.F.xxhash64("doc_id", "text", mixing.F.lit("mix")).alias("u"), "*").collect()]
+    want = Counter()
+    by = defaultdict(list)
+    for u, i, t, s in hashed:
+        by[s].append(((u % 2**64 >> 11) + 1, i, len(t.split())))
+    names = sorted((s for s in by if s), key=str.encode) + [None]
+    goals = mixing.water_fill([sum(n for *_, n in by[s]) for s in names], [3, 1, 2, 3], 1.5, 2.0)
+    for s, goal in zip(names, goals, strict=True):
+        docs, total = by[s], sum(n for *_, n in by[s])
+        mean, lo, hi = total / len(docs), -60.0, 60.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            lo, hi = (lam, hi) if sum(2 * n / (1 + math.exp(-lam * n / mean)) for *_, n in docs) < goal else (lo, lam)
+        near = mixing.dual(spark.createDataFrame([("k", n, c) for n, c in Counter(n for *_, n in docs).items()], "key string, size long, n long"), {"k": total}, {"k": len(docs)}, {"k": goal})["k"]
+        if goal < 2 * total:
+            assert near == pytest.approx(lam, abs=0.01)
+        rate = [2.0 if goal >= 2 * total else 2 / (1 + math.exp(-near * n / mean)) for *_, n in docs]
+        left = goal - sum(int(r) * n for r, (*_, n) in zip(rate, docs, strict=True))
+        order = sorted((u / 2**53 / (r - int(r)) if r > int(r) else math.inf, i, n, r) for r, (u, i, n) in zip(rate, docs, strict=True))
+        ahead = 0
+        for o, i, n, r in order:
+            more = o < math.inf and ahead + n / 2 <= left
+            want[i, n, int(r) + more] += 1
+            ahead += n if o < math.inf else 0
+    got = Counter((r["doc_id"], r["size"], r["copies"]) for r in mixing.mix(df, edge=edge).collect())
+    assert got == want
+
+
 def test_join_equals_brute_force(spark):
     docs = []
     for i in range(40):
@@ -292,6 +325,31 @@ def test_language_is_told_on_held_out_text(spark):
     assert sum(got[i] == ("aa", "bb", "cc")[i % 3] for i in got) / len(got) >= 0.95
 
 
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(2)
+    net = language.Network(["a", "b", "c"], filters=3)
+    for p in net.params.values():
+        p += rng.normal(0, 0.3, p.shape)
+    x, y = rng.integers(97, 105, (6, language.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 2, 1, 0])
+
+    def loss():
+        pooled = [sum(net.params[f"w{w}"][j][x[:, j : j + language.WINDOW - w + 1]] for j in range(w)).max(axis=1) + net.params[f"b{w}"] for w in language.WIDTHS]
+        z = np.maximum(np.concatenate(pooled, axis=1), 0) @ net.params["v"] + net.params["c"]
+        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(6), y]) + 0.05 * (net.params["v"] ** 2).sum())
+
+    grad = net.gradient(x, y, decay=0.1)
+    for name, p in net.params.items():
+        places = [(w, b, f) for w in range(p.shape[0]) for b in range(97, 105) for f in range(p.shape[2])] if p.ndim == 3 else list(np.ndindex(p.shape))
+        for at in places[:: max(1, len(places) // 12)]:
+            was = p[at]
+            p[at] = was + 1e-6
+            up = loss()
+            p[at] = was - 1e-6
+            down = loss()
+            p[at] = was
+            assert grad[name][at] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
 def test_tables_of_two_bytes_equal_the_filters():
     net = language.Network(["a", "b"], filters=3)
     x = np.random.default_rng(1).integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
