@@ -1,20 +1,24 @@
 """Toxicity: classifier chains over words and their beginnings.
 
-Labels say toxic or not; the categories before that are read off toxic texts by
-words: seed words (a parameter) and, since those are of one language, all words and
-beginnings that hardly occur but in toxic rows of the training sample, whatever
-their language. Each of these joins the category that misses most of its rows, so
-that no vocabulary leaves a category without rows; it says nothing about meaning.
-A chain predicts the categories in order, each with a
-linear model of the words and of the probabilities of the categories before it.
-For training, those probabilities come from models that have not seen the row
-(out of fold); for use, from models of all rows. The last category is the label
-itself, and the threshold on it is the one with the best F1 out of fold.
+A chain predicts categories in order, each with a linear model of the words and of
+the probabilities of the categories before it. For training, those probabilities
+come from models that have not seen the row (out of fold); for use, from models of
+all rows. The last category is the label ``toxic`` itself, and the threshold on it
+is the one with the best F1 out of fold.
+
+The categories before it come from the data. First every other column of the labels
+that holds 0 and 1 (here: quality). Then ``KINDS`` kinds of toxic text: the toxic rows
+of the training sample are grouped by the telling words that they hold, those that
+are rare in clean rows, by spherical k-means from starts that lie far apart; a
+kind's label is set in its rows. No word list is given, so the kinds are whatever
+vocabularies, of whatever language, the toxic rows have; they carry numbers, not
+meanings. A toxic row without any telling word is of no kind.
 
 Training reads at most ``TRAIN_DOCS`` labelled documents, toxic and clean alike,
-picked by a hash of the id (a documented bound), to find at most ``FEATURES``
-words and beginnings of words (3 to 6 letters, written ``^abc``: compounds and
-inflections of one stem) that tell the two apart. Every document is then judged by its whole text.
+picked by a hash of the id, to find at most ``FEATURES`` words and beginnings of
+words (3 to 6 letters, written ``^abc``: compounds and inflections of one stem) that
+tell the two apart (documented bounds, both parameters). Every document is then
+judged by its whole text.
 
 Edge cases: null text is empty and gets the base rate; without labels of both
 kinds nothing is toxic and scores are the base rate (0 without any label);
@@ -39,15 +43,9 @@ from ..session import ship
 from .shingles import words
 
 WORD = re.compile(r"\w+")
-#: Seed words of the categories before the label itself (fixed values); the others are dealt to them by ``dealt``.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown"),
-    "contempt": ("trash", "scum", "worthless"),
-    "demeaning": ("stupid", "pathetic", "disgusting"),
-}
-TRAIN_DOCS, FEATURES, FOLDS = 4000, 512, 4
+TRAIN_DOCS, FEATURES, FOLDS, KINDS = 4000, 512, 4, 3
 STEMS = (3, 4, 5, 6)
-#: A word of a category is in this many toxic rows at least, and in so many times the share of clean rows.
+#: A telling word is in this many toxic rows at least, and in so many times the share of clean rows.
 LEAST, PURE = 5, 20
 
 
@@ -92,7 +90,6 @@ class Features(dict):
 class Chain:
     vocabulary: dict[str, int] = field(default_factory=dict)
     categories: list[str] = field(default_factory=list)
-    groups: dict[str, set[str]] = field(default_factory=dict)
     weights: list[np.ndarray] = field(default_factory=list)
     threshold: float = 0.5
     base: float = 0.0
@@ -143,25 +140,27 @@ class Chain:
         return probs
 
 
-def dealt(categories: dict[str, tuple[str, ...]], telling: list[str], toxic: list[set[str]]) -> dict[str, set[str]]:
-    """Words of each category: its seeds, and of ``telling`` those that came to it; ``toxic``: the words of each toxic row."""
-    groups = {k: set(ws) for k, ws in categories.items()}
-    if not groups:
-        return groups
-    seeds = set().union(*groups.values())
-    rows: dict[str, set[int]] = {w: set() for w in telling if w not in seeds and not any(w.startswith("^") and x.startswith(w[1:]) for x in seeds)}
-    covered: dict[str, set[int]] = {k: set() for k in groups}
-    for i, has in enumerate(toxic):
-        for w in has & rows.keys():
-            rows[w].add(i)
-        for k, ws in groups.items():
-            if not has.isdisjoint(ws):
-                covered[k].add(i)
-    for w, found in rows.items():
-        k = min(groups, key=lambda g: (len(found & covered[g]), len(covered[g])))  # the first of equals
-        groups[k].add(w)
-        covered[k] |= found
-    return groups
+def kinds(x: np.ndarray, k: int, rounds: int = 30) -> np.ndarray:
+    """The kind, from 0, of each row of ``x`` (0 or 1 a telling word), -1 for a row of zeros: spherical k-means, a pure function of ``x``."""
+    out = np.full(len(x), -1)
+    rows = np.flatnonzero(x.any(axis=1))
+    if not len(rows) or not k:
+        return out
+    unit = x[rows] / np.linalg.norm(x[rows], axis=1, keepdims=True)
+    near = unit @ (unit.sum(axis=0) / np.linalg.norm(unit.sum(axis=0)))
+    centres = [unit[near.argmax()]]
+    while len(centres) < k:  # the row furthest from all so far
+        centres.append(unit[(unit @ np.stack(centres).T).max(axis=1).argmin()])
+    centres = np.stack(centres)
+    for _ in range(rounds):
+        of = (unit @ centres.T).argmax(axis=1)
+        sums = np.stack([unit[of == c].sum(axis=0) if (of == c).any() else centres[c] for c in range(k)])
+        then = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        if np.allclose(then, centres):
+            break
+        centres = then
+    out[rows] = (unit @ centres.T).argmax(axis=1)
+    return out
 
 
 def _features(text: Column) -> Column:
@@ -169,14 +168,18 @@ def _features(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(words(text)), named)))
 
 
-def train(documents: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] | None = None, most: int = TRAIN_DOCS, features: int = FEATURES) -> Chain:
-    categories = CATEGORIES if categories is None else categories
-    chain = Chain(categories=[*categories, "toxic"])
-    given = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def train(documents: DataFrame, labels: DataFrame, categories: list[str] | None = None, n_kinds: int = KINDS, most: int = TRAIN_DOCS, features: int = FEATURES) -> Chain:
+    """``categories``: columns of ``labels`` (0, 1 or null) to begin the chain with; by default all integer ones but doc_id and toxic."""
+    if categories is None:
+        categories = [f.name for f in labels.schema.fields if f.name not in ("doc_id", "toxic") and f.dataType.typeName() in ("byte", "short", "integer", "long", "boolean")]
+    names = [*categories, *(f"kind_{i + 1}" for i in range(n_kinds))]
+    chain = Chain(categories=[*names, "toxic"])
+    most_of = lambda c: F.coalesce(F.max(F.col(f"`{c}`").cast("int")), F.lit(0))
+    given = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.array(*map(most_of, categories)).cast("array<int>").alias("other"))
     picked = given.withColumn("u", F.xxhash64("doc_id", F.lit("toxicity")))
     halves = [picked.filter(F.col("toxic") == v).orderBy("u", "doc_id").limit(most // 2) for v in (1, 0)]
-    picked = halves[0].unionByName(halves[1])  # at most ``most`` rows of three numbers
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "u", _features(F.col("text")).alias("w")).persist()
+    picked = halves[0].unionByName(halves[1])  # at most ``most`` rows of a few numbers
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "other", "u", _features(F.col("text")).alias("w")).distinct().persist()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if set(sizes) != {0, 1}:
         rows.unpersist()
@@ -186,23 +189,23 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, tuple[s
     by_word = rows.select("toxic", F.explode("w").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     pt, pc = (F.col("t") + 0.5) / (sizes[1] + 1), (F.col("c") + 0.5) / (sizes[0] + 1)
     gain = F.abs(pt - pc) / F.sqrt((pt * (1 - pt)) / sizes[1] + (pc * (1 - pc)) / sizes[0])
-    seeds = {w for ws in categories.values() for w in ws}
     best = by_word.filter((F.col("t") + F.col("c") >= 5) & (gain >= 3)).withColumn("gain", gain).orderBy(F.desc("gain"), "word").limit(features).collect()
     chain.vocabulary = {r["word"]: i for i, r in enumerate(best)}
-    whole = ~F.col("word").startswith("^") | (F.length("word") == 1 + max(STEMS))
-    pure = by_word.filter(whole & (F.col("t") >= LEAST) & (F.col("t") * sizes[0] >= PURE * F.col("c") * sizes[1])).orderBy(F.desc("t"), "word").limit(features).collect()
-    telling = [r["word"] for r in pure]
-    wanted = F.array(*[F.lit(w) for w in sorted({*chain.vocabulary, *seeds, *telling})])
-    sample = rows.select("doc_id", "toxic", "u", F.array_intersect("w", wanted).alias("w")).orderBy("u", "doc_id").collect()
+    pure = by_word.filter((F.col("t") >= LEAST) & (F.col("t") * sizes[0] >= PURE * F.col("c") * sizes[1])).orderBy(F.desc("t"), "word").limit(features).collect()
+    telling = {r["word"]: i for i, r in enumerate(pure)}
+    wanted = F.array(*[F.lit(w) for w in sorted({*chain.vocabulary, *telling})]).cast("array<string>")
+    sample = rows.select("doc_id", "toxic", "other", "u", F.array_intersect("w", wanted).alias("w")).orderBy("u", "doc_id", "w").collect()
     rows.unpersist()
-    chain.groups = dealt(categories, telling, [set(r["w"]) for r in sample if r["toxic"]])
-    x = np.zeros((len(sample), len(chain.vocabulary)), dtype=np.float32)
-    y = np.zeros((len(sample), len(categories) + 1), dtype=np.int64)
+    x, tells = (np.zeros((len(sample), len(v)), dtype=np.float32) for v in (chain.vocabulary, telling))
+    y = np.zeros((len(sample), len(names) + 1), dtype=np.int64)
     for i, r in enumerate(sample):
-        has = set(r["w"])
-        for w in has & chain.vocabulary.keys():
-            x[i, chain.vocabulary[w]] = 1
-        y[i] = [r["toxic"] and not has.isdisjoint(ws) for ws in chain.groups.values()] + [r["toxic"]]
+        for place, table in ((x, chain.vocabulary), (tells, telling)):
+            place[i, [table[w] for w in r["w"] if w in table]] = 1
+        y[i, : len(categories)], y[i, -1] = r["other"], r["toxic"]
+    toxic = np.flatnonzero(y[:, -1])
+    of_kind = kinds(tells[toxic], n_kinds)
+    for c in range(n_kinds):
+        y[toxic[of_kind == c], len(categories) + c] = 1
     of = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     return chain.fit(x, y, np.arange(len(sample)) % FOLDS, (of[0] / sizes[0]) / (of[1] / sizes[1]))
 

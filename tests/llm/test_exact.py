@@ -301,19 +301,54 @@ def test_toxic_words_and_stems_are_learnt(spark):
     chain = toxicity.train(docs, labels)
     got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, chain).collect()}
     assert sum(got[i] == (i % 4 == 0) for i in got) >= 390
-    assert len(chain.weights) == 4 and len(chain.weights[1]) == len(chain.weights[0]) + 1  # each link sees those before it
+    assert chain.categories == ["kind_1", "kind_2", "kind_3", "toxic"] and len(chain.weights) == 4 and len(chain.weights[1]) == len(chain.weights[0]) + 1  # each link sees those before it
 
 
-def test_every_category_knows_toxic_rows_of_every_vocabulary(spark):
+def test_kinds_are_the_vocabularies_of_toxic_rows(spark):
     bad = [["idiot", "trash", "stupid", "moron", "scum"], ["xaabscha", "xibloedm", "xowiderl", "xudummko", "xysaukle"], ["zacrapul", "zoimbeci", "zudegoue", "zynullar", "zesalaud"]]
     rows = [(i, prose(i, 40) + (f" {bad[i // 4 % 3][i // 12 % 5]} x {bad[i // 4 % 3][i // 60 % 5]} {bad[i // 4 % 3][i // 24 % 5]}" if i % 4 == 0 else "")) for i in range(720)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    chain = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(720)], "doc_id long, toxic int"))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), i % 2) for i in range(720) if i % 5], "doc_id long, toxic int, quality int")
+    chain = toxicity.train(docs, labels)
+    assert chain.categories == ["quality", "kind_1", "kind_2", "kind_3", "toxic"]
     got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
-    for name in toxicity.CATEGORIES:
-        clean = max(got[i][f"p_{name}"] for i in got if i % 4)
-        for v in range(3):
-            assert max(got[i][f"p_{name}"] for i in got if i % 4 == 0 and i // 4 % 3 == v) > max(0.5, clean)
+    told = [Counter(max((1, 2, 3), key=lambda k: got[i][f"p_kind_{k}"]) for i in got if i % 4 == 0 and i // 4 % 3 == v).most_common(1)[0] for v in range(3)]
+    assert {k for k, _ in told} == {1, 2, 3} and all(n >= 55 for _, n in told)
+    held = [i for i in got if i % 5 == 0]  # not one of them had a label
+    assert sum(got[i]["toxic"] == (i % 4 == 0) for i in held) >= 0.98 * len(held)
+
+
+def test_chain_equals_newton_solutions():
+    """Each link against an exact solver, earlier categories out of fold; scores against the formula."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((240, 6)) < 0.4).astype(np.float32)
+    y = np.stack([x[:, 0] > 0, (x[:, 1] + x[:, 2] + rng.random(240)) > 1.6, (x[:, 0] + x[:, 1] + rng.random(240)) > 1.5], axis=1).astype(np.int64)
+    folds = np.arange(240) % 4
+    chain = toxicity.Chain(vocabulary={f"w{i}": i for i in range(6)}, categories=["a", "b", "toxic"]).fit(x, y, folds)
+
+    def solve(a, t, l2=0.05):
+        a = np.concatenate([a, np.ones((len(a), 1))], axis=1).astype(np.float64)
+        keep, w = np.r_[np.full(a.shape[1] - 1, l2), 0.0], np.zeros(a.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(keep + 1e-12), a.T @ (p - t) + keep * w)
+        return w
+
+    before = np.zeros((240, 0))
+    for c in range(3):
+        full, out = np.concatenate([x, before], axis=1), np.zeros(240)
+        for k in range(4):
+            w = solve(full[folds != k], y[folds != k, c])
+            out[folds == k] = 1 / (1 + np.exp(-(full[folds == k] @ w[:-1] + w[-1])))
+        mine = np.concatenate([full, np.ones((240, 1))], axis=1)
+        assert np.abs(1 / (1 + np.exp(-mine @ chain.weights[c])) - 1 / (1 + np.exp(-mine @ solve(full, y[:, c])))).max() < 0.05
+        before = np.concatenate([before, out[:, None]], axis=1)
+    texts = [" ".join(f"w{i}" for i in np.flatnonzero(r)) for r in x]
+    probs, want = chain.score(texts, toxicity.Features(chain.vocabulary)), np.zeros((240, 0))
+    for c in range(3):
+        z = np.concatenate([x, want], axis=1) @ chain.weights[c][:-1] + chain.weights[c][-1]
+        want = np.concatenate([want, (1 / (1 + np.exp(-z)))[:, None]], axis=1)
+    assert np.allclose(probs, want, atol=1e-5)
 
 
 def test_language_is_told_on_held_out_text(spark):
