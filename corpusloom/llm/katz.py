@@ -21,6 +21,10 @@ enters as counts of each discounted rank and is applied at the end. Histories
 that hold over 1/(4 P) of all tokens, of which there are at most 4 P, are dealt
 to several partitions by the following word; their sums meet on the driver.
 
+There is a partition for every ``PART_BYTES`` of text (as many as the session's shuffle
+width at least), so none grows with the input. What comes to the driver is a few
+numbers a partition and a hot history.
+
 Edge cases: null text is empty, a text of one end token; with no training text
 N is 0, every token is unknown and score equals the sum of log10 1; counts too
 few for Good-Turing fall back to absolute discounting by 1/2; texts of any
@@ -46,12 +50,12 @@ from ..session import ship
 from .store import width, written
 
 RANKS, EPS = 5, 0.01
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS, PART_BYTES = 2_000_000, 64 * 1024**2
 #: Parts that a very frequent history's followers are dealt to.
 SALT = 16
 END, START = b" end", b" start"  # no word holds a blank
 ROW = "block long, part int, kind int, data binary"
-TOKENS, WORDS, STATS, DOCS, PAIRS, SUMS, HOT = range(7)
+TOKENS, WORDS, STATS, DOCS, PAIRS, SUMS, HOT, TOP = range(8)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -171,12 +175,25 @@ def number_words(parts: int):
             rows.append((int(block), p, WORDS, pack(number[own], f[1].astype(np.uint64), counts[own])))
         ranks = np.bincount(np.minimum(counts, RANKS + 2).astype(np.int64), minlength=RANKS + 3)[1 : RANKS + 2]
         top = order[: 4 * parts]
-        rows.append((-1, p, STATS, pack(np.r_[counts.sum(), (counts > 0).sum()].astype(np.int64), ranks.astype(np.int64), number[top], counts[top])))
+        rows.append((-1, p, STATS, pack(np.r_[counts.sum(), (counts > 0).sum()].astype(np.int64), ranks.astype(np.int64))))
+        rows.append((-1, p, TOP, pack(number[top], counts[top])))
         return _frame(rows)
 
     return run
 
 
+def over(least: float):
+    """The numbers of words with more than ``least`` occurrences."""
+
+    def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in groups:
+            for data in group["data"]:
+                number, count = unpack(data)
+                yield pd.DataFrame({"number": number[count > least].astype(np.int64)})
+
+    return run
+
+
 def unigram(counts: np.ndarray, total: int, d: np.ndarray, unknown: float) -> np.ndarray:
     """P(w) of words with these training counts."""
     c = counts.astype(np.int64)
@@ -312,27 +329,27 @@ def total_up(d2: np.ndarray, hot: dict[int, tuple]):
     return run
 
 
-def score(documents: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``documents`` (doc_id, text, train)."""
     spark = documents.sparkSession
     ship(spark)
-    parts = width(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("train"), F.lit(False)).alias("train"))
+    shape = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if("train").alias("starts")).first()
+    starts, parts = shape["starts"], max(width(spark), math.ceil(shape["bytes"] / part_bytes))
     blocks = written(docs.mapInArrow(encode(parts, block_tokens), ROW), "katz-blocks")
     words = written(blocks.filter(F.col("kind") == WORDS).groupBy("part").applyInPandas(number_words(parts), ROW), "katz-words")
 
     total = kinds = 0
-    n_r, numbers, counts = np.zeros(RANKS + 1, dtype=np.int64), [], []
+    n_r = np.zeros(RANKS + 1, dtype=np.int64)
     for r in words.filter(F.col("kind") == STATS).select("data").collect():  # one row a part
-        s, ranks, number, c = unpack(bytes(r["data"]))
+        s, ranks = unpack(bytes(r["data"]))
         total, kinds, n_r = total + int(s[0]), kinds + int(s[1]), n_r + ranks
-        numbers.append(number), counts.append(c)
-    starts = docs.filter("train").count()
     d1 = discounts(n_r)
     left = float((n_r[:RANKS] * np.arange(1, RANKS + 1) * (1 - d1)).sum()) / total if total else 1.0
     if total and left <= 0:  # no rare word at all: as for a history
         left = EPS / (total + EPS)
-    often = np.concatenate(numbers)[np.concatenate(counts) > total / (4 * parts)] if numbers and total else np.zeros(0, dtype=np.uint64)
+    often = words.filter(F.col("kind") == TOP).select("data").mapInPandas(over(total / (4 * parts)), "number long").collect() if total else []  # at most 4 * parts
+    often = np.array(sorted(r["number"] for r in often), dtype=np.uint64)
     often = np.r_[often, np.uint64(1)] if starts > total / (4 * parts) else often
     norm = total if left > EPS / (total + EPS) or not total else total + EPS
 
