@@ -438,15 +438,15 @@ def reference_katz(tokens, train):
     return p, uni
 
 
-@pytest.mark.parametrize("block", [50, 100_000])
-def test_katz_equals_dictionaries_and_sums_to_one(spark, block):
+@pytest.mark.parametrize(("block", "part"), [(50, 400), (100_000, 2**26)])
+def test_katz_equals_dictionaries_and_sums_to_one(spark, block, part):
     texts = [prose(i, 5 + i % 40, "the of and to in Zed") for i in range(60)] + [None, "unseen the words"]
     df = spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
     tokens = [[*(t or "").encode().lower().split(), katz.END] for t in texts]
     p, uni = reference_katz(tokens, [i for i in range(len(texts)) if i % 5])
     for h in [katz.START, *list(uni)[:20]]:
         assert sum(p(w, h) for w in [*uni, b"new word"]) == pytest.approx(1)
-    for r in katz.score(df, block_tokens=block).collect():
+    for r in katz.score(df, block_tokens=block, part_bytes=part).collect():
         h, s = katz.START, 0.0
         for w in tokens[r["doc_id"]]:
             s += math.log10(p(w, h))
@@ -467,6 +467,15 @@ def test_samples_meet_as_often_as_generalised_jaccard():
             assert abs(fingerprint.likeness(got[i], got[j]) - true) < 0.04
 
 
+def test_an_id_of_many_rows_is_cut_by_hash(spark, monkeypatch):
+    assert fingerprint.cut_points([1, 5, 5, 5, 5, 9]) == ([1, 5, 5, 5, 5, 9], [0, 0, 1 << 30, 2 << 30, 3 << 30, 0])
+    monkeypatch.setattr(fingerprint, "RANGE_DOCS", 4)
+    rows = [(7 if i % 3 == 0 else i, prose(i, 6)) for i in range(120)] + [(None, prose(500 + i, 4)) for i in range(30)] + [(7, "the same")] * 20
+    got = Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprint.with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).digest()))
+    assert got == Counter((i, hashlib.sha256(fingerprint.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+
+
 def test_fingerprint_neighbours_follow_ids(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_DOCS", 8)
     texts = [prose(i, 3 + i % 20) for i in range(100)] + ["", None]
