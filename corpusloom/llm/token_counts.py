@@ -1,7 +1,8 @@
 """Token counts: the exact histogram of encoded lengths.
 
-Every whole text is encoded with a public byte-level BPE vocabulary (its path
-is a parameter); documents are counted by encoded length, and sums along the
+Every whole text is encoded once with a public byte-level BPE vocabulary (its path
+is a parameter, the file goes to the executors with the job); documents are counted
+by encoded length, the histogram is stored, and sums along the
 histogram answer totals, quantiles and truncated totals for every context
 limit without another look at a text.
 
@@ -13,14 +14,17 @@ each; other columns are not read.
 from __future__ import annotations
 
 import base64
+import os
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .store import written
 
 #: The split pattern of the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,12 +51,14 @@ def encoder(path: str, pattern: str = PATTERN):
 
 
 def length_histogram(documents: DataFrame, vocabulary: str | None = None, text: str = "text") -> DataFrame:
-    """n_tokens, n_docs: how many documents have each encoded length."""
+    """n_tokens, n_docs: how many documents have each encoded length (stored)."""
     path = vocabulary or default_vocabulary()
     ship(documents.sparkSession)
+    documents.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode = encoder(SparkFiles.get(name))
         seen: Counter = Counter()
         for batch in batches:
             for t in batch["text"]:
@@ -61,7 +67,7 @@ def length_histogram(documents: DataFrame, vocabulary: str | None = None, text:
             yield pd.DataFrame({"n_tokens": list(seen), "n_docs": list(seen.values())})
 
     part = documents.select(F.col(text).alias("text")).mapInPandas(count, "n_tokens long, n_docs long")
-    return part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return written(part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "token-histogram")
 
 
 def running(histogram: DataFrame) -> DataFrame:
