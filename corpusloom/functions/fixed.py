@@ -769,3 +769,4 @@ FARM_TERMS = {
     "kwaro": "pest", "shuka": "plant", "girbi": "harvest", "taki": "fertiliser", "abinci": "feed", "cin abinci": "eating", "kiwo": "grazing",
     "noma": "farming", "rube": "rot",
 }
+FIELD_NAMES = ("minor pest title", "minor pest description", "minor pest what to do.", "minor pest firstcontent", "minor pest position", "is this a minor pest?")

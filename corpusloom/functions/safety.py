@@ -132,7 +132,7 @@ def notice(v: Column, language: Column) -> Column:
 def without_disclaimer(answer: Column) -> Column:
     """Without a leading "I have no information", capitalised anew; never empty."""
     cut = F.regexp_replace(F.regexp_replace(answer, X.FALSE_DISCLAIMER, ""), r"^[ \n]+", "")
-    return F.when(matches(answer, X.FALSE_DISCLAIMER), let(cut, lambda c: F.when(c == "", answer).otherwise(F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1_000_000))))).otherwise(answer)
+    return F.when(matches(answer, X.FALSE_DISCLAIMER), let(cut, lambda c: F.when(c == "", answer).otherwise(F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, F.lit(2), F.length(c)))))).otherwise(answer)
 
 
 def content_words(text: Column) -> Column:

@@ -73,9 +73,6 @@ def clean_lines(text: Column) -> Column:
     return strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
 
 
-_LABELS = ("minor pest title", "minor pest description", "minor pest what to do.", "minor pest firstcontent", "minor pest position", "is this a minor pest?")
-
-
 def strip_boilerplate(text: Column) -> Column:
     """An archive page's lines without markup left-overs, furniture, credits, the tail and long repeats."""
     for pattern, new in ((X.BBCODE, ""), (X.LITERAL_TAG, ""), (" ", " "), (X.LITERAL_ESCAPE, " ")):
@@ -83,12 +80,12 @@ def strip_boilerplate(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: ~F.lower(x).isin(*X.BOILERPLATE_LINES))
 
     def unlabelled(line: Column) -> Column:
-        for label in _LABELS:
+        for label in X.FIELD_NAMES:
             line = let(line, without(label))
         return line
 
     def without(label: str):
-        return lambda x: F.when(F.startswith(F.lower(x), F.lit(label)), F.regexp_replace(F.substring(x, len(label) + 1, 1_000_000), r"^[ .:\-]+|[ .:\-]+$", "")).otherwise(x)
+        return lambda x: F.when(F.startswith(F.lower(x), F.lit(label)), F.regexp_replace(F.substring(x, F.lit(len(label) + 1), F.length(x)), r"^[ .:\-]+|[ .:\-]+$", "")).otherwise(x)
 
     lines = F.filter(F.transform(lines, unlabelled), lambda x: x != "")
     tail = lambda x: reduce(lambda a, b: a | b, (F.startswith(F.lower(x), F.lit(m)) for m in X.TAIL_MARKERS))

@@ -2,7 +2,8 @@
 
 Passages stream by in Arrow batches against the query matrix, whose size is
 checked; each task keeps the best k of every query, and only those are
-shuffled. Beyond the check, the queries go in blocks of a size that fits.
+shuffled. Beyond the check, the queries are stored, numbered and taken in blocks
+of exactly that size, each a pass over the passages.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..config import RETRIEVAL
 from ..functions.text import l2_normalised, stem, tokens
 from ..session import ship
+from .tables import blocks
 
 #: Queries of one block: at 384 numbers each, 24 MB.
 BLOCK = 8192
@@ -25,26 +27,39 @@ BLOCK = 8192
 
 def hashed_embedding(passages: DataFrame, id: str = "id", text: str = "text", dim: int = 256) -> DataFrame:
     """A deterministic embedding of text: stems hashed to ``dim`` places by MD5, 1 + ln(tf), unit length."""
-    each = passages.select(F.col(id).alias("id"), F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).select("id", stem(F.col("token")).alias("term")).groupBy("id", "term").agg(F.count("term").alias("tf"))
+    each = passages.select(F.col(id).alias("id"), F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).select("id", stem(F.col("token")).alias("term"))
+    return embedding_of(each.groupBy("id", "term").agg(F.count("term").alias("tf")), dim)
+
+
+def embedding_of(postings: DataFrame, dim: int = 256) -> DataFrame:
+    """That embedding from postings (id, term, tf), as an index holds them; a null or empty term stands for none."""
     place = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("long") % dim
-    weights = each.select("id", place.cast("int").alias("place"), (1 + F.ln("tf")).alias("w")).groupBy("id", "place").agg(F.sum("w").alias("w"))
+    weights = postings.select("id", F.when(F.col("term") != "", place.cast("int")).alias("place"), (1 + F.ln("tf")).alias("w")).groupBy("id", "place").agg(F.sum("w").alias("w"))
     filled = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "w")))).alias("m"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     return filled.select("id", l2_normalised(vector).alias("embedding"))
 
 
+def mean_pooled(states: DataFrame, key: str = "id", vector: str = "state", mask: str = "mask") -> DataFrame:
+    """One unit vector a ``key``: the mean of its token vectors whose mask is 1, at unit length (zeros without any)."""
+    each = states.select(key, F.col(mask).cast("double").alias("m"), F.posexplode(vector).alias("place", "x"))
+    means = each.groupBy(key, "place").agg((F.sum(F.col("x").cast("double") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1e-9))).alias("x"))
+    rows = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("xs"))
+    return rows.select(key, l2_normalised(F.col("xs.x")).alias("embedding"))
+
+
 def search(passages: DataFrame, queries: DataFrame, k: int = RETRIEVAL.candidates, not_itself: bool = False) -> DataFrame:
     """query_id, id, score, rank (from 1): the k best by dot product; ``passages``: id, embedding; ``queries``: query_id, embedding.
 
-    ``not_itself`` leaves out the passage whose id is the query's.
+    ``not_itself`` leaves out the passage whose id is the query's. Of queries with equal ids the least embedding counts.
     """
     ship(passages.sparkSession)
-    n = queries.count()
-    if n > BLOCK:
-        parts = -(-n // BLOCK)
-        blocks = (search(passages, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), k, not_itself) for i in range(parts))
-        return reduce(DataFrame.unionByName, blocks)
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").orderBy("query_id").collect()
+    each = queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+    return reduce(DataFrame.unionByName, (_best(passages, block, k, not_itself) for block in blocks(each, BLOCK)))
+
+
+def _best(passages: DataFrame, queries: DataFrame, k: int, not_itself: bool) -> DataFrame:
+    asked = queries.orderBy("query_id").collect()
     ids = np.array([r["query_id"] for r in asked], dtype=np.int64)
     matrix = np.array([r["embedding"] for r in asked], dtype=np.float64).T if asked else None
 

@@ -1,17 +1,30 @@
-"""BM25 as tables: postings, term and document statistics, and batch search.
+"""BM25 as tables: an index of postings and statistics, and batch search in it.
 
-A search reads the passages once, keeps only tokens that some query asks for
-(the queries' terms are the small side), and shuffles matches alone.
+An index is built in one pass over the passages and read by every search after. A
+search takes from the postings those of the terms that it asks for, shuffles them by
+passage, and multiplies them with the queries' weights there: what leaves a task is the
+best few passages of each query, never a row a query and passage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import RETRIEVAL
 from ..functions.text import stem, terms, tokens
-from .tables import small
+from ..session import ship
+from .tables import blocks, small, stored
+
+#: Queries of one block, and passages that a task scores at once: 32 MB of scores.
+QUERIES, PASSAGES = 1024, 4096
 
 
 def _stems(passages: DataFrame, id: str, text: str) -> DataFrame:
@@ -42,17 +55,113 @@ def query_terms(queries: DataFrame, id: str = "query_id", text: str = "text") ->
     return each.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("pos").alias("pos"))
 
 
-def search(passages: DataFrame, queries: DataFrame, k: int = RETRIEVAL.candidates, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """query_id, id, score, rank (from 1) of each query's best passages; ``queries``: query_id, text."""
-    asked = query_terms(queries)
-    matched = _stems(passages, id, text).join(small(asked.select("term").distinct()), "term", "left_semi")
-    tf = matched.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    c = corpus_stats(passages, id, text).first()
-    n, avg = float(c["n_docs"]), float(c["avg_len"]) or 1.0
-    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (RETRIEVAL.k1 + 1) / (F.col("tf") + RETRIEVAL.k1 * (1 - RETRIEVAL.b + RETRIEVAL.b * F.col("dl") / F.lit(avg)))
-    weighted = asked.join(df, "term").select("query_id", "term", "times", "pos", "df")
-    scored = tf.join(small(weighted), "term").groupBy("query_id", "id").agg(F.sum(F.col("times") * part).alias("score"), F.min("pos").alias("pos"))
+@dataclass
+class Index:
+    """``postings``: id, dl, term, tf, and for each passage a row of the empty term; ``frequencies``: term, df."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    n_docs: int
+    avg_len: float
+
+    def save(self, path: str) -> None:
+        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.frequencies.write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def _index(postings: DataFrame, frequencies: DataFrame) -> Index:
+    shape = postings.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t")).first()
+    return Index(postings, frequencies, shape["n"], (shape["t"] or 0) / max(shape["n"], 1))
+
+
+def build(passages: DataFrame, id: str = "doc_id", text: str = "text") -> Index:
+    """The index of ``passages``, stored in the shared folder, by term."""
+    each = passages.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    rows = each.select("id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")).select("id", "dl", stem(F.col("token")).alias("term"))
+    postings = stored(rows.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
+    return _index(postings, stored(postings.filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "bm25-terms"))
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that ``save`` has written."""
+    return _index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"))
+
+
+def search(passages: DataFrame | Index, queries: DataFrame, k: int = RETRIEVAL.candidates, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, id, score, rank (from 1) of each query's best passages; ``queries``: query_id, text (rows of one id are one query)."""
+    index = passages if isinstance(passages, Index) else build(passages, id, text)
+    ship(queries.sparkSession)
+    asked = query_terms(queries).join(index.frequencies, "term")
+    each = blocks(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "times", "pos", "df")).alias("terms")), QUERIES)
+    found = reduce(DataFrame.unionByName, (_best(index, block, k) for block in each))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "pos", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+
+def _best(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, pos: the k best of each query within each task's passages, and so the k best of all."""
+    spark, kind = queries.sparkSession, queries.schema["query_id"].dataType
+    rows = sorted(queries.collect(), key=lambda r: str(r["query_id"]))  # at most QUERIES of them
+    asks: dict[str, list[tuple]] = {}
+    for q, r in enumerate(rows):
+        for t in r["terms"]:
+            idf = float(np.log(1 + (index.n_docs - t["df"] + 0.5) / (t["df"] + 0.5)))
+            asks.setdefault(t["term"], []).append((q, t["times"] * idf * (RETRIEVAL.k1 + 1), t["pos"]))
+    names = sorted(asks)
+    by_term = [(np.array([a[0] for a in asks[t]]), np.array([a[1] for a in asks[t]]), np.array([a[2] for a in asks[t]], dtype=np.int32)) for t in names]
+    ids, flat, avg = [r["query_id"] for r in rows], RETRIEVAL.k1 * (1 - RETRIEVAL.b), index.avg_len or 1.0
+    slope = RETRIEVAL.k1 * RETRIEVAL.b / avg
+    id_field = index.postings.schema["id"]
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", id_field.dataType), T.StructField("score", T.DoubleType()), T.StructField("pos", T.IntegerType())])
+
+    def scored(part: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        """The best passages of a table of whole passages; ``first``: where each begins."""
+        doc = np.repeat(np.arange(len(first)), np.diff(np.r_[first, part.num_rows]))
+        tf, dl, term = (part.column(c).to_numpy().astype(t) for c, t in (("tf", np.float64), ("dl", np.float64), ("n", np.int64)))
+        weight = tf / (tf + flat + slope * dl)
+        score, pos = np.zeros((len(ids), len(first))), np.full((len(ids), len(first)), 2**31 - 1, dtype=np.int32)
+        order = np.argsort(term, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
+        for at, to in zip(cut, np.r_[cut[1:], len(order)], strict=True):
+            some = order[at:to]
+            q, w, p = by_term[term[some[0]]]
+            here = np.ix_(q, doc[some])
+            score[here] += w[:, None] * weight[some]
+            pos[here] = np.minimum(pos[here], p[:, None])
+        rough = np.round(score, 9)
+        least = np.partition(rough, len(first) - k, axis=1)[:, len(first) - k] if k < len(first) else np.zeros(len(ids))
+        q, d = np.nonzero((rough >= least[:, None]) & (rough > 0))
+        order = np.lexsort((d, pos[q, d], -rough[q, d], q))  # passages come in order of id
+        q, d = q[order], d[order]
+        new = np.flatnonzero(np.r_[True, np.diff(q) > 0]) if len(q) else np.zeros(0, dtype=np.int64)
+        keep = np.arange(len(q)) - np.repeat(new, np.diff(np.r_[new, len(q)])) < k
+        q, d = q[keep], d[keep]
+        own = part.column("id").take(pa.array(first[d])).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), own, pa.array(score[q, d]), pa.array(pos[q, d])], names=["query_id", "id", "score", "pos"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        seen, last = 0, None
+
+        def table() -> tuple[pa.Table, np.ndarray]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            own = whole.column("id").to_numpy(zero_copy_only=False)
+            return whole, np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("id").to_numpy(zero_copy_only=False)
+            seen += int((own[1:] != own[:-1]).sum()) + (own[0] != last)
+            last = own[-1]
+            held.append(batch)
+            if seen > PASSAGES:
+                whole, first = table()
+                yield scored(whole.slice(0, int(first[-1])), first[:-1])
+                held, seen = whole.slice(int(first[-1])).to_batches(), 1
+        if held:
+            yield scored(*table())
+
+    numbered = spark.createDataFrame(list(enumerate(names)), "n int, term string")
+    matched = index.postings.join(small(numbered), "term").select("id", "dl", "tf", "n")
+    return matched.repartition("id").sortWithinPartitions("id").mapInArrow(run, schema)

@@ -73,13 +73,13 @@ def floor(min_score: float = RETRIEVAL.min_score) -> Column:
     return F.col("score") >= F.when(F.col("lexical_rank") <= RETRIEVAL.exempt, min_score - RETRIEVAL.tolerance).otherwise(min_score)
 
 
-def hybrid(passages: DataFrame, queries: DataFrame, min_score: float = RETRIEVAL.min_score, top_k: int = RETRIEVAL.top_k) -> DataFrame:
-    """The hits of each query; ``passages``: id, title, text, embedding; ``queries``: query_id, text, embedding.
+def hybrid(passages: DataFrame, queries: DataFrame, min_score: float = RETRIEVAL.min_score, top_k: int = RETRIEVAL.top_k, index: lexical.Index | None = None) -> DataFrame:
+    """The hits of each query; ``passages``: id, title, text, embedding; ``queries``: query_id, text, embedding; ``index``: of the passages, built where none is given.
 
     Every fused candidate has its cosine, also those that only the lexical ranking found.
     """
     near = dense.search(passages.select("id", "embedding"), queries.select("query_id", "embedding"))
-    said = lexical.search(passages, queries.select("query_id", "text"), id="id")
+    said = lexical.search(index or passages, queries.select("query_id", "text"), id="id")
     fused = stored(fuse(near, said).drop("score"))  # a few rows a query; the passages' texts are read for these only
     vectors = queries.select("query_id", F.col("text").alias("query"), F.col("embedding").alias("asked"))
     full = passages.select("id", "title", "text", "embedding").join(small(fused), "id").join(F.broadcast(vectors) if queries.count() <= dense.BLOCK else vectors, "query_id")

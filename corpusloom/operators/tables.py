@@ -44,6 +44,19 @@ def stored(df: DataFrame, tag: str = "step") -> DataFrame:
     return out
 
 
+def blocks(df: DataFrame, size: int) -> list[DataFrame]:
+    """``df`` in blocks of exactly ``size`` rows, the last less; stored and numbered where it is more than one."""
+    if df.count() <= size:
+        return [df]
+    numbered = stored(df.withColumn("at", F.monotonically_increasing_id()))  # the partition's number above 33 bits of place
+    sizes = numbered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    cuts, before = [], 0
+    for part, n in sizes:
+        cuts += [(part << 33) + place - before for place in range(-(-before // size) * size, before + n, size)]
+        before += n
+    return [numbered.filter((F.col("at") >= low) & (F.col("at") < high)).drop("at") for low, high in zip(cuts, [*cuts[1:], 2**62], strict=True)]
+
+
 def _remove(path: str) -> None:
     spark = _kept.pop(path, None)
     if spark is not None:

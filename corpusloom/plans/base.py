@@ -5,15 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Tables below this size are dealt out to all cores; larger ones are read as they lie.
-SMALL_BYTES = 64 * 1024**2
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; a small one, whose few row groups would keep most cores idle, is spread (columns are still pruned below that)."""
+    """A table; one that comes in fewer splits than there are cores, whatever its size, is dealt out to all of them (columns are still pruned below that)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if 1_000_000 < size < SMALL_BYTES else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def registry() -> tuple[dict, object]:

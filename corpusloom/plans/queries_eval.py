@@ -9,6 +9,7 @@ from ..operators.tables import stored
 from ..streaming import events
 from . import sql as S
 from .base import registry, table
+from .queries_search import index_of
 
 ENTRIES, query = registry()
 _bucket = f"(('0x' || left(sha256('{evaluate.SALT}:' || item_id), 8))::BIGINT / 4294967295.0::DOUBLE)"
@@ -29,7 +30,7 @@ def _covered(spark, d):
     """item_id, covered: some of the six best documents holds the item's whole text; the SQL looks for its first 60 characters only."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, d, "documents")
-    top = stored(lexical.search(docs, items, k=6))
+    top = stored(lexical.search(index_of(spark, d), items, k=6))
     held = top.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body")), "id").join(items, "query_id")
     hit = F.max(evaluate.any_of(F.coalesce("body", F.lit("")), F.array("text")).cast("int"))
     return items.select("query_id").join(held.groupBy("query_id").agg(hit.alias("hit")), "query_id", "left").select("query_id", (F.coalesce("hit", F.lit(0)) > 0).alias("covered"))

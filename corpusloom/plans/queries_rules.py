@@ -11,6 +11,7 @@ from ..operators.tables import stored
 from ..sources import files
 from ..streaming import guard
 from . import fixtures as fx
+from . import rule_sql as R
 from . import sql as S
 from .base import registry, table
 
@@ -40,34 +41,34 @@ def scope_reason_counts(spark, d):
     return asked(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(R.scope_messages(_q))
 def scope_messages(spark, d):
     df = asked(spark, d).withColumn("language", language.detect(F.col("q")))
     reason = scope.refusal_reason(language.pidgin_normalised(F.col("q")), F.col("language"))
     return df.select("id", "language", reason.alias("reason"), scope.refusal_text(reason, F.col("language")).alias("answer"))
 
 
-@query()
+@query(f"WITH {R.languages(_q)} SELECT id, language, round({R.confidence()}, 9) AS confidence FROM spoken")
 def detect_language(spark, d):
-    return asked(spark, d).select("id", language.detect(F.col("q")).alias("language"), language.confidence(F.col("q")).alias("confidence"))
+    return asked(spark, d).select("id", language.detect(F.col("q")).alias("language"), F.round(language.confidence(F.col("q")).cast("double"), 9).alias("confidence"))
 
 
-@query()
+@query(f"SELECT id, {R.looks_pidgin('q')} AS pidgin, {R.pidgin_normalised('q')} AS normalised FROM {_q}")
 def pidgin_normalise(spark, d):
     return asked(spark, d).select("id", language.looks_pidgin(F.col("q")).alias("pidgin"), language.pidgin_normalised(F.col("q")).alias("normalised"))
 
 
-@query()
+@query(f"WITH {R.languages(_q)} {R.farm_terms()}")
 def farm_terms(spark, d):
     return asked(spark, d).select("id", language.with_farm_terms(F.col("q"), language.detect(F.col("q"))).alias("expanded"))
 
 
-@query()
+@query(R.retrieval_query(_q))
 def retrieval_query(spark, d):
     return asked(spark, d).select("id", questions.retrieval_query(F.col("q")).alias("search_text"))
 
 
-@query()
+@query(R.diagnostic_intent(_q))
 def diagnostic_intent(spark, d):
     return asked(spark, d).select("id", questions.with_diagnostic_intent(F.col("q")).alias("search_text"))
 
@@ -123,20 +124,36 @@ def hazardous_actives(spark, d):
     return answered(spark, d).select("id", F.array_join(safety.hazardous(F.col("a")), ", ").alias("actives"))
 
 
-@query()
+_sources = "\n".join(fx.SOURCES)
+
+
+@query(f"SELECT id, array_to_string(said, '; ') AS doses FROM (SELECT id, {R.doses('a')} AS said FROM {_a})")
 def find_dosages(spark, d):
-    return answered(spark, d).select("id", safety.doses(F.col("a")).alias("doses"), safety.unsupported_doses(F.col("a"), F.lit("\n".join(fx.SOURCES))).alias("unsupported"))
+    return answered(spark, d).select("id", F.array_join(safety.doses(F.col("a")), "; ").alias("doses"))
+
+
+@query(f"SELECT id, array_to_string({R.lacking('said', _sources)}, '; ') AS unsupported FROM (SELECT id, {R.doses('a')} AS said FROM {_a})")
+def unsupported_dosages(spark, d):
+    return answered(spark, d).select("id", F.array_join(safety.unsupported_doses(F.col("a"), F.lit(_sources)), "; ").alias("unsupported"))
 
 
-@query()
+@query(f"SELECT id, {R.without_money('a')} AS answer FROM {_a}")
 def redact_money(spark, d):
-    return answered(spark, d).select("id", safety.without_money(F.col("a")).alias("answer"), safety.foreign_money(F.col("a")).alias("foreign_money"))
+    return answered(spark, d).select("id", safety.without_money(F.col("a")).alias("answer"))
+
+
+@query(f"SELECT id, array_to_string({R.foreign_money('a')}, ', ') AS currencies FROM {_a}")
+def foreign_money(spark, d):
+    return answered(spark, d).select("id", F.array_join(safety.foreign_money(F.col("a")), ", ").alias("currencies"))
+
+
+_found = ("hazardous", "unsupported_doses", "stale_sources", "restricted_veterinary", "foreign_money")
 
 
-@query()
+@query(f"WITH {R.verdict(_a, fx.SOURCES, ['2010', 'unknown'], fx.NOW)} SELECT id, safe, missing_withdrawal, container_reuse, {', '.join(f"array_to_string({k}, '; ') AS {k}" for k in _found)} FROM judged")
 def safety_verdict(spark, d):
     v = safety.verdict(F.col("a"), F.array(*map(F.lit, fx.SOURCES)), F.col("q"), F.array(F.lit("2010"), F.lit("unknown")), fx.NOW)
-    return answered(spark, d).withColumn("v", v).select("id", "v.*", safety.notice(F.col("v"), F.lit("en")).alias("notice"))
+    return answered(spark, d).select("id", v.alias("v")).select("id", "v.safe", "v.missing_withdrawal", "v.container_reuse", *(F.array_join(f"v.{k}", "; ").alias(k) for k in _found))
 
 
 @query(f"SELECT id, {S.rx('a', X.CHEMICAL_CONTEXT)} AS chemical, {S.rx('a', X.SAFETY_CRITICAL)} AS critical FROM {_a}")
@@ -152,7 +169,7 @@ def strip_disclaimer(spark, d):
     return answered(spark, d).select("id", F.md5(safety.without_disclaimer(F.col("a"))).alias("digest"))
 
 
-@query()
+@query(R.without_echo(_a))
 def symptom_echo(spark, d):
     return answered(spark, d).select("id", safety.without_echo(F.col("a"), F.col("q")).alias("answer"))
 
@@ -188,7 +205,7 @@ def title_blocklist(spark, d):
     return rows.filter(~ingest.title_blocked(F.col("role"), ("system", "admin"))).select("conv_id", "turn", F.col("role").isin("user", "assistant").alias("known"))
 
 
-@query()
+@query(R.guarded(_a, _sources))
 def guarded_stream(spark, d):
     """All answers as streams of seven-character pieces, through the guard to the end of the input."""
     from ..streaming.events import run_to_end

@@ -9,6 +9,7 @@ from ..functions import language, quality, text
 from ..operators import chunk, dedup, html, ingest, relevance
 from ..sources import files
 from . import fixtures as fx
+from . import rule_sql as R
 from . import sql as S
 from .base import registry, table
 
@@ -48,12 +49,12 @@ def html_clean_lines(spark, d):
     return passages(spark, d).select("id", F.md5(text.clean_lines(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(R.strip_boilerplate(_passages))
 def strip_boilerplate(spark, d):
     return passages(spark, d).select("id", text.strip_boilerplate(F.col("text")).alias("text"))
 
 
-@query()
+@query(R.strip_furniture(_passages))
 def strip_furniture(spark, d):
     return passages(spark, d).select("id", text.strip_furniture(F.col("text"), F.lit("")).alias("text"))
 
@@ -67,7 +68,7 @@ def heading_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(text.is_heading(F.col("x")).cast("long")).alias("n_headings"))
 
 
-@query()
+@query(R.sentences(_passages))
 def sentences(spark, d):
     return passages(spark, d).select("id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -152,17 +153,18 @@ def exact_dedup(spark, d):
     return dedup.exact(table(spark, d, "documents"))
 
 
-@query(
-    f"""WITH {S.shingled('documents', 'doc_id')}, src AS (SELECT doc_id AS id, source FROM documents), sets AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS k, count(*) AS n FROM sh GROUP BY id),
+_near = f"""{S.shingled('documents', 'doc_id')}, src AS (SELECT doc_id AS id, source FROM documents), sets AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS k, count(*) AS n FROM sh GROUP BY id),
     first AS (SELECT source, k, min(id) AS id, any_value(n) AS n FROM sets JOIN src USING (id) GROUP BY ALL), fs AS (SELECT first.id, source, n, s FROM first JOIN sh USING (id)),
-    m AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM fs a JOIN fs b ON a.s = b.s AND a.source = b.source AND a.id < b.id GROUP BY ALL)
-    SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM m WHERE c / (na + nb - c)::DOUBLE >= 0.75 - 1e-12"""
-)
+    m AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM fs a JOIN fs b ON a.s = b.s AND a.source = b.source AND a.id < b.id GROUP BY ALL),
+    near AS (SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM m WHERE c / (na + nb - c)::DOUBLE >= 0.75 - 1e-12)"""
+
+
+@query(f"WITH {_near} SELECT * FROM near")
 def near_dup_pairs(spark, d):
     return dedup.near_pairs(table(spark, d, "documents"), block="source").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+@query(f"WITH {R.near_keep(_near)} SELECT d.doc_id AS id, sets.id IS NULL OR (first.id = d.doc_id AND (NOT list_contains((SELECT list(id) FROM node), d.doc_id) OR list_contains((SELECT ids FROM fold), d.doc_id))) AS kept FROM documents d LEFT JOIN sets ON sets.id = d.doc_id LEFT JOIN first ON first.source = d.source AND first.k = sets.k")
 def near_dup_keep(spark, d):
     return dedup.near_keep(table(spark, d, "documents"), block="source")
 

@@ -51,7 +51,9 @@ def wanted(files: DataFrame, prefixes: list[str] | None, path: str = "path") ->
 
 
 def pdf_files(spark: SparkSession, path: str, max_pages: int = MAX_PAGES) -> DataFrame:
-    """path, pages, text, n_pages, n_chars, is_scanned, usable, error of PDF files; a page that fails is empty.
+    """path, pages, text, n_pages, truncated, n_chars, is_scanned, usable, error of PDF files; a page that fails is empty.
+
+    Pages after ``max_pages`` are left out, which ``truncated`` says.
 
     The PDF library is optional: without it every row says so in ``error``.
     """
@@ -84,7 +86,7 @@ def pdf_files(spark: SparkSession, path: str, max_pages: int = MAX_PAGES) -> Dat
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
     read = raw.mapInPandas(run, "path string, pages array<string>, n_pages int, error string")
-    return probed(read)
+    return probed(read.withColumn("truncated", F.size("pages") < F.col("n_pages")))
 
 
 def probed(read: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
 """A guard on token streams: what leaves has no price and no dose that the sources lack.
 
-State of an answer: the pieces before its first letter, a look-behind of 24
-characters, and a buffer that is held from the first digit or currency mark to
-the end of the sentence. It is kept by Structured Streaming, keyed by answer.
+An answer is one text that grows. What may leave of it is a function of the text so far,
+not of the pieces in which it came: nothing before its first letter; up to ``LOOK_BEHIND``
+characters before its first digit or currency mark; from there to the end of the sentence
+as one span, cleaned; without either, all but the last ``LOOK_BEHIND`` characters.
+
+An attempt that ends without a letter is asked for once more (state ``retry``), and after
+``ATTEMPTS`` answered by the no-guidance message. Structured Streaming keeps an answer's
+text and removes it when the answer is done, or, if asked to, when no piece has come for a time.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import fixed as X
 from ..session import ship
 
-LOOK_BEHIND = 24
+LOOK_BEHIND, ATTEMPTS = 24, 2
 DOSE_GONE = "[rate not given in the sources - ask an extension officer]"
 _python = lambda p: re.compile(p.replace("(?<dose>", "(?P<dose>"))
-DOSES, MONEY, MARK = [_python(p) for p in X.DOSAGE_PATTERNS], re.compile(X.MONEY), re.compile(X.MONEY_MARK)
+DOSES, MONEY, RISKY = [_python(p) for p in X.DOSAGE_PATTERNS], re.compile(X.MONEY), re.compile(r"\d|(?:" + X.MONEY_MARK.removeprefix("(?i)") + ")", re.IGNORECASE)
 ENDS, CITATIONS = re.compile(r"[.!?]\s|\n"), re.compile(X.CITATION_RUN)
 
 
@@ -32,81 +37,107 @@ def squeezed(text: str) -> str:
 
 def released(span: str, sources: str) -> str:
     """``span`` without money and without doses that the squeezed sources lack."""
-    out = span
-    for amount in MONEY.findall(span):
-        out = out.replace(amount, X.MONEY_REDACTION)
+    gone = {amount: X.MONEY_REDACTION for amount in MONEY.findall(span)}
     for rx in DOSES:
-        for m in rx.finditer(span):
-            dose = (m.groupdict().get("dose") or m[0]).strip()
-            if squeezed(dose) not in sources:
-                out = out.replace(dose, DOSE_GONE)
-    return out
+        named = [(m["dose"] if "dose" in rx.groupindex else m[0]).strip() for m in rx.finditer(span)]
+        gone |= {dose: DOSE_GONE for dose in named if squeezed(dose) not in sources}
+    for said, instead in gone.items():
+        span = span.replace(said, instead)
+    return span
+
+
+def settled(text: str, sources: str) -> tuple[str, int]:
+    """What may leave of ``text``, and how much of it that settles."""
+    out, at = [], 0
+    while risk := RISKY.search(text, at):
+        safe = max(at, risk.start() - LOOK_BEHIND)
+        out.append(text[at:safe])
+        end = ENDS.search(text, risk.start())
+        if end is None:
+            return "".join(out), safe
+        out.append(released(text[safe : end.end()], sources))
+        at = end.end()
+    safe = max(at, len(text) - LOOK_BEHIND)
+    return "".join([*out, text[at:safe]]), safe
 
 
 @dataclass
 class Guard:
+    """One answer. ``waiting``: pieces before their turn, by attempt and place."""
+
     sources: str = ""
-    head: str = ""
-    begun: bool = False
-    tail: str = ""
-    held: str = ""
-    holding: bool = False
-    waiting: dict[str, list] = field(default_factory=dict)  # pieces that came before their turn
+    text: str = ""
+    spoken: bool = False
+    attempt: int = 0
     turn: int = 0
+    taken: int = 0
+    state: str = "more"
+    waiting: dict[str, list] = field(default_factory=dict)
 
     def feed(self, piece: str) -> str:
-        if not self.begun:
-            self.head += piece
-            if not any(c.isalpha() for c in self.head):
-                return ""
-            self.begun = True
-            piece = CITATIONS.sub("", self.head, count=1).lstrip() or self.head
-        if not self.holding and (any(c.isdigit() for c in piece) or MARK.search(self.tail + piece)):
-            self.holding, self.held, self.tail = True, self.tail, ""
-        if self.holding:
-            self.held += piece
-            if not ENDS.search(self.held):
+        self.text += piece
+        if not self.spoken:
+            self.spoken = any(map(str.isalpha, self.text))
+            if not self.spoken:
                 return ""
-            out, self.held, self.holding = released(self.held, self.sources), "", False
-            return out
-        self.tail += piece
-        out, self.tail = self.tail[:-LOOK_BEHIND], self.tail[-LOOK_BEHIND:]
+            self.text = CITATIONS.sub("", self.text, count=1).lstrip() or self.text
+        out, upto = settled(self.text, self.sources)
+        self.text = self.text[upto:]
         return out
 
     def close(self, no_guidance: str = X.NO_GUIDANCE_MESSAGE) -> str:
-        if not self.begun:
-            return no_guidance
-        out = released(self.tail, self.sources) + released(self.held, self.sources)
-        self.tail = self.held = ""
+        """The end of the last attempt."""
+        self.state = "done"
+        out, self.text = released(self.text, self.sources) if self.spoken else no_guidance, ""
         return out
 
-    def take(self, seq: int, piece: str, last: bool) -> str:
+    def take(self, seq: int, piece: str, last: bool, attempt: int = 0, attempts: int = 1) -> str:
         """Pieces in any order; what their turn lets out."""
-        self.waiting[str(seq)] = [piece, last]
+        if self.state == "done" or (attempt, seq) < (self.attempt, self.turn):
+            return ""  # it came twice
+        self.waiting[f"{attempt}:{seq}"] = [piece, last]
         out = ""
-        while str(self.turn) in self.waiting:
-            piece, last = self.waiting.pop(str(self.turn))
-            self.turn += 1
-            out += self.feed(piece) + (self.close() if last else "")
+        while self.state != "done" and (came := self.waiting.pop(f"{self.attempt}:{self.turn}", None)):
+            self.turn, self.taken, self.state = self.turn + 1, self.taken + 1, "more"
+            out += self.feed(came[0])
+            if came[1] and not self.spoken and self.attempt + 1 < attempts:
+                self.attempt, self.turn, self.text, self.state = self.attempt + 1, 0, "", "retry"
+            elif came[1]:
+                out += self.close()
         return out
 
 
-RESULT = "answer_id string, upto int, text string"
+RESULT = "answer_id string, upto int, text string, state string"
 
 
-def guarded(pieces: DataFrame) -> DataFrame:
-    """Released text of each answer; ``pieces``: a stream of answer_id, seq (from 0), piece, is_last, sources."""
+def guarded(pieces: DataFrame, attempts: int = ATTEMPTS, patience_ms: int | None = None) -> DataFrame:
+    """Released text of each answer, in order of ``upto``; state is ``more``, ``done``, or ``retry`` where another attempt is wanted.
+
+    ``pieces``: a stream of answer_id, seq (from 0), piece, is_last, sources, and attempt (from 0) where
+    the generator can be asked again; without that column the first attempt is the last. Pieces may come
+    in any order and more than once. An answer from which nothing has come for ``patience_ms`` is closed;
+    this needs a trigger that goes on (timeouts in processing time keep ``availableNow`` from ending).
+    """
     ship(pieces.sparkSession)
+    most = attempts if "attempt" in pieces.columns else 1
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         guard = Guard(**json.loads(state.get[0])) if state.exists else Guard()
-        out = ""
-        for batch in batches:
-            for r in batch.sort_values("seq").itertuples():
-                guard.sources = guard.sources or squeezed(r.sources or "")
-                out += guard.take(int(r.seq), r.piece or "", bool(r.is_last))
-        state.update((json.dumps(asdict(guard)),))
-        if out:
-            yield pd.DataFrame({"answer_id": [key[0]], "upto": [guard.turn], "text": [out]})
-
-    return pieces.groupBy("answer_id").applyInPandasWithState(step, RESULT, "guard string", "append", GroupStateTimeout.NoTimeout)
+        before, out = (guard.taken, guard.state), ""
+        if state.hasTimedOut:
+            out = guard.close()
+        else:
+            for batch in batches:
+                for r in batch.sort_values("seq").itertuples():
+                    guard.sources = guard.sources or squeezed(r.sources or "")
+                    out += guard.take(int(r.seq), r.piece or "", bool(r.is_last), int(r.attempt) if most > 1 else 0, most)
+        if guard.state == "done":
+            state.remove()
+        else:
+            state.update((json.dumps(asdict(guard)),))
+            if patience_ms:
+                state.setTimeoutDuration(patience_ms)
+        if out or (guard.state != "more" and (guard.taken, guard.state) != before):
+            yield pd.DataFrame({"answer_id": [key[0]], "upto": [guard.taken], "text": [out], "state": [guard.state]})
+
+    return pieces.groupBy("answer_id").applyInPandasWithState(step, RESULT, "guard string", "append", GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answer, chunk, compress, dedup, dense, evaluate, html, ingest, lexical, relevance, search
+from corpusloom.operators import answer, chunk, compress, dedup, dense, evaluate, html, ingest, lexical, relevance, search, tables
 from corpusloom.plans import fixtures as fx
 
 
@@ -61,11 +61,16 @@ def test_dense_search_equals_numpy(spark):
         assert [r["id"] for r in out.filter(F.col("query_id") == q).orderBy("rank").collect()] == want
 
 
-def test_query_blocks_give_the_same(spark, monkeypatch):
-    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, embedding array<double>")
-    asked = df.withColumnRenamed("id", "query_id")
+@pytest.mark.parametrize("n", [8, 16, 17, 64])
+def test_query_blocks_give_the_same(spark, monkeypatch, n):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(70)], "id long, embedding array<double>").repartition(3)
+    asked = df.filter(F.col("id") < n).withColumnRenamed("id", "query_id")
+    asked = asked.unionByName(asked.filter("query_id = 3")).unionByName(spark.createDataFrame([(3, [9.0, 9.0, 9.0])] * 9, asked.schema))
     whole = sorted(map(tuple, dense.search(df, asked, k=3).collect()))
-    monkeypatch.setattr(dense, "BLOCK", 9)
+    assert len(whole) == 3 * n
+    monkeypatch.setattr(dense, "BLOCK", 8)
+    made = tables.blocks(asked.groupBy("query_id").agg(F.min("embedding").alias("embedding")), 8)
+    assert [b.count() for b in made] == [8] * (n // 8) + [n % 8] * (n % 8 > 0)
     assert sorted(map(tuple, dense.search(df, asked, k=3).collect())) == whole
 
 

@@ -27,15 +27,40 @@ def test_guard_loses_nothing_and_lets_no_price_out():
     assert "20 ml" in feed("Use 20 ml per litre. Good.", 1, "use 20 ml per litre") and "20 ml" not in feed("Use 20 ml per litre. Good.", 1)
 
 
+def test_pieces_make_no_difference():
+    texts = [
+        "[1] [2] Sell for KSh 81.21 per 50 kg bag. Use 20 ml of it per litre of water! Rest.\nZMK 8 or 30 dollars or N 500. Apply 250 g per hectare now",
+        "Mix 1:20 at the pound, pounding on. It is 5 o'clock. Twenty naira? No: 20 naira.", "Weed. " * 30 + "Pay $" + "9" * 40 + " then. Done", "no end",
+    ]
+    for t in texts:
+        whole = feed(t, len(t), "use 20 ml of it per litre of water")
+        assert all(feed(t, n, "use 20 ml of it per litre of water") == whole for n in range(1, 12)) and "81" not in whole and "999" not in whole and "250 g" not in whole
+
+
+def test_an_attempt_without_a_letter_is_asked_for_again():
+    g = guard.Guard()
+    assert g.take(0, "[1] ", False, 0, 2) == "" and g.take(1, "[2]", True, 0, 2) == "" and (g.state, g.attempt) == ("retry", 1)
+    assert g.take(1, "early.", True, 1, 2) == "" and g.take(0, "[1] [2] Plant ", False, 1, 2) == "Plant early." and g.state == "done"
+    g = guard.Guard()
+    assert g.take(0, "", True, 0, 2) == "" and g.state == "retry" and g.take(0, "[1]", True, 1, 2) == X.NO_GUIDANCE_MESSAGE and g.state == "done"
+    assert guard.Guard().take(0, "[1]", True) == X.NO_GUIDANCE_MESSAGE
+
+
 def test_guard_as_a_stream_in_any_order(spark, tmp_path):
     text = "It costs N900 now. " * 3 + "Plant early in the season and weed twice."
-    pieces = [("a", i, text[i * 5 : i * 5 + 5], (i + 1) * 5 >= len(text), "") for i in range(-(-len(text) // 5))][::-1]
-    df = spark.createDataFrame(pieces, "answer_id string, seq int, piece string, is_last boolean, sources string")
-    for k in range(3):  # three files: pieces come late
-        df.filter(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    pieces = [("a", 0, i, text[i * 5 : i * 5 + 5], (i + 1) * 5 >= len(text), "") for i in range(-(-len(text) // 5))][::-1]
+    pieces += [("b", 0, 0, "[1]", True, ""), ("b", 1, 1, "twice.", True, ""), ("b", 1, 0, "Weed ", False, ""), ("c", 0, 0, "Wait for it, there is more to come of this", False, "")]
+    df = spark.createDataFrame(pieces, "answer_id string, attempt int, seq int, piece string, is_last boolean, sources string")
+    for k in range(3):  # three files: pieces come late, and all of them twice
+        df.filter((F.col("seq") + F.col("attempt")) % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = events.run_to_end(guard.guarded(stream), str(tmp_path / "out")).orderBy("upto").collect()
-    assert "".join(r["text"] for r in out) == feed(text, 5)
+    out = {}
+    for r in events.run_to_end(guard.guarded(stream), str(tmp_path / "out")).orderBy("upto").collect():
+        out.setdefault(r["answer_id"], []).append((r["text"], r["state"]))
+    assert "".join(t for t, _ in out["a"]) == feed(text, 5) and out["a"][-1][1] == "done"
+    assert out["b"] == [("", "retry"), ("Weed twice.", "done")] and out["c"] == [("Wait for it, there", "more")]
+    left = spark.read.format("statestore").load(str(tmp_path / "out" / "state"))
+    assert [r["key"]["answer_id"] for r in left.collect()] == ["c"]
 
 
 def test_late_events_and_repeats(spark, tmp_path):
