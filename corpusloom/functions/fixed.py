@@ -434,17 +434,6 @@ NO_GUIDANCE_MESSAGE = (
     "I do not have local guidance on that in my documents, so I cannot give you a reliable answer. Please ask your local "
     "extension officer."
 )
-SYSTEM_PROMPT = (
-    'You advise smallholder farmers in southwest Nigeria on crops and livestock.\n\n- Answer using ONLY the numbered sources. '
-    'Cite them like [1].\n- Never give a dose or rate unless it appears in the sources.\n- Prefer prevention and cultural '
-    'control over chemicals.\n- Short, plain sentences. Practical steps.\n- Do not repeat yourself.\n\nThe sources below were '
-    "selected because they are relevant. Answer from them directly. Do not begin by saying you lack information."
-)
-TIME_UNAWARE_NOTE = (
-    "\n\nYou do not know today's date, the current season, or current prices. This question depends on timing, so give the "
-    "factors that decide it and the usual seasonal pattern from the sources, and tell the farmer what to check locally. Do "
-    "not tell them what to do as though you knew the date."
-)
 MESSAGES = {
     "en": {
         "no_guidance": (
@@ -770,3 +759,8 @@ FARM_TERMS = {
     "noma": "farming", "rube": "rot",
 }
 FIELD_NAMES = ("minor pest title", "minor pest description", "minor pest what to do.", "minor pest firstcontent", "minor pest position", "is this a minor pest?")
+YORUBA_MARKS = "[ẹọṣẸỌṢ]"
+YORUBA_MARKERS = (
+    "ni", "mi", "mo", "ti", "won", "wọn", "ba", "bá", "ki", "kí", "se", "ṣe", "ohun", "kini", "kíni", "bawo", "báwo", "oko", "ewe", "ewé", "gbin",
+    "ilẹ", "ile", "ọgbin", "eweko",
+)

@@ -90,6 +90,11 @@ def looks_pidgin(text: Column) -> Column:
     return matches(text, X.PIDGIN_MARKERS)
 
 
+def looks_yoruba(text: Column) -> Column:
+    """A letter that only Yoruba has here, or two of its common words."""
+    return matches(text, X.YORUBA_MARKS) | (_both(find_all(F.lower(text), r"[\p{L}\p{M}\p{N}_]+"), X.YORUBA_MARKERS) >= 2)
+
+
 def pidgin_normalised(text: Column) -> Column:
     """English by rules, in order, where a marker shows Pidgin; other text is left as it is."""
     rewritten = lambda text: reduce(lambda t, r: F.regexp_replace(t, f"(?i){r[0]}", r[1]), X.PIDGIN_RULES, text)

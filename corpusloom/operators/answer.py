@@ -11,10 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed as X
 from ..functions import language, questions, safety, scope
 from ..functions.text import citation, let, sentences, words
 
+SYSTEM = (
+    "You help farmers with small holdings in the south-west of Nigeria. The numbered sources below were chosen for the question: answer "
+    "from them alone and name the number of each, as in [1]. Give a rate or dose only if a source states it. Put prevention and good "
+    "husbandry before chemicals. Write few, short and plain sentences that say what to do."
+)
+NO_CLOCK = " The date, the season and prices are unknown to you: where the answer turns on them, say what it depends on and how to find that out nearby."
 Generator = Callable[[Column, Column], Column]
 
 
@@ -26,7 +31,7 @@ def extractive(prompt: Column, sources: Column) -> Column:
 def prompt(question: Column, hits: Column) -> Column:
     """system and user; ``hits``: array of (text, title, year) in order."""
     parts = F.transform(hits, lambda h, i: F.concat(F.array_join(words(h["text"]), " "), F.lit(" ("), h["title"], F.lit(", "), h["year"], F.lit(") ["), (i + 1).cast("string"), F.lit("]")))
-    system = F.concat(F.lit(X.SYSTEM_PROMPT), F.when(questions.depends_on_time(question), F.lit(X.TIME_UNAWARE_NOTE)).otherwise(F.lit("")))
+    system = F.concat(F.lit(SYSTEM), F.when(questions.depends_on_time(question), F.lit(NO_CLOCK)).otherwise(F.lit("")))
     return F.struct(system.alias("system"), F.concat(F.lit("Sources:\n\n"), F.array_join(parts, "\n\n"), F.lit("\n\nFarmer's question: "), question).alias("user"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL
-from ..functions.text import CHARS_PER_TOKEN, is_safety_critical, sentences
+from ..functions.text import CHARS_PER_TOKEN, dot, is_safety_critical, sentences
+from .dense import hashed_embedding
 
 
 def budgets(hits: DataFrame, total: int = RETRIEVAL.token_budget) -> DataFrame:
@@ -37,3 +40,27 @@ def select(scored: DataFrame, key: list[str], least: int = 2) -> DataFrame:
 def split(hits: DataFrame, text: str = "text") -> DataFrame:
     """A row a sentence: pos, sentence."""
     return hits.select(*[c for c in hits.columns if c != text], F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+
+
+def scored(pieces: DataFrame, asked: DataFrame, embed: Callable[[DataFrame], DataFrame] = hashed_embedding) -> DataFrame:
+    """``pieces`` (query_id, sentence, ...) with score: the sentence's likeness to its query (``asked``: query_id, embedding).
+
+    ``embed`` makes id, embedding of id, text; every different sentence is embedded once.
+    """
+    keyed = pieces.withColumn("id", F.sha2("sentence", 256))
+    vectors = embed(keyed.select("id", F.col("sentence").alias("text")).dropDuplicates(["id"]))
+    near = keyed.join(vectors, "id").join(asked.select("query_id", F.col("embedding").alias("asked")), "query_id")
+    return near.withColumn("score", dot(F.col("embedding"), F.col("asked"))).drop("id", "embedding", "asked")
+
+
+def compressed(hits: DataFrame, asked: DataFrame, total: int = RETRIEVAL.token_budget, embed: Callable[[DataFrame], DataFrame] = hashed_embedding) -> DataFrame:
+    """``hits`` (query_id, hit from 1, text) with shown, and its counts: kept and n_sentences, before and after in tokens, forced.
+
+    A hit's budget is its share of ``total`` by rank; a text of up to two sentences is shown as it is.
+    """
+    each = budgets(hits.select("query_id", "hit", "text"), total).drop("weight")
+    rows = scored(split(each), asked, embed)
+    picked = select(rows, ["query_id", "hit"]).withColumnRenamed("text", "picked").withColumnRenamed("total", "n_sentences")
+    shown = F.when(F.col("n_sentences") > 2, F.col("picked")).otherwise(F.col("text"))
+    tokens = lambda c: (F.length(c) / CHARS_PER_TOKEN).cast("int")
+    return hits.join(picked, ["query_id", "hit"], "left").withColumn("shown", shown).withColumns({"before": tokens("text"), "after": tokens("shown")}).drop("picked")

@@ -34,6 +34,24 @@ def shares(rows: DataFrame, passed: str, target: float = 0.8) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.coalesce(hit, F.lit(0)).cast("long").alias("hits"), (hit / F.count(F.lit(1))).alias("value"), (hit / F.count(F.lit(1)) >= target).alias("pass"))
 
 
+def breakdown(rows: DataFrame, by: list[str], target: float = 0.8) -> DataFrame:
+    """Coverage of the questions in scope and refusal of the others, by ``by``; ``rows``: in_scope, covered, refused and those."""
+    inside = F.col("in_scope")
+    made = rows.groupBy(*by).agg(F.sum(inside.cast("long")).alias("n_in_scope"), F.sum((~inside).cast("long")).alias("n_refusable"), F.try_divide(F.sum(F.when(inside, F.col("covered").cast("int"))), F.sum(inside.cast("int"))).alias("coverage"), F.try_divide(F.sum(F.when(~inside, F.col("refused").cast("int"))), F.sum((~inside).cast("int"))).alias("refusal"))
+    return made.withColumn("pass", (F.coalesce("coverage", F.lit(1.0)) >= target) & (F.coalesce("refusal", F.lit(1.0)) >= target))
+
+
+def split_summary(rows: DataFrame, id: str = "id", by: tuple[str, ...] = ("area", "in_scope"), salt: str = SALT, share: float = DEV_SHARE) -> DataFrame:
+    """How many questions of each area and scope are on either side of the split."""
+    return rows.groupBy(side(F.col(id).cast("string"), salt, share).alias("side"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def memory_budget(parts: DataFrame, limit_mb: float) -> DataFrame:
+    """total_mb, limit_mb, share and fits of ``parts`` (name, mb): what a deployment holds at once against its limit."""
+    total = F.coalesce(F.sum("mb"), F.lit(0.0))
+    return parts.agg(total.alias("total_mb"), F.lit(float(limit_mb)).alias("limit_mb"), (total / limit_mb).alias("share"), (total <= limit_mb).alias("fits"))
+
+
 def by_index(values: DataFrame, column: str, shares_: dict[str, float], by: list[str] = (), back: int = 0) -> DataFrame:
     """Percentiles by place, not interpolated: the sorted values at floor(n * p) - ``back``, between the first and the last.
 

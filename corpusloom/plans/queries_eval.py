@@ -23,7 +23,7 @@ def dev_test_split(spark, d):
 
 @query(f"SELECT CASE WHEN {_bucket} < 0.5 THEN 'dev' ELSE 'test' END AS side, length(text) > 200 AS long_item, count(*) AS n FROM benchmark GROUP BY ALL")
 def split_summary(spark, d):
-    return table(spark, d, "benchmark").groupBy(evaluate.side(F.col("item_id").cast("string")).alias("side"), (F.length("text") > 200).alias("long_item")).agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.split_summary(table(spark, d, "benchmark").withColumn("long_item", F.length("text") > 200), "item_id", ("long_item",))
 
 
 def _covered(spark, d):
@@ -45,6 +45,23 @@ def coverage_eval(spark, d):
     return r.select("total", "hits", F.round("value", 9).alias("value"), "pass")
 
 
+@query(f"WITH {_hits}, r AS (SELECT CASE WHEN {_bucket} < 0.5 THEN 'dev' ELSE 'test' END AS side, item_id % 3 <> 0 AS inside, covered FROM cov) SELECT side, count(*) FILTER (inside) AS n_in_scope, count(*) FILTER (NOT inside) AS n_refusable, round(avg(covered::INT) FILTER (inside), 9) AS coverage, round(avg((NOT covered)::INT) FILTER (NOT inside), 9) AS refusal, coalesce(avg(covered::INT) FILTER (inside), 1) >= 0.8 AND coalesce(avg((NOT covered)::INT) FILTER (NOT inside), 1) >= 0.8 AS pass FROM r GROUP BY side")
+def coverage_by_side(spark, d):
+    """Every third item as a question to be refused, which it is where nothing covers it."""
+    i = F.col("query_id")
+    rows = _covered(spark, d).select(evaluate.side(i.cast("string")).alias("side"), (i % 3 != 0).alias("in_scope"), "covered", (~F.col("covered")).alias("refused"))
+    r = evaluate.breakdown(rows, ["side"])
+    return r.select("side", "n_in_scope", "n_refusable", F.round("coverage", 9).alias("coverage"), F.round("refusal", 9).alias("refusal"), "pass")
+
+
+@query("SELECT round(sum(n * 256 / 1e6::DOUBLE), 9) AS total_mb, 1.0::DOUBLE AS limit_mb, round(sum(n * 256 / 1e6::DOUBLE), 9) AS share, sum(n * 256 / 1e6::DOUBLE) <= 1 AS fits FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)")
+def memory_budget(spark, d):
+    """The vectors of each label as parts of an index in memory."""
+    parts = table(spark, d, "embeddings").groupBy(F.col("label").alias("name")).agg((F.count(F.lit(1)) * 256 / F.lit(1e6)).alias("mb"))
+    r = evaluate.memory_budget(parts, 1.0)
+    return r.select(F.round("total_mb", 9).alias("total_mb"), "limit_mb", F.round("share", 9).alias("share"), "fits")
+
+
 @query(f"WITH {_hits}, ans AS (SELECT item_id, covered, item_id % 4 AS k FROM cov) SELECT CASE WHEN k = 3 THEN 'CONTRADICTED' WHEN k <> 1 AND covered THEN 'OK' WHEN covered THEN 'NOT_USED' WHEN k <> 1 THEN 'UNGROUNDED' ELSE 'MISSED' END AS verdict, count(*) AS n FROM ans GROUP BY 1")
 def answer_verdicts(spark, d):
     """Answers made from the coverage: one of four lacks the expected word, one of four says the rejected one."""

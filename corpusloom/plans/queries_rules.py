@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import language, questions, safety, scope, text
-from ..operators import ingest
+from ..operators import answer, ingest
 from ..operators.tables import stored
 from ..sources import files
 from ..streaming import guard
@@ -58,6 +58,11 @@ def pidgin_normalise(spark, d):
     return asked(spark, d).select("id", language.looks_pidgin(F.col("q")).alias("pidgin"), language.pidgin_normalised(F.col("q")).alias("normalised"))
 
 
+@query(rf"SELECT id, {S.rx('q', X.YORUBA_MARKS)} OR {R.among(r"regexp_extract_all(lower(q), '[\pL\pM\pN_]+')", X.YORUBA_MARKERS)} >= 2 AS yoruba FROM {_q}")
+def looks_yoruba(spark, d):
+    return asked(spark, d).select("id", language.looks_yoruba(F.col("q")).alias("yoruba"))
+
+
 @query(f"WITH {R.languages(_q)} {R.farm_terms()}")
 def farm_terms(spark, d):
     return asked(spark, d).select("id", language.with_farm_terms(F.col("q"), language.detect(F.col("q"))).alias("expanded"))
@@ -169,6 +174,23 @@ def strip_disclaimer(spark, d):
     return answered(spark, d).select("id", F.md5(safety.without_disclaimer(F.col("a"))).alias("digest"))
 
 
+@query(f"SELECT id, {R.replaced('a', R.lacking('said', _sources), safety.DOSE_REMOVED)} AS answer FROM (SELECT *, {R.doses('a')} AS said FROM {_a})")
+def redact_doses(spark, d):
+    return answered(spark, d).select("id", safety.replaced(F.col("a"), safety.unsupported_doses(F.col("a"), F.lit(_sources)), safety.DOSE_REMOVED).alias("answer"))
+
+
+@query(f"WITH {R.verdict(_a, fx.SOURCES, ['2010', 'unknown'], fx.NOW)}, l AS (SELECT *, 'en' AS language FROM judged) SELECT id, {R.notice()} AS notice FROM l")
+def safety_notice(spark, d):
+    v = safety.verdict(F.col("a"), F.array(*map(F.lit, fx.SOURCES)), F.col("q"), F.array(F.lit("2010"), F.lit("unknown")), fx.NOW)
+    return answered(spark, d).select("id", safety.notice(v, F.lit("en")).alias("notice"))
+
+
+@query(R.prompt(_q, fx.SOURCES))
+def build_prompt(spark, d):
+    hits = F.array(*(F.struct(F.lit(t).alias("text"), F.lit("A title").alias("title"), F.lit("2001").alias("year")) for t in fx.SOURCES))
+    return asked(spark, d).select("id", answer.prompt(F.col("q"), hits).alias("p")).select("id", F.md5("p.system").alias("system"), F.md5("p.user").alias("user"))
+
+
 @query(R.without_echo(_a))
 def symptom_echo(spark, d):
     return answered(spark, d).select("id", safety.without_echo(F.col("a"), F.col("q")).alias("answer"))

@@ -131,16 +131,24 @@ def _passage_vectors(spark, d):
     return docs.join(vectors, "id"), asked.join(stored(dense.hashed_embedding(asked, "query_id")).withColumnRenamed("id", "query_id"), "query_id")
 
 
-@query()
+@query(R.hybrid(S.bm25("documents", "doc_id", "benchmark", "item_id"), 0.10))
 def hybrid_search(spark, d):
     """Every benchmark item against every document; floor for the hashed embedding."""
     passages, asked = _passage_vectors(spark, d)
-    return search.hybrid(passages, asked, min_score=0.10, index=index_of(spark, d)).select("query_id", "id", "hit", "place", "fused_rank", "score")
+    return search.hybrid(passages, asked, min_score=0.10, index=index_of(spark, d)).select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("hit", "place", "fused_rank")), F.round("score", 6).alias("score"))
+
+
+@query("SELECT label, round(sum(x * x), 6) AS norm, round(max(x) FILTER (i = 1), 6) AS first FROM (SELECT label, i, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-12) AS x FROM (SELECT label, i, sum(embedding[i]::DOUBLE * (vec_id % 2)) / greatest(sum(vec_id % 2), 1e-9) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)) GROUP BY label")
+def mean_pool(spark, d):
+    """The vectors of a label as the states of its tokens, every other one masked."""
+    states = table(spark, d, "embeddings").select("label", "embedding", (F.col("vec_id") % 2).alias("mask"))
+    pooled = dense.mean_pooled(states, "label", "embedding", "mask")
+    return pooled.select("label", F.round(text.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"), F.round(F.get("embedding", F.lit(0)), 6).alias("first"))
 
 
 @query()
 def advise(spark, d):
-    """The whole question flow: all questions of users and the literal ones against all documents."""
+    """The whole question flow: all questions of users and the literal ones against all documents, hits compressed for the prompt."""
     own = table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("name"), F.coalesce("text", F.lit("")).alias("question"))
     asked = own.unionByName(fx.frame(spark, [(f"f-{i}", q) for i, q in enumerate(fx.QUESTIONS)], "name string, question string")).withColumn("query_id", F.xxhash64("name", "question"))
     asked = stored(answer.considered(asked).drop("name"))
@@ -148,5 +156,6 @@ def advise(spark, d):
     passages, _ = _passage_vectors(spark, d)
     vectors = stored(dense.hashed_embedding(open_, "query_id")).withColumnRenamed("id", "query_id")
     hits = search.hybrid(passages, open_.join(vectors, "query_id"), min_score=0.10, index=index_of(spark, d))
-    about = {"shown": F.lit(None).cast("string"), "year": F.lit("unknown"), "publisher": F.lit("given"), "page_start": F.lit(1), "page_end": F.lit(1)}
+    hits = compress.compressed(stored(hits), vectors)
+    about = {"year": F.lit("unknown"), "publisher": F.lit("given"), "page_start": F.lit(1), "page_end": F.lit(1)}
     return answer.advise(asked, hits.withColumns(about), fx.NOW).select("query_id", "language", "refused", "why", "answer", "citations", "safe")

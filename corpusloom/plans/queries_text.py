@@ -68,6 +68,24 @@ def heading_lines(spark, d):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(text.is_heading(F.col("x")).cast("long")).alias("n_headings"))
 
 
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, CASE WHEN length(x) < 80 THEN '#' || i ELSE '=' || left(regexp_replace(lower(x), '[^\pL\pN\pM_]+', '', 'g'), 200) END ORDER BY i) AS nth FROM l)
+    SELECT doc_id, count(*) AS n_lines, md5(string_agg(x, chr(10) ORDER BY i)) AS digest FROM k WHERE nth = 1 GROUP BY doc_id"""
+)
+def line_dedup(spark, d):
+    kept = table(spark, d, "documents").select("doc_id", text.unique_long_lines(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("l"))
+    return kept.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+@query(
+    r"""WITH l AS (SELECT id, unnest(string_split(text, chr(10))) AS x FROM (""" + _passages + r""")) SELECT id, count(*) FILTER (""" + S.rx(r"regexp_replace(x, '^\s+|\s+$', '', 'g')", X.FIELD_LABEL) + r""") AS n_labels FROM l GROUP BY id"""
+)
+def field_labels(spark, d):
+    lines = passages(spark, d).select("id", F.explode(F.split("text", "\n", -1)).alias("x"))
+    return lines.groupBy("id").agg(F.sum(text.is_field_label(F.col("x")).cast("long")).alias("n_labels"))
+
+
 @query(R.sentences(_passages))
 def sentences(spark, d):
     return passages(spark, d).select("id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))

@@ -201,6 +201,27 @@ def verdict(source: str, sources: list[str], years: list[str], now: int) -> str:
         judged AS (SELECT *, len(hazardous) = 0 AND len(unsupported_doses) = 0 AND len(stale_sources) = 0 AND len(restricted_veterinary) = 0 AND len(foreign_money) = 0 AND NOT missing_withdrawal AND NOT container_reuse AS safe FROM vf)"""
 
 
+def notice() -> str:
+    """Of judged(..., language): the lines that a verdict adds."""
+    names = lambda k: f"array_to_string(list_sort({k}), ', ')"
+    when = lambda k, text: f"CASE WHEN len({k}) > 0 THEN {text} END"
+    vet = f"'Some sources mention veterinary medicines that are banned or restricted in food-producing animals (' || {names('restricted_veterinary')} || '). Do not use them. Ask a veterinary officer.'"
+    money = f"'Some figures above are in a currency from another country (' || {names('foreign_money')} || '). They are not Nigerian prices and should not be used to decide what to sell for. Ask at your local market.'"
+    lines = [
+        when("hazardous", f"{message('hazardous_pesticide')} || ' (' || {names('hazardous')} || ')'"), when("unsupported_doses", message("unsupported_dosage")),
+        when("stale_sources", f"{message('stale_chemical')} || ' (' || {names('stale_sources')} || ')'"), when("restricted_veterinary", vet), when("foreign_money", money),
+        f"CASE WHEN container_reuse THEN {q(X.CONTAINER_REUSE_WARNING)} END", f"CASE WHEN missing_withdrawal THEN {message('withdrawal_period')} END",
+    ]
+    return f"array_to_string(list_filter([{', '.join(lines)}], lambda x: x IS NOT NULL), chr(10) || chr(10))"
+
+
+def prompt(source: str, texts: list[str]) -> str:
+    from ..operators.answer import NO_CLOCK, SYSTEM
+
+    parts = "\n\n".join(f"{' '.join(t.split())} (A title, 2001) [{i}]" for i, t in enumerate(texts, 1))
+    return f"SELECT id, md5({q(SYSTEM)} || CASE WHEN {rx('q', X.TIME_DEPENDENT)} THEN {q(NO_CLOCK)} ELSE '' END) AS system, md5({q('Sources:' + chr(10) * 2 + parts + chr(10) * 2)} || 'Farmer''s question: ' || q) AS user FROM {source}"
+
+
 def content_words(e: str) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({e}), '[a-z]+'), lambda w: length(w) > 2 AND w NOT IN {listed(X.ECHO_STOPWORDS)}))"
 
@@ -245,15 +266,56 @@ def strip_furniture(source: str) -> str:
     return f"SELECT id, {stripped(squeezed_)} AS text FROM ({source})"
 
 
+def crops(e: str) -> str:
+    return some([(rx(f"lower({e})", rf"\b{c}(?:e?s)?\b"), c) for c in X.IN_SCOPE_CROPS])
+
+
+def other_crops(e: str) -> str:
+    return some([(rx(f"lower({e})", rf"\b{c}\b"), c) for c in X.OTHER_CROP_TERMS])
+
+
+def usable(text: str) -> str:
+    """A passage that no quality gate takes."""
+    front = f"{rx_count(f'left({text}, 600)', X.FRONT_MATTER)} + {rx_count(f'left({text}, 600)', X.COPYRIGHT)}"
+    run = f"list_max(list_transform(string_split_regex(array_to_string(regexp_extract_all({text}, '[.!?]'), ''), '[.!]'), lambda x: length(x)))"
+    form = f"({rx_count(text, X.BLANK_RUN)} >= 3 OR ({rx(text, X.FORM_NUMBERING)} AND {rx(text, X.BLANK_RUN)}))"
+    check = rf"(len(list_filter(string_split_regex({text}, '[.!?]+\s+'), lambda s: trim(s) <> '')) >= 4 AND {run} >= 3 AND ({run} >= 5 OR {rx_count(text, X.SELF_ASSESSMENT)} >= 2))"
+    n, k = f"len(regexp_extract_all({text}, '[A-Za-z]+'))", f"len(list_filter(regexp_extract_all({text}, '[A-Za-z]+'), lambda w: length(w) >= 3))"
+    return f"NOT ({front} > 2 OR ({n} >= 20 AND {k}::DOUBLE / {n} < 0.72) OR {form} OR {check})"
+
+
+def embedded(stems: str, name: str, dim: int = 256) -> str:
+    """CTEs ending in ``name``(id, place, x): unit vectors of hashed stems, without zeros; ``stems``: a CTE of id, term."""
+    return f"""{name}_w AS (SELECT id, ('0x' || left(md5(term), 8))::BIGINT % {dim} AS place, sum(1 + ln(tf)) AS w FROM (SELECT id, term, count(*) AS tf FROM {stems} GROUP BY ALL) GROUP BY ALL),
+        {name}_n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM {name}_w GROUP BY id), {name} AS (SELECT id, place, w / norm AS x FROM {name}_w JOIN {name}_n USING (id))"""
+
+
+def hybrid(bm25: str, min_score: float, top_k: int = 6) -> str:
+    """The whole search; ``bm25``: CTEs with p (passages' stems), a (queries' stems) and bm25; passages are documents, titled by source."""
+    body = "(title || ' ' || text)"
+    words = rf"len(list_filter(string_split_regex({body}, '\s+'), lambda w: w <> ''))"
+    return f"""WITH {bm25}, {embedded('p', 'pv')}, {embedded('a', 'av')}, cos AS (SELECT av.id AS query_id, pv.id, sum(av.x * pv.x) AS score FROM av JOIN pv USING (place) GROUP BY ALL),
+        every AS (SELECT item_id AS query_id, doc_id AS id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN cos ON cos.query_id = item_id AND cos.id = doc_id),
+        near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM every) WHERE rank <= 20),
+        u AS (SELECT query_id, id, rank AS d, NULL AS l FROM near UNION ALL SELECT query_id, id, NULL, rank FROM bm25), e AS (SELECT query_id, id, min(d) AS d, min(l) AS l FROM u GROUP BY ALL),
+        s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(1.0::DOUBLE / (60 + l), 0) AS rrf, least(CASE WHEN l <= 2 THEN 2 * (l - 1) END, CASE WHEN d <= 2 THEN 2 * (d - 1) + 1 END) AS place FROM e),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(place, 4), round(rrf, 12) DESC, coalesce(d, 20 + l)) - 1 AS fused_rank FROM s),
+        x AS (SELECT f.query_id, f.id, f.fused_rank, f.l, every.score, coalesce(b.text, '') AS query, coalesce(t.source, '') AS title, coalesce(t.text, '') AS text FROM f JOIN every USING (query_id, id) JOIN benchmark b ON b.item_id = f.query_id JOIN documents t ON t.doc_id = f.id WHERE fused_rank < 18),
+        y AS (SELECT *, {crops('query')} AS wanted, list_concat({crops(body)}, {other_crops(body)}) AS named, {sign_names('query')} AS signs, {other_crops('title')} AS titled, {rx_count(body, X.POSTHARVEST_TERMS)} AS n_post FROM x),
+        z AS (SELECT *, len(wanted) > 0 AND CASE WHEN len(named) > 0 THEN NOT list_has_any(named, wanted) ELSE len(titled) > 0 END AS offcrop, len(signs) > 0 AND len(list_filter(signs, lambda n: contains(lower({body}), n))) = 0 AS not_named,
+            {rx(body, X.RESEARCH_REGISTER)} AS research, {rx('query', X.FIELD_CONTEXT)} AND NOT {rx('query', X.STORE_CONTEXT)} AND n_post >= 3 AND 1000.0 * n_post / greatest({words}, 1) >= 25 AS postharvest FROM y),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY postharvest, research, not_named, offcrop, fused_rank) - 1 AS place FROM z),
+        h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS hit FROM r WHERE score >= CASE WHEN l <= 2 THEN {min_score} - 0.08 ELSE {min_score} END AND {usable('text')})
+        SELECT query_id, id, hit, place, fused_rank, round(score, 6) AS score FROM h WHERE hit <= {top_k}"""
+
+
 def rerank(questions: list[str], sources: list[str]) -> str:
-    crop = lambda e: some([(rx(f"lower({e})", rf"\b{c}(?:e?s)?\b"), c) for c in X.IN_SCOPE_CROPS])
-    other = lambda e: some([(rx(f"lower({e})", rf"\b{c}\b"), c) for c in X.OTHER_CROP_TERMS])
     body = "(' ' || text)"
     asked = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(questions))
     given = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(sources))
     words = rf"len(list_filter(string_split_regex({body}, '\s+'), lambda w: w <> ''))"
-    return f"""WITH a AS (SELECT query_id, query, {crop('query')} AS wanted, {sign_names('query')} AS signs, {rx('query', X.FIELD_CONTEXT)} AND NOT {rx('query', X.STORE_CONTEXT)} AS field FROM (VALUES {asked}) v(query_id, query)),
-        s AS (SELECT id, text, list_concat({crop(body)}, {other(body)}) AS crops, {rx(body, X.RESEARCH_REGISTER)} AS research, {rx_count(body, X.POSTHARVEST_TERMS)} AS n_post, {words} AS n FROM (VALUES {given}) v(id, text)),
+    return f"""WITH a AS (SELECT query_id, query, {crops('query')} AS wanted, {sign_names('query')} AS signs, {rx('query', X.FIELD_CONTEXT)} AND NOT {rx('query', X.STORE_CONTEXT)} AS field FROM (VALUES {asked}) v(query_id, query)),
+        s AS (SELECT id, text, list_concat({crops(body)}, {other_crops(body)}) AS crops, {rx(body, X.RESEARCH_REGISTER)} AS research, {rx_count(body, X.POSTHARVEST_TERMS)} AS n_post, {words} AS n FROM (VALUES {given}) v(id, text)),
         f AS (SELECT query_id, id, len(wanted) > 0 AND len(crops) > 0 AND NOT list_has_any(crops, wanted) AS offcrop, len(signs) > 0 AND len(list_filter(signs, lambda x: contains(lower({body}), x))) = 0 AS not_named, research,
             field AND n_post >= 3 AND 1000.0 * n_post / greatest(n, 1) >= 25 AS postharvest FROM a CROSS JOIN s)
         SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY postharvest, research, not_named, offcrop, id) - 1)::INT AS place, offcrop, not_named, research, postharvest FROM f"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import licence_reason
 from ..functions.text import clean
+from ..operators import lexical
 from ..session import ship
 
 PAGE = "doc_id string, title string, text string, source_url string, publisher string, year string, licence string, areas array<string>, crops array<string>, relevance_score double, n_chars int"
@@ -118,10 +119,10 @@ def carried(fresh: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def imported(items: DataFrame, sheet: DataFrame, mark: str = "CRITICAL ") -> DataFrame:
-    """``items`` (id, ...) with the corrections of a filled sheet, whose ids may bear the mark of urgent rows."""
-    filled = reviewed(sheet).select("id", "corrected")
-    marked = filled.select(F.regexp_replace("id", f"^{mark}", "").alias("id"), F.col("corrected").alias("urgent")).filter(F.col("urgent").isNotNull())
-    plain = filled.filter(~F.startswith("id", F.lit(mark)))
+    """``items`` (id, ...) with the corrections of a filled sheet, whose ids may bear the mark of urgent rows; of several for an id the greatest counts."""
+    filled = reviewed(sheet).select("id", "corrected").filter("corrected is not null")
+    marked = filled.filter(F.startswith("id", F.lit(mark))).groupBy(F.substr("id", F.lit(len(mark) + 1)).alias("id")).agg(F.max("corrected").alias("urgent"))
+    plain = filled.filter(~F.startswith("id", F.lit(mark))).groupBy("id").agg(F.max("corrected").alias("corrected"))
     return items.join(marked, "id", "left").join(plain, "id", "left").withColumn("corrected", F.coalesce("urgent", "corrected")).drop("urgent")
 
 
@@ -130,16 +131,15 @@ def meta(metadata, key: str, default: str = ""):
     return F.coalesce(F.get(F.try_element_at(metadata, F.lit(key)), F.lit(0))["value"], F.lit(default))
 
 
-def save_index(chunks: DataFrame, path: str, postings: DataFrame | None = None) -> None:
-    """Passages with their vectors, and the postings by first letter of the term."""
+def save_index(chunks: DataFrame, path: str, id: str = "id") -> None:
+    """Passages with their vectors, and the BM25 index of those whose licence allows their use."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    if postings is not None:
-        postings.withColumn("initial", F.left("term", F.lit(1))).write.mode("overwrite").partitionBy("initial").parquet(f"{path}/postings")
+    lexical.build(served(chunks.sparkSession.read.parquet(f"{path}/chunks")), id).save(f"{path}/bm25")
 
 
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    """Passages whose licence allows their use; vectors are columns, so they stay with their rows."""
-    return served(spark.read.parquet(f"{path}/chunks"))
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, lexical.Index]:
+    """Passages whose licence allows their use, with their vectors as a column, and their BM25 index for ``search``."""
+    return served(spark.read.parquet(f"{path}/chunks")), lexical.load(spark, f"{path}/bm25")
 
 
 def served(chunks: DataFrame) -> DataFrame:
@@ -153,3 +153,15 @@ def pages_sink(pages: DataFrame, path: str) -> None:
 def event_frame(event, data):
     """One server-sent event as text."""
     return F.format_string("event: %s\ndata: %s\n\n", event, data)
+
+
+def arc_questions(spark: SparkSession, path: str) -> DataFrame:
+    """question_id, question, choice (from 0), text, n_chars, gold of the choices in a JSON Lines file of the ARC layout; rows whose key names no choice are left out."""
+    rows = spark.read.schema("id string, question struct<stem:string, choices:array<struct<text:string, label:string>>>, answerKey string").json(path)
+    each = rows.select(F.col("id").alias("question_id"), F.col("question.stem").alias("question"), "answerKey", F.posexplode("question.choices").alias("choice", "c"), F.exists("question.choices", lambda c: c["label"] == F.col("answerKey")).alias("known"))
+    return each.filter("known").select("question_id", "question", "choice", F.col("c.text").alias("text"), F.length("c.text").alias("n_chars"), (F.col("c.label") == F.col("answerKey")).alias("gold"))
+
+
+def result_sink(result: DataFrame, path: str, **about) -> None:
+    """A result as JSON, each row with the settings that it was made with."""
+    result.select(F.struct(*(F.lit(v).alias(k) for k, v in about.items())).alias("settings") if about else F.lit(None).alias("settings"), F.struct(*result.columns).alias("result")).coalesce(1).write.mode("overwrite").json(path)

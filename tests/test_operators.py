@@ -110,6 +110,24 @@ def test_greedy_selection_stops_at_the_first_that_does_not_fit(spark):
     assert {x["id"]: x["text"] for x in compress.select(df, ["id"]).collect()} == want
 
 
+def test_hits_are_compressed_towards_the_query(spark):
+    text = "Cassava mosaic is spread by whitefly. The sea was calm on that day. Never spray in wind. Ships came home with the tide in the evening. Uproot sick cassava plants. " + "Gulls cried over the harbour all morning long and nobody heard them. " * 8
+    hits = spark.createDataFrame([(1, 1, text), (1, 2, "One. Only two long sentences are here."), (2, 1, "")], "query_id long, hit int, text string")
+    asked = dense.hashed_embedding(spark.createDataFrame([(1, "cassava mosaic whitefly"), (2, "x")], "id long, text string")).withColumnRenamed("id", "query_id")
+    got = {(r["query_id"], r["hit"]): r for r in compress.compressed(hits, asked, total=60).collect()}
+    first = got[1, 1]
+    assert "whitefly" in first["shown"] and "Never spray in wind." in first["shown"] and "Uproot" in first["shown"] and len(first["shown"]) < len(text) / 2
+    assert first["forced"] == 1 and first["kept"] < first["n_sentences"] and first["after"] < first["before"] == int(len(text) / 3.5)
+    assert got[1, 2]["shown"] == "One. Only two long sentences are here." and got[2, 1]["shown"] == ""
+
+
+def test_breakdown_and_memory(spark):
+    rows = spark.createDataFrame([("a", True, True, False), ("a", True, False, True), ("a", False, False, True), ("b", False, True, False)], "crop string, in_scope boolean, covered boolean, refused boolean")
+    got = {r["crop"]: (r["coverage"], r["refusal"], r["pass"]) for r in evaluate.breakdown(rows, ["crop"]).collect()}
+    assert got == {"a": (0.5, 1.0, False), "b": (None, 0.0, False)}
+    assert evaluate.memory_budget(spark.createDataFrame([("x", 3.0), ("y", 4.5)], "name string, mb double"), 7.0).first()["fits"] is False
+
+
 def test_near_pairs_and_greedy_keep(spark):
     r = random.Random(4)
     base = [[f"w{r.randrange(500)}" for _ in range(60)] for _ in range(8)]

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from corpusloom.functions import fixed as X
-from corpusloom.operators import ingest
+from corpusloom.operators import ingest, lexical
 from corpusloom.sources import files
 from corpusloom.streaming import events, guard
 
@@ -100,12 +100,38 @@ def test_html_and_pdf_files(spark, tmp_path):
 
 
 def test_index_keeps_rows_and_vectors_together(spark, tmp_path):
-    rows = [(i, f"t{i}", lic, [float(i == j) for j in range(4)]) for i, lic in enumerate(["CC BY", "CC BY-ND", "", "All rights reserved"])]
+    rows = [(i, f"yam number {i} {'maize ' * i}", lic, [float(i == j) for j in range(4)]) for i, lic in enumerate(["CC BY", "CC BY-ND", "", "All rights reserved"])]
     df = spark.createDataFrame(rows, "id int, text string, licence string, embedding array<double>")
-    files.save_index(df, str(tmp_path / "ix"), spark.createDataFrame([("yam", 1, 2)], "term string, id int, tf int"))
-    got = files.load_index(spark, str(tmp_path / "ix")).orderBy("id").collect()
+    files.save_index(df, str(tmp_path / "ix"))
+    chunks, index = files.load_index(spark, str(tmp_path / "ix"))
+    got = chunks.orderBy("id").collect()
     assert [r["id"] for r in got] == [0, 2] and all(r["embedding"][r["id"]] == 1 for r in got)
-    assert spark.read.parquet(str(tmp_path / "ix/postings")).filter("initial = 'y'").count() == 1
+    assert index.n_docs == 2 and index.frequencies.filter("term = 'yam'").first()["df"] == 2
+    asked = spark.createDataFrame([(7, "maize yam"), (8, "nothing")], "query_id long, text string")
+    assert [(r["query_id"], r["id"]) for r in lexical.search(index, asked).orderBy("rank").collect()] == [(7, 2), (7, 0)]
+    read = lexical.search(index, asked).inputFiles()
+    assert read and all("/ix/bm25/postings/" in f for f in read)  # the passages are not read again
+
+
+def test_review_ids_that_repeat_do_not_multiply_items(spark):
+    items = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
+    sheet = spark.createDataFrame([("1", "d", "a"), ("1", "d", "b"), ("CRITICAL 2", "d", "yes"), ("CRITICAL 2", "d", ""), ("2", "d", "plain")], "id string, draft string, answer string")
+    assert sorted((r["id"], r["corrected"]) for r in files.imported(items, sheet).collect()) == [("1", "b"), ("2", "d"), ("3", None)]
+
+
+def test_choices_and_results(spark, tmp_path):
+    rows = [{"id": "q1", "question": {"stem": "Which?", "choices": [{"text": "one", "label": "A"}, {"text": "two", "label": "B"}]}, "answerKey": "B"}, {"id": "q2", "question": {"stem": "?", "choices": [{"text": "x", "label": "1"}]}, "answerKey": "E"}]
+    (tmp_path / "arc.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = files.arc_questions(spark, str(tmp_path / "arc.jsonl")).orderBy("choice").collect()
+    assert [(r["question_id"], r["text"], r["n_chars"], r["gold"]) for r in got] == [("q1", "one", 3, False), ("q1", "two", 3, True)]
+    files.result_sink(spark.createDataFrame([(0.97, True)], "value double, pass boolean"), str(tmp_path / "r"), top_k=6, floor=0.7)
+    row = spark.read.json(str(tmp_path / "r")).first()
+    assert (row["settings"]["top_k"], row["result"]["value"], row["result"]["pass"]) == (6, 0.97, True)
+
+
+def test_pages_left_out_are_told(spark, tmp_path):
+    (tmp_path / "bad.pdf").write_bytes(b"no pdf")
+    assert files.pdf_files(spark, str(tmp_path / "bad.pdf")).first()["truncated"] is False
 
 
 def test_upsert_twice_is_once(spark):
