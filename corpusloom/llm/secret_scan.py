@@ -72,6 +72,8 @@ ALL_CLASSES = (
 #: Of the allow-list what holds for a candidate as a whole, with the published example that its filler does not reach, and the fillers.
 WHOLE = (*ALLOWED[:3], r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$")
 FILLERS = ALLOWED[3:]
+#: Matches whose spans are collected at once.
+RUN = 256
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
@@ -81,11 +83,14 @@ def _let(value: Column, body) -> Column:
 
 
 def _placed(text: Column, pattern: str, group: int, keep) -> Column:
-    """Spans of the matches of ``pattern``; keep(match, group's text, start) gives a span or null."""
+    """Spans of the matches of ``pattern``; keep(match, group's text, start) gives a span or null.
+
+    Arrays grow by copying, so spans collect in runs of ``RUN`` matches: the cost of a text goes with its matches, not with their square.
+    """
     rx = F.lit(pattern)
 
     def place(matches: Column, between: Column, groups: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+        none = F.array().cast(f"array<{SPAN}>")
 
         def step(state: Column, i: Column) -> Column:
             m = F.get(matches, i)
@@ -93,7 +98,12 @@ def _placed(text: Column, pattern: str, group: int, keep) -> Column:
             made = keep(m, F.get(groups, i), begin)
             return F.struct((begin + F.length(m)).alias("at"), F.when(made.isNotNull(), F.concat(state["spans"], F.array(made))).otherwise(state["spans"]).alias("spans"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda s: s["spans"])
+        def run(state: Column, k: Column) -> Column:
+            some = F.aggregate(F.sequence(k * RUN, F.least((k + 1) * RUN, F.size(matches)) - 1), F.struct(state["at"].alias("at"), none.alias("spans")), step)
+            return _let(some, lambda s: F.struct(s["at"].alias("at"), F.concat(state["runs"], F.array(s["spans"])).alias("runs")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("runs"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), start, run, lambda s: F.flatten(s["runs"]))
 
     found = _let(F.regexp_extract_all(text, rx, F.lit(0)), lambda m: _let(F.split(text, pattern, -1), lambda b: _let(F.regexp_extract_all(text, rx, F.lit(group)) if group else m, lambda g: place(m, b, g))))
     return F.when(F.rlike(text, rx), found).otherwise(F.array().cast(f"array<{SPAN}>"))

@@ -28,6 +28,15 @@ def test_secret_base_spans_equal_python(spark):
         assert [(s["start"], s["rank"], s["end"]) for s in got[i]] == want
 
 
+def test_a_text_of_very_many_secrets(spark):
+    text = "".join(f"é{i} AKIA{'ABCDEFGHIJKLMNOP'[i % 7 :]} token={i:016d}\n" for i in range(3000))
+    got = secret_scan.scan(spark.createDataFrame([(text,), ("",)], "text string"), classes=()).collect()[0]["secrets"]
+    access = [(m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    assign = [(m.start(), m.end()) for m in re.finditer(r"token=[0-9]{16}", text)]
+    assert [(s["start"], s["end"]) for s in got if s["kind"] == "access"] == access and [(s["start"], s["end"]) for s in got if s["kind"] == "assign"] == assign
+    assert len(access) > secret_scan.RUN * 3 and [s["start"] for s in got] == sorted(s["start"] for s in got)
+
+
 def test_entropy_windows_equal_direct_counts(spark):
     text = "id zZ9kQ2x7Lm4Rw8VbN1cTp5Ys and aaaaaaaaaaaaaaaaaaaaaA1 and 3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1 and 4444333322221111"
     c = secret_scan.CLASSES[2]
