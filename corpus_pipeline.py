@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's docs. All but the last
-return the columns of ``docs``.
+return the columns of ``docs``, extra ones included, whatever they are named.
+
+Edge cases, stage by stage: a null text is empty everywhere. Toxicity judges row by
+row; without labels of both kinds it keeps all. The join keeps one row of each class,
+so repeated rows and empty texts leave one, but unlike texts of one id all stay.
+Decontamination drops rows that hold an item, whatever the ids, null ones included;
+without items it keeps all. The secret scan keeps every row. The mix answers row by
+row. An empty table stays empty through all stages; very long texts are taken whole.
 """
 
 from __future__ import annotations
