@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import find_all, let
-from .tables import stored
+from .tables import forget, stored
 
 RUN, SIMILAR = 5, 0.75
 
@@ -30,17 +30,27 @@ def exact(documents: DataFrame, order: str = "doc_id", text: str = "text") -> Da
     return hashed.groupBy("sha256").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
+def _sets(documents: DataFrame, block: str | None, id: str, text: str) -> DataFrame:
+    """id, block, s, k1, k2 of each document, stored: its runs, and 128 bits of hash that stand for them."""
+    key = F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")
+    each = documents.select(F.col(id).alias("id"), key.alias("block"), shingles(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    return stored(each.withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64("s", F.lit("k2"))}), "dedup-sets")
+
+
 def near_pairs(documents: DataFrame, block: str | None = None, similar: float = SIMILAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """a < b, jaccard: pairs of different sets at or over ``similar``, each set by its first id, within equal ``block``."""
-    key = F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")
-    sets = documents.select(F.col(id).alias("id"), key.alias("block"), shingles(F.coalesce(F.col(text), F.lit(""))).alias("s")).filter(F.size("s") > 0)
-    sets = stored(sets.groupBy("block", "s").agg(F.min("id").alias("id")))
+    return _pairs(_sets(documents, block, id, text), similar)
+
+
+def _pairs(every: DataFrame, similar: float) -> DataFrame:
+    firsts = every.filter(F.size("s") > 0).groupBy("block", "k1", "k2").agg(F.min("id").alias("id"))
+    sets = stored(every.join(firsts, ["block", "k1", "k2", "id"]).dropDuplicates(["block", "k1", "k2"]).select("block", "id", "s"), "dedup-firsts")
     df = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     often = sets.select("block", "id", F.size("s").alias("n"), F.explode("s").alias("h")).join(df, "h")
     ordered = often.groupBy("block", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("known"))
     # Runs of one set alone come first in the order; the prefix is what is left of it after them.
     room = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - (F.col("n") - F.size("known"))
-    prefix = ordered.select("block", "id", "n", F.explode(F.slice("known", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("k")).select("block", "id", "n", F.col("k.h").alias("h"))
+    prefix = stored(ordered.select("block", "id", "n", F.explode(F.slice("known", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("k")).select("block", "id", "n", F.col("k.h").alias("h")), "dedup-prefix")
     a, b = (prefix.select("block", "h", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     meet = a.join(b, ["block", "h"]).filter((F.col("a") < F.col("b")) & (F.col("n_a") >= similar * F.col("n_b")) & (F.col("n_b") >= similar * F.col("n_a"))).select("block", "a", "b").distinct()
     left, right = (sets.select("block", F.col("id").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
@@ -53,16 +63,17 @@ def near_pairs(documents: DataFrame, block: str | None = None, similar: float =
 def near_keep(documents: DataFrame, block: str | None = None, similar: float = SIMILAR, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, kept: in order of id, a document stays unless it is similar to an earlier one that stays.
 
-    Rounds decide all documents whose earlier neighbours are decided; the graph
-    is only as large as the similar pairs.
+    Rounds decide all documents whose earlier neighbours are decided, on a graph that is only as large
+    as the similar pairs; each round's table is removed after the next.
     """
-    pairs = stored(near_pairs(documents, block, similar, id, text).select("a", "b"))
-    key = F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")
-    firsts = documents.select(F.col(id).alias("id"), key.alias("block"), shingles(F.coalesce(F.col(text), F.lit(""))).alias("s")).groupBy("block", "s").agg(F.min("id").alias("first"))
-    state = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    every = _sets(documents, block, id, text)
+    pairs = stored(_pairs(every, similar).select("a", "b"), "dedup-pairs")
+    firsts = every.groupBy("block", "k1", "k2").agg(F.min("id").alias("first"))
+    state = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "dedup-state")
     while state.filter("kept is null").limit(1).count():
         seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("by")), "a").groupBy("b").agg(F.max(F.coalesce("by", F.lit(False))).alias("hit"), F.max(F.col("by").isNull()).alias("open"))
-        state = stored(state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("kept")))
-    every = documents.select(F.col(id).alias("id"), key.alias("block"), shingles(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    known = every.join(firsts, ["block", "s"]).select("id", "first", (F.size("s") == 0).alias("bare"))
+        then = stored(state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("kept")), "dedup-state")
+        forget(state)
+        state = then
+    known = every.join(firsts, ["block", "k1", "k2"]).select("id", "first", (F.size("s") == 0).alias("bare"))
     return known.join(state.withColumnRenamed("id", "first"), "first", "left").select("id", (F.col("bare") | ((F.col("id") == F.col("first")) & F.coalesce("kept", F.lit(True)))).alias("kept"))

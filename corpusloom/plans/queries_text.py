@@ -219,10 +219,22 @@ def lexicon_group_counts_all(spark, d):
     return table(spark, d, "documents").select("doc_id", *(relevance.total(relevance.term_hits(t, ts)).cast("long").alias(f"n_{g}") for g, ts in GENERIC.items()))
 
 
-@query()
+_GUIDE = [
+    "Cassava mosaic causes yellowing and stunted plants in Nigeria. Farmers should prune, weeding and rotation help; aphids and whiteflies are a vector. " * 6,
+    "Maize and cowpea: crop rotation, mulching and early planting control weeds in Ghana. Goats and poultry need vaccination. Market prices fall at harvest. " * 9,
+    "The steering committee and stakeholders held a workshop on co-funding in Kenya; participants report on the project. " * 20,
+    "Aphids on beans in Canada and Florida: prune, spray, mulch, weeding, pests, blight, wilting and yellowing plants. " * 8,
+    "pest pests blight aphid aphids wilting mosaic weevil " * 12,
+]
+
+
+@query(R.relevance(_passages + " UNION ALL SELECT 'g' || (row_number() OVER ()) AS id, p AS text FROM " + fx.sql_values(_GUIDE, "p"), relevance.GROUPS))
 def relevance_score(spark, d):
-    found = relevance.scored(passages(spark, d))
-    return found.select("id", "n_words", "positive", "score", "language", "areas", "crops", "accepted", "reason", "top_terms")
+    """All documents, and literal ones that meet other decisions."""
+    more = fx.frame(spark, [(f"g{i}", p) for i, p in enumerate(_GUIDE, 1)], "id string, text string")
+    found = relevance.scored(passages(spark, d).unionByName(more))
+    named = F.array_join(F.transform("top_terms", lambda x: F.concat(x["term"], F.lit(":"), x["n"].cast("string"))), ", ")
+    return found.select("id", "n_words", "positive", F.round("score", 6).alias("score"), "language", F.array_join("areas", ", ").alias("areas"), F.array_join("crops", ", ").alias("crops"), "accepted", "reason", named.alias("top_terms"))
 
 
 @query(f"WITH {S.stemmed('documents', 'doc_id', 'text')}, c AS (SELECT id, term, count(*) AS n FROM stems GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS k FROM c) SELECT id AS doc_id, k AS rank, term, n FROM r WHERE k <= 12")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_eval, queries_rules, queries_search, queries_text
+from . import queries_eval, queries_files, queries_rules, queries_search, queries_text
 
-ENTRIES = {**queries_text.ENTRIES, **queries_search.ENTRIES, **queries_rules.ENTRIES, **queries_eval.ENTRIES}
+ENTRIES = {**queries_text.ENTRIES, **queries_search.ENTRIES, **queries_rules.ENTRIES, **queries_eval.ENTRIES, **queries_files.ENTRIES}
 QUERIES = {name: f for name, (f, _) in ENTRIES.items()}
 ORACLES = {name: sql for name, (_, sql) in ENTRIES.items() if sql}

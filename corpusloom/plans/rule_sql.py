@@ -335,3 +335,37 @@ def near_keep(pairs: str) -> str:
     return f"""{pairs}, nb AS (SELECT b AS id, list(a) AS before FROM near GROUP BY b), node AS (SELECT id, coalesce(before, []) AS before FROM (SELECT a AS id FROM near UNION SELECT b FROM near) LEFT JOIN nb USING (id)),
         fold AS (SELECT list_reduce(list_prepend({{'id': -1::BIGINT, 'before': []::BIGINT[], 'kept': []::BIGINT[]}}, list({{'id': id, 'before': before, 'kept': []::BIGINT[]}} ORDER BY id)),
             lambda s, x: {{'id': x.id, 'before': x.before, 'kept': CASE WHEN list_has_any(s.kept, x.before) THEN s.kept ELSE list_append(s.kept, x.id) END}}).kept AS ids FROM node)"""
+
+
+def relevance(source: str, groups: dict) -> str:
+    """Lexicon hits, score and decision; ``source``: id, text."""
+    forms, phrases, others = [], [], []
+    for g, ts in groups.items():
+        for t in sorted(set(ts)):
+            if t.isalpha():
+                forms += [(t, t, g), (t + "s", t, g)]
+            else:
+                (phrases if " " in t else others).append((t, g))
+    values = lambda rows: ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
+    pattern = lambda t: r"\b" + t.replace(".", r"\.") + r"(?:s\b|\b)"
+    positive = [g for g in groups if g not in ("institutional", "africa", "elsewhere")]
+    n = lambda g: f"n_{g}"
+    languages_ = list(X.LANGUAGE_STOPWORDS)
+    votes = ", ".join(f"len(list_filter(v, lambda x: x IN {listed(stops)})) AS v_{lang}" for lang, stops in X.LANGUAGE_STOPWORDS.items())
+    cast, most = " + ".join(f"v_{k}" for k in languages_), f"greatest({', '.join(f'v_{k}' for k in languages_)})"
+    best = "CASE " + " ".join(f"WHEN v_{k} = {most} THEN {q(k)}" for k in languages_) + " END"
+    crop_names = some([(" OR ".join(f"contains(low, {q(t)})" for t in ts), c) for c, ts in sorted(X.CROP_TERMS.items())])
+    areas = "list_filter([" + ", ".join([f"CASE WHEN {' + '.join(map(n, ('symptom', 'agronomy', 'organism', 'control')))} >= least THEN 'crop' END", *(f"CASE WHEN n_{a} >= least THEN '{a}' END" for a in ("livestock", "weather", "market"))]) + "], lambda x: x IS NOT NULL)"
+    return rf"""WITH p AS (SELECT id, text, lower(text) AS low FROM ({source})), tk AS (SELECT id, unnest(regexp_extract_all(low, '[\pL\pN_]+')) AS t FROM p), tc AS (SELECT id, t, count(*) AS n FROM tk GROUP BY ALL),
+        hits AS (SELECT id, grp, term, sum(n)::BIGINT AS n FROM tc JOIN (VALUES {values(forms)}) f(form, term, grp) ON t = form GROUP BY ALL
+            UNION ALL SELECT id, grp, term, (length(low) - length(replace(low, term, ''))) // length(term) FROM p CROSS JOIN (VALUES {values(phrases)}) f(term, grp)
+            UNION ALL SELECT id, grp, term, len(regexp_extract_all(low, rule)) FROM p CROSS JOIN (VALUES {', '.join('(' + ', '.join(map(q, (t, pattern(t), g))) + ')' for t, g in others)}) f(term, rule, grp)),
+        sums AS (SELECT id, {', '.join(f"coalesce(sum(n) FILTER (grp = {q(g)}), 0)::BIGINT AS n_{g}" for g in groups)} FROM hits GROUP BY id),
+        top AS (SELECT id, string_agg(term || ':' || n, ', ' ORDER BY n DESC, term) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS k FROM hits WHERE n > 0 AND grp IN {listed(positive)}) WHERE k <= 12 GROUP BY id),
+        b AS (SELECT p.id, low, greatest(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')), 1) AS n_words, regexp_extract_all(low, '[a-zàâçéèêëîïôûùüÿñæœáíóúü]+')[1:20000] AS v, {', '.join(f'coalesce(n_{g}, 0) AS n_{g}' for g in groups)} FROM p LEFT JOIN sums USING (id)),
+        c AS (SELECT *, {votes}, {' + '.join(map(n, positive))} AS positive FROM b),
+        d AS (SELECT *, (positive - 2.0::DOUBLE * n_institutional) * 1000.0::DOUBLE / n_words AS score, CASE WHEN {cast} < 20 THEN 'unknown' ELSE {best} END AS language, CASE WHEN {cast} < 20 THEN 0.0::DOUBLE ELSE v_en::DOUBLE / ({cast}) END AS english,
+            greatest(6, least(25, n_words // 40)) AS need, greatest(3, least(10, n_words // 80)) AS least, {' + '.join(f'(n_{g} > 0)::INT' for g in positive)} AS present FROM c),
+        e AS (SELECT *, CASE WHEN language NOT IN ('en', 'unknown') AND english < 0.55 THEN 'not English' WHEN positive < need THEN 'too little guidance vocabulary' WHEN present < 2 AND positive::DOUBLE / n_words > 0.30 THEN 'term listing, not guidance'
+            WHEN score < 6.0 THEN 'institutional prose dominates' WHEN n_africa >= 40 THEN 'practical guidance' WHEN n_africa = 0 AND n_elsewhere > 0 THEN 'no African context' WHEN n_elsewhere > greatest(n_africa, 1) THEN 'regionally out of scope' ELSE 'practical guidance' END AS reason FROM d)
+        SELECT e.id, n_words, positive, round(score, 6) AS score, language, array_to_string({areas}, ', ') AS areas, array_to_string({crop_names}, ', ') AS crops, reason = 'practical guidance' AS accepted, reason, coalesce(top_terms, '') AS top_terms FROM e LEFT JOIN top USING (id)"""
