@@ -182,7 +182,7 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(table(spark, d, "documents"), block="source").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query(f"WITH {R.near_keep(_near)} SELECT d.doc_id AS id, sets.id IS NULL OR (first.id = d.doc_id AND (NOT list_contains((SELECT list(id) FROM node), d.doc_id) OR list_contains((SELECT ids FROM fold), d.doc_id))) AS kept FROM documents d LEFT JOIN sets ON sets.id = d.doc_id LEFT JOIN first ON first.source = d.source AND first.k = sets.k")
+@query(f"WITH {R.near_keep(_near)} SELECT d.doc_id AS id, sets.id IS NULL OR (first.id = d.doc_id AND (d.doc_id NOT IN (SELECT id FROM node) OR coalesce(list_contains((SELECT ids FROM fold), d.doc_id), false))) AS kept FROM documents d LEFT JOIN sets ON sets.id = d.doc_id LEFT JOIN first ON first.source = d.source AND first.k = sets.k")
 def near_dup_keep(spark, d):
     return dedup.near_keep(table(spark, d, "documents"), block="source")
 
