@@ -27,7 +27,7 @@ def split_summary(spark, d):
 
 
 def _covered(spark, d):
-    """item_id, covered: some of the six best documents holds the item's whole text; the SQL looks for its first 60 characters only."""
+    """item_id, covered: some of the six best documents holds the item's whole text."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, d, "documents")
     top = stored(lexical.search(index_of(spark, d), items, k=6))
@@ -36,7 +36,7 @@ def _covered(spark, d):
     return items.select("query_id").join(held.groupBy("query_id").agg(hit.alias("hit")), "query_id", "left").select("query_id", (F.coalesce("hit", F.lit(0)) > 0).alias("covered"))
 
 
-_hits = f"{S.bm25('documents', 'doc_id', 'benchmark', 'item_id', 6)}, cov AS (SELECT item_id, coalesce(bool_or(contains(lower(d.text), lower(left(b.text, 60)))), false) AS covered FROM benchmark b LEFT JOIN bm25 ON bm25.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = bm25.id GROUP BY item_id)"
+_hits = f"{S.bm25('documents', 'doc_id', 'benchmark', 'item_id', 6)}, cov AS (SELECT item_id, coalesce(bool_or(contains(lower(d.text), lower(b.text))), false) AS covered FROM benchmark b LEFT JOIN bm25 ON bm25.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = bm25.id GROUP BY item_id)"
 
 
 @query(f"WITH {_hits} SELECT count(*) AS total, count(*) FILTER (covered) AS hits, round(count(*) FILTER (covered)::DOUBLE / count(*), 9) AS value, count(*) FILTER (covered)::DOUBLE / count(*) >= 0.8 AS pass FROM cov")

@@ -200,21 +200,9 @@ def lang_vote(spark, d):
 GENERIC = {"function": ("the", "and", "that", "with", "from", "of the"), "article": ("der", "die", "das", "les", "los"), "institutional": ("project team",), "africa": ("africa",), "elsewhere": ("canada",)}
 
 
-def _hits(terms) -> str:
-    one = lambda t: rf"len(regexp_extract_all(lower(text), {fx.sql_string(chr(92) + 'b' + t + '(?:s' + chr(92) + 'b|' + chr(92) + 'b)')}))" if " " not in t else f"((length(lower(text)) - length(replace(lower(text), {fx.sql_string(t)}, ''))) // {len(t)})"
-    return " + ".join(one(t) for t in terms)
-
-
-@query("WITH e AS (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE lang = 'en') SELECT doc_id, " + ", ".join(f"{_hits(ts)} AS n_{g}" for g, ts in GENERIC.items() if g != "article") + " FROM e")
+@query(R.lexicon(GENERIC))
 def lexicon_group_counts(spark, d):
-    english = table(spark, d, "documents").filter("lang = 'en'")  # where both engines agree on word ends
-    t = F.coalesce("text", F.lit(""))
-    return english.select("doc_id", *(relevance.total(relevance.term_hits(t, ts)).cast("long").alias(f"n_{g}") for g, ts in GENERIC.items() if g != "article"))
-
-
-@query()
-def lexicon_group_counts_all(spark, d):
-    """All groups over all documents; lexicon_group_counts is the part of it that its SQL can follow."""
+    """All groups over all documents."""
     t = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", *(relevance.total(relevance.term_hits(t, ts)).cast("long").alias(f"n_{g}") for g, ts in GENERIC.items()))
 

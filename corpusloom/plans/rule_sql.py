@@ -337,17 +337,34 @@ def near_keep(pairs: str) -> str:
             lambda s, x: {{'id': x.id, 'before': x.before, 'kept': CASE WHEN list_has_any(s.kept, x.before) THEN s.kept ELSE list_append(s.kept, x.id) END}}).kept AS ids FROM node)"""
 
 
-def relevance(source: str, groups: dict) -> str:
-    """Lexicon hits, score and decision; ``source``: id, text."""
+def hits(groups: dict) -> str:
+    """CTEs ending in hits(id, grp, term, n); before them p(id, low, ...)."""
     forms, phrases, others = [], [], []
     for g, ts in groups.items():
         for t in sorted(set(ts)):
             if t.isalpha():
                 forms += [(t, t, g), (t + "s", t, g)]
+            elif " " in t:
+                phrases.append((t, g))
             else:
-                (phrases if " " in t else others).append((t, g))
+                others.append((t, r"\b" + t.replace(".", r"\.") + r"(?:s\b|\b)", g))
     values = lambda rows: ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
-    pattern = lambda t: r"\b" + t.replace(".", r"\.") + r"(?:s\b|\b)"
+    parts = [
+        (forms, f"SELECT id, grp, term, sum(n)::BIGINT AS n FROM tc JOIN (VALUES {values(forms)}) f(form, term, grp) ON t = form GROUP BY ALL"),
+        (phrases, f"SELECT id, grp, term, (length(low) - length(replace(low, term, ''))) // length(term) AS n FROM p CROSS JOIN (VALUES {values(phrases)}) f(term, grp)"),
+        (others, f"SELECT id, grp, term, len(regexp_extract_all(low, rule)) AS n FROM p CROSS JOIN (VALUES {values(others)}) f(term, rule, grp)"),
+    ]
+    every = " UNION ALL ".join(sql for rows, sql in parts if rows)
+    return rf"tk AS (SELECT id, unnest(regexp_extract_all(low, '[\pL\pN_]+')) AS t FROM p), tc AS (SELECT id, t, count(*) AS n FROM tk GROUP BY ALL), hits AS ({every})"
+
+
+def lexicon(groups: dict) -> str:
+    """Hits of each group in every document."""
+    return f"WITH p AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS low FROM documents), {hits(groups)} SELECT p.id AS doc_id, {', '.join(f'coalesce(sum(n) FILTER (grp = {q(g)}), 0)::BIGINT AS n_{g}' for g in groups)} FROM p LEFT JOIN hits USING (id) GROUP BY p.id"
+
+
+def relevance(source: str, groups: dict) -> str:
+    """Lexicon hits, score and decision; ``source``: id, text."""
     positive = [g for g in groups if g not in ("institutional", "africa", "elsewhere")]
     n = lambda g: f"n_{g}"
     languages_ = list(X.LANGUAGE_STOPWORDS)
@@ -356,10 +373,7 @@ def relevance(source: str, groups: dict) -> str:
     best = "CASE " + " ".join(f"WHEN v_{k} = {most} THEN {q(k)}" for k in languages_) + " END"
     crop_names = some([(" OR ".join(f"contains(low, {q(t)})" for t in ts), c) for c, ts in sorted(X.CROP_TERMS.items())])
     areas = "list_filter([" + ", ".join([f"CASE WHEN {' + '.join(map(n, ('symptom', 'agronomy', 'organism', 'control')))} >= least THEN 'crop' END", *(f"CASE WHEN n_{a} >= least THEN '{a}' END" for a in ("livestock", "weather", "market"))]) + "], lambda x: x IS NOT NULL)"
-    return rf"""WITH p AS (SELECT id, text, lower(text) AS low FROM ({source})), tk AS (SELECT id, unnest(regexp_extract_all(low, '[\pL\pN_]+')) AS t FROM p), tc AS (SELECT id, t, count(*) AS n FROM tk GROUP BY ALL),
-        hits AS (SELECT id, grp, term, sum(n)::BIGINT AS n FROM tc JOIN (VALUES {values(forms)}) f(form, term, grp) ON t = form GROUP BY ALL
-            UNION ALL SELECT id, grp, term, (length(low) - length(replace(low, term, ''))) // length(term) FROM p CROSS JOIN (VALUES {values(phrases)}) f(term, grp)
-            UNION ALL SELECT id, grp, term, len(regexp_extract_all(low, rule)) FROM p CROSS JOIN (VALUES {', '.join('(' + ', '.join(map(q, (t, pattern(t), g))) + ')' for t, g in others)}) f(term, rule, grp)),
+    return rf"""WITH p AS (SELECT id, text, lower(text) AS low FROM ({source})), {hits(groups)},
         sums AS (SELECT id, {', '.join(f"coalesce(sum(n) FILTER (grp = {q(g)}), 0)::BIGINT AS n_{g}" for g in groups)} FROM hits GROUP BY id),
         top AS (SELECT id, string_agg(term || ':' || n, ', ' ORDER BY n DESC, term) AS top_terms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS k FROM hits WHERE n > 0 AND grp IN {listed(positive)}) WHERE k <= 12 GROUP BY id),
         b AS (SELECT p.id, low, greatest(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')), 1) AS n_words, regexp_extract_all(low, '[a-zàâçéèêëîïôûùüÿñæœáíóúü]+')[1:20000] AS v, {', '.join(f'coalesce(n_{g}, 0) AS n_{g}' for g in groups)} FROM p LEFT JOIN sums USING (id)),

@@ -172,6 +172,40 @@ def test_chunks_hold_their_limits(spark):
     assert [(x["text"], x["page_start"], x["page_end"]) for x in rows] == got and [x["chunk_index"] for x in rows] == list(range(len(got)))
 
 
+def test_windows_cover_every_line_once_or_by_their_overlap():
+    r = random.Random(11)
+    kinds = ["Pests:", "PLANTING MATERIAL", "Harvest and storage", "Name: x", "short line here.", "A sentence of some length that goes on. " * 4, "w" * 500, "many words " * 60]
+    for _ in range(400):
+        pages = ["\n\n".join(r.choice(kinds) for _ in range(r.randint(0, 14))) for _ in range(r.randint(1, 3))]
+        text, lines = chunk.layout(pages, 1575)
+        got = chunk.windows(text, lines, len(pages), 1575, 210, 140, lossy=False)
+        assert text == "\n".join(text[x.start : x.end] for x in lines)
+        covered = set()
+        for w, then in zip(got, [*got[1:], None]):
+            assert w.end - w.start >= 140 and w.first_page <= w.last_page and not text[w.start].isspace()
+            assert w.end == len(text) or any(x.end == w.end for x in lines)
+            assert then is None or w.end - 210 <= then.start <= w.end + 1  # an overlap at most, and no gap
+            covered.update(range(w.start, w.end))
+        left = [x for x in lines if not set(range(x.start, x.end)) <= covered]
+        assert sum(x.end - x.start + 1 for x in left) <= 140 and all(x.end > (got[-1].end if got else 0) for x in left)  # only a short end
+
+
+def test_pieces_hold_their_size_and_all_words():
+    r = random.Random(12)
+    for _ in range(300):
+        text = " ".join(r.choice(["One two. ", "three! ", "four " * r.randint(1, 9), "z" * r.randint(1, 90)]) for _ in range(r.randint(1, 30))).strip()
+        got = chunk.pieces(text, 60)
+        assert all(0 < len(p) <= 60 and p == p.strip() for p in got) and "".join("".join(got).split()) == "".join(text.split())
+
+
+def test_marks_inside_of_elements():
+    page = "<div class=sidebar><p>no<div>no</div></p></div><p>yes<img class=sidebar>still<br>here</p><h2>Head <b>line</b></h2><nav>no<p>no</nav>after<title>T&amp;t</title><script>if (a<b) x('</p>')</script>end"
+    text, title, headings, has_main = html.read(page)
+    assert text.split() == ["yesstill", "here", "Head", "line", "afterend"] and title == "T&t" and headings == ["Head", "line"] and not has_main
+    text, _, _, has_main = html.read("before<main>in<aside>out</aside><div>deep</div></main>after<main>again")
+    assert "".join(text.split()) == "beforeindeepagain" and has_main
+
+
 def test_short_text_before_a_long_piece_is_not_lost():
     page = "short start.\n\n" + "y" * 100 + ". " + "z" * 1500
     assert not any("short start" in t for t, *_ in chunk.pack([page], "", lossy=True))

@@ -41,7 +41,7 @@ def test_lexicon_counts_are_of_all_documents_and_groups(spark, tmp_path):
     odd = [(-1, "Der Änder der España Das das: les LES lesen los derart von_der und Loss", None), (-2, None, "de"), (-3, "THE end of the World; Africas Canada", "fr"), (-4, "", "en")]
     given = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     given.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string")).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in registry.QUERIES["lexicon_group_counts_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in registry.QUERIES["lexicon_group_counts"](spark, str(tmp_path)).collect()}
     docs = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
     assert got.keys() == docs.keys()
     for i, t in docs.items():
