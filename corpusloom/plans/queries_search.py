@@ -53,6 +53,19 @@ def bm25_search(spark, d):
     return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {S.bm25('documents', 'doc_id', 'benchmark', 'item_id')} SELECT query_id, id AS doc_id, rank, round(score, 6) AS score FROM bm25")
+def stream_search(spark, d):
+    """The same search of a stream of items, a file at a time, against the stored index."""
+    from ..streaming.events import answered_to_end
+
+    rows = stored(_asked(spark, d).repartition(3))
+    source = rows.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    index = index_of(spark, d)
+    found = answered_to_end(stream, lambda batch: lexical.search(index, batch), f"{source}-found")
+    return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 5) AS norm, round(embedding[1]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 1e-12), 6) AS first FROM embeddings")
 def l2_normalise(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "embedding", text.l2_normalised(F.col("embedding")).alias("unit"))

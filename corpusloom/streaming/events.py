@@ -48,3 +48,18 @@ def run_to_end(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     query = df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
+
+
+def answered_to_end(queries: DataFrame, answer, path: str, trigger: dict | None = None) -> DataFrame:
+    """A stream of queries through a batch operator such as a search of an index, each micro-batch as a whole.
+
+    ``answer``: a function of a batch. A batch's rows lie in a folder of its number and are written over
+    if it is run again, so each query is answered once whatever is lost on the way.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        answer(batch).write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    query = queries.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").trigger(**(trigger or {"availableNow": True})).start()
+    query.awaitTermination()
+    return queries.sparkSession.read.parquet(f"{path}/out").drop("batch")
