@@ -90,7 +90,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op9_lm_score, op10_fingerprint)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damage, repair
+
+    return repair(damage(_table(spark, sf_dir, "conversations")), gone="gone")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op9_lm_score, op10_fingerprint, op11_conversation_repair)}
 ORACLES = {
     "op1_secret_scan": oracles.secret_scan(),
     "op3_jaccard_join": oracles.jaccard_join(),
