@@ -96,7 +96,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(_table(spark, sf_dir, "conversations")), gone="gone")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op9_lm_score, op10_fingerprint, op11_conversation_repair)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import encoded_turns, rebuilt, trie
+
+    return trie(*rebuilt(encoded_turns(_table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op9_lm_score, op10_fingerprint, op11_conversation_repair, op12_prefix_trie)}
 ORACLES = {
     "op1_secret_scan": oracles.secret_scan(),
     "op3_jaccard_join": oracles.jaccard_join(),
