@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secret_scan import BASE, CLASSES
+from .secret_scan import ALL_CLASSES, BASE, FILLERS, WHOLE
 
 
 def _q(s: str) -> str:
@@ -17,26 +17,30 @@ def _placed(name: str, pattern: str, group: int = 0) -> str:
 
 
 #: Candidates of the entropy classes without look-around: maximal runs, then a test of the whole run.
-_RUNS = {"entropy_hex": ("[A-Za-z0-9]{20,}", "^[0-9A-Fa-f]+$"), "entropy_upper": ("[A-Za-z0-9]{16,}", "^[A-Z0-9]+$"), "entropy_base64": ("[A-Za-z0-9+/_-]{20,}", "^[A-Za-z0-9+/_-]+$")}
-_NOT_ALLOWED = r"""NOT regexp_matches(m, '^[0-9]+$') AND NOT regexp_matches(m, '^[a-z_/+-]+$') AND NOT regexp_matches(m, '^[A-Z_/+-]+$')
-    AND NOT regexp_matches(m, '(?i)example|placeholder|changeme|dummy|sample|redacted|your[_-]') AND NOT regexp_matches(m, '(?i)0123456789|abcdefgh|deadbeef')
-    AND NOT list_bool_or(list_transform(range(1, length(m) - 6), lambda i: lower(substr(m, i, 8)) = repeat(lower(substr(m, i, 1)), 8)))"""
+_RUNS = {"entropy_hex": "^[0-9A-Fa-f]+$", "entropy_upper": "^[A-Z0-9]+$", "entropy_base64": "^[A-Za-z0-9+/_-]+$", "entropy_lower": "^[a-z0-9]+$", "entropy_letters": "^[A-Za-z]+$"}
+#: Without references back: a character eight times in a row.
+_EIGHT = "|".join(f"{c if c.isalnum() else chr(92) + c}{{8}}" for c in "abcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
 def secret_scan() -> str:
+    """All kinds and classes, fillers by runs."""
     parts, spans = [], []
     for rank, (kind, (pattern, group, least)) in enumerate(BASE.items()):
         parts.append(_placed(kind, pattern, group))
         spans.append(f"SELECT r, pos AS a, {rank} AS k, pos + length(m) AS b, '{kind}' AS kind FROM {kind} WHERE length({'v' if group else 'm'}) >= {least}")
-    for rank, c in enumerate(CLASSES, len(BASE)):
-        run, whole = _RUNS[c.kind]
+    fillers = "|".join(f.replace("(?i)", "") for f in FILLERS).replace(r"(.)\1{7}", _EIGHT)
+    touched = _q(f"(?i)[a-z0-9]*?(?:{fillers})[a-z0-9]*")
+    for rank, c in enumerate(ALL_CLASSES, len(BASE)):
+        run = f"[A-Za-z0-9{'+/_-' if c.kind == 'entropy_base64' else ''}]{{{c.width},}}"
         needs = " AND ".join(f"regexp_matches(m, {_q(n)})" for n in c.needs)
+        allowed = " AND ".join(f"NOT regexp_matches(m, {_q(a)})" for a in WHOLE)
         text = "lower(m)" if c.fold else "m"
         entropy = f"log2({c.width}) - list_sum(list_transform(list_distinct(regexp_extract_all(w, '.')), lambda x: (length(w) - length(replace(w, x, ''))) * log2(length(w) - length(replace(w, x, ''))))) / {c.width}"
         parts.append(_placed(c.kind, run))
-        parts.append(f"{c.kind}_c AS (SELECT r, m, pos FROM {c.kind} WHERE regexp_matches(m, {_q(whole)}) AND {needs} AND {_NOT_ALLOWED})")
+        parts.append(f"{c.kind}_f AS (SELECT r, m, pos, regexp_extract_all(m, {touched}) AS fs, string_split_regex(m, {touched}) AS gs FROM {c.kind} WHERE regexp_matches(m, {_q(_RUNS[c.kind])}) AND {needs} AND {allowed})")
+        parts.append(f"{c.kind}_c AS (SELECT r, pos, CASE WHEN len(fs) = 0 THEN m ELSE array_to_string(list_transform(range(1, len(gs) + 1), lambda i: gs[i] || repeat(chr(10), coalesce(length(fs[i]), 0))), '') END AS m FROM {c.kind}_f)")
         parts.append(f"{c.kind}_w AS (SELECT r, pos, i, substr({text}, i + 1, {c.width}) AS w FROM (SELECT r, m, pos, unnest(range(0, length(m) - {c.width} + 1)) AS i FROM {c.kind}_c))")
-        spans.append(f"SELECT r, pos + min(i), {rank}, pos + max(i) + {c.width}, '{c.kind}' FROM {c.kind}_w WHERE {entropy} >= {c.bits} GROUP BY r, pos")
+        spans.append(f"SELECT r, pos + min(i), {rank}, pos + max(i) + {c.width}, '{c.kind}' FROM {c.kind}_w WHERE NOT contains(w, chr(10)) AND {entropy} >= {c.bits} GROUP BY r, pos")
     each = "kind || ':' || a || ':' || b"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), {', '.join(parts)}, s AS ({' UNION ALL '.join(spans)}),
         g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
@@ -44,6 +48,63 @@ def secret_scan() -> str:
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
 
 
+#: CRC-32 of an ASCII string, by bits.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split({s}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda x, e: xor(xor(x, e) >> 1, 3988292384 * (xor(x, e) & 1))))"
+
+
+def crc32(s: str) -> str:
+    return _CRC.replace("{s}", f"({s})")
+
+
+def prefix_trie() -> str:
+    """Nodes as lists of hashed turns; every node is counted into all nodes above it."""
+    return rf"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i,
+            sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list(k ORDER BY i) AS ks, list(w ORDER BY i) AS ws FROM t GROUP BY conv_id),
+        c AS (SELECT conv_id, {crc32('conv_id::VARCHAR')} % 4 AS h, ks, ws FROM own),
+        s AS (SELECT c.conv_id, list_concat(coalesce(b.ks[1:h], []), c.ks[h+1:]) AS ks, list_concat(coalesce(b.ws[1:h], []), c.ws[h+1:]) AS ws FROM c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+        p AS (SELECT conv_id, d, ks[1:d] AS pre, len(ks) AS n, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM s)),
+        nd AS (SELECT pre, d, min(conv_id) AS id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM p GROUP BY pre, d),
+        k AS (SELECT pre[1:d-1] AS up, count(*) AS kids FROM nd WHERE d > 0 GROUP BY 1),
+        f AS (SELECT nd.*, coalesce(kids, 0) AS kids FROM nd LEFT JOIN k ON k.up = nd.pre),
+        a AS (SELECT pre[1:e] AS pre, sum((kids = 0)::BIGINT) AS leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1)
+        SELECT f.id AS conv_id, f.d::BIGINT AS depth, u.id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.kids::BIGINT AS n_children, a.leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+        FROM f JOIN a USING (pre) LEFT JOIN nd u ON f.d > 0 AND u.pre = f.pre[1:f.d-1]"""
+
+
+def conversation_repair() -> str:
+    """The program over whole audits and texts, a turn a step: per state (cost, audit, text)."""
+    put = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    into: dict[int, list[str]] = {t: [] for t in range(4)}
+    for s0 in range(4):
+        s, more, audit, text = s0, 0, "", ""
+        for _ in range(3):
+            have = lambda cost, letter, line, more=more, audit=audit, text=text, s0=s0: f"struct_pack(c := s{s0}.c + {more} + {cost}, a := s{s0}.a || '{audit}{letter}', b := s{s0}.b || {text or chr(39) * 2}{line})"
+            ok = f"s{s0} IS NOT NULL"
+            into[s].append(f"CASE WHEN {ok} THEN {have('3', 'D', '')} END")
+            to, role = put[s]
+            into[to].append(f"CASE WHEN {ok} AND NOT must THEN {have('2 + cut', 'R', f' || chr(10) || {_q(role)} || chr(58) || text')} END")
+            for initial, after in {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[s].items():
+                into[after].append(f"CASE WHEN {ok} AND NOT must AND ini = '{initial}' THEN {have('cut', 'K', ' || chr(10) || role || chr(58) || text')} END")
+            text = f"{text + ' || ' if text else ''}chr(10) || {_q(role + ':')}"
+            s, more, audit = to, more + 2, audit + "I"
+    step = ", ".join(f"list_sort(list_filter([{', '.join(into[t])}], lambda x: x IS NOT NULL))[1]" for t in range(4))
+    tail = {0: "", 1: "chr(10) || 'user:' || chr(10) || 'assistant:'", 2: "chr(10) || 'assistant:'", 3: ""}
+    ends = ", ".join(f"CASE WHEN s{t} IS NOT NULL THEN struct_pack(c := s{t}.c + {2 * k}, a := s{t}.a || '{'I' * k}', b := s{t}.b || {tail[t] or chr(39) * 2}) END" for t, k in ((0, 0), (1, 2), (2, 1), (3, 0)))
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, b VARCHAR)"
+    return rf"""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+        g AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM o WHERE k <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, left(role, 1) AS ini, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM g),
+        m AS (SELECT *, last = '' AS blank, last <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup FROM n),
+        f AS (SELECT *, blank OR dup AS must, (NOT blank AND NOT dup AND last NOT IN ('.', '!', '?'))::BIGINT AS cut, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM m),
+        st AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, a := '', b := '') AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM o
+            UNION ALL SELECT st.conv_id, f.i, {step} FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1),
+        z AS (SELECT conv_id, list_sort(list_filter([{ends}], lambda x: x IS NOT NULL))[1] AS e FROM st QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+        q AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(blank) AS blank, count_if(dup) AS duplicate, sum(cut) AS truncated, count_if(before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, e.c AS cost, e.a AS audit, sha256(e.b[2:]) AS repaired_sha256
+        FROM z LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN_]+'), lambda x: x <> '')"
 
 

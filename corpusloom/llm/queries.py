@@ -102,10 +102,18 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(*rebuilt(encoded_turns(_table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op9_lm_score, op10_fingerprint, op11_conversation_repair, op12_prefix_trie)}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, spelled
+
+    return find(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spelled().alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_source_mix, op3_jaccard_join, op4_url_filter, op5_decontamination, op6_toxicity, op7_language_id, op8_token_counts, op9_lm_score, op10_fingerprint, op11_conversation_repair, op12_prefix_trie, op13_pii)}
 ORACLES = {
     "op1_secret_scan": oracles.secret_scan(),
     "op3_jaccard_join": oracles.jaccard_join(),
     "op4_url_filter": oracles.url_filter(URL_RULES),
     "op5_decontamination": oracles.decontamination(),
+    "op11_conversation_repair": oracles.conversation_repair(),
+    "op12_prefix_trie": oracles.prefix_trie(),
 }

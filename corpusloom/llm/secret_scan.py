@@ -8,21 +8,21 @@ adds one character, drops one, and moves the sum of c * log2(c) by those two
 counts alone. Candidates on the allow-list (fillers, plain numbers, ...) are let
 go; the base kinds are not.
 
-``CLASSES`` and ``ALLOWED`` are all that the SQL twin of op1_secret_scan states. The query
-and the pipeline use ``scan_all``: it has ``ALL_CLASSES``, and fillers let go only the run of letters
-and digits that they are in, so that one in a long path or blob hides no other part of it.
+The query and the pipeline use ``scan_all``: it has ``ALL_CLASSES``, and fillers let go only the run of letters
+and digits that they are in, so that one in a long path or blob hides no other part of it. The SQL twin states the same.
 
 A span is kind, start, end in code points, end exclusive. Positions come from
 the lengths of what lies between matches, so a text is never cut.
 
 Edge cases: null text is empty; an empty text has no spans; texts of any length
-are scanned whole; equal spans of two kinds are both kept; repeated rows are
+are scanned whole, in time proportional to length; equal spans of two kinds are both kept; repeated rows are
 scanned one by one; other columns pass through ``scan`` untouched, but for one
 named like its result, which is replaced.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -119,34 +119,44 @@ def base_spans(text: Column, kind: str, rank: int) -> Column:
 
 
 def _unfilled(candidate: Column, fillers: tuple[str, ...]) -> Column:
-    """``candidate`` with a line feed for each character of the runs of letters and digits that a filler touches."""
-    rx = "[A-Za-z0-9]*(?:" + "|".join(f"(?:{f})" for f in fillers) + ")[A-Za-z0-9]*"
+    """``candidate`` with a line feed for each character of the runs of letters and digits that a filler touches.
+
+    A run is tried from its start alone and passed once, whatever its length.
+    """
+    some = "|".join(f"(?:{f})" for f in fillers)
+    rx = f"(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:{some})[A-Za-z0-9]*+"
     gap = lambda marks, i: F.repeat(F.lit("\n"), F.coalesce(F.length(F.get(marks, i)), F.lit(0)))
     blanked = _let(F.regexp_extract_all(candidate, F.lit(rx), F.lit(0)), lambda marks: F.array_join(F.transform(F.split(candidate, rx, -1), lambda b, i: F.concat(b, gap(marks, i))), ""))
-    return F.when(F.rlike(candidate, F.lit(rx)), blanked).otherwise(candidate)
+    return F.when(F.rlike(candidate, F.lit(some)), blanked).otherwise(candidate)
 
 
 def _hot(candidate: Column, c: CharClass, gaps: bool = False) -> Column:
-    """First start and last end (from 0) of the windows over the threshold, null without any; with ``gaps``, a window with a line feed is none."""
-    n_log_n = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+    """First start and last end (from 0) of the windows over the threshold, null without any; with ``gaps``, a window with a line feed is none.
+
+    Counts are a string with one character a symbol, so that a step replaces two characters of it.
+    """
+    n_log_n = lambda x: x * math.log2(x) if x else 0.0
+    growth = F.array(*(F.lit(n_log_n(x + 1) - n_log_n(x)) for x in range(c.width + 1)))
 
-    def slide(chars: Column) -> Column:
-        begin = F.struct(F.array_repeat(F.lit(0), len(c.symbols)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), *([F.lit(-1).alias("gap")] if gaps else []))
+    def slide(symbols: Column) -> Column:
+        begin = F.struct(F.repeat(F.lit("0"), F.lit(len(c.symbols))).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), *([F.lit(-1).alias("gap")] if gaps else []))
 
         def step(s: Column, i: Column) -> Column:
-            came = F.instr(F.lit(c.symbols), F.get(chars, i))
-            left = F.when(i >= c.width, F.instr(F.lit(c.symbols), F.get(chars, i - c.width))).otherwise(F.lit(0))
-            plus, minus = F.coalesce(F.get(s["counts"], came - 1), F.lit(0)), F.coalesce(F.get(s["counts"], left - 1), F.lit(1))
-            moved = F.when(came == left, s["sum"]).otherwise(s["sum"] + n_log_n(plus + 1) - n_log_n(plus) + n_log_n(minus - 1) - n_log_n(minus))
-            counts = F.when(came == left, s["counts"]).otherwise(F.transform(s["counts"], lambda x, k: x + (k == came - 1).cast("int") - (k == left - 1).cast("int")))
+            came, left = F.get(symbols, i), F.when(i >= c.width, F.get(symbols, i - c.width)).otherwise(F.lit(0))
+            count = lambda counts, k: F.ascii(F.substr(counts, k, F.lit(1))) - 48
+            more = lambda counts, k, by: F.when(k > 0, F.overlay(counts, F.chr(count(counts, k) + (48 + by)), k, F.lit(1))).otherwise(counts)
+            gain = F.when(came > 0, F.get(growth, count(s["counts"], came))).otherwise(F.lit(0.0))
+            loss = F.when(left > 0, F.get(growth, count(s["counts"], left) - 1)).otherwise(F.lit(0.0))
+            moved = F.when(came == left, s["sum"]).otherwise(s["sum"] + gain - loss)
+            counts = F.when(came == left, s["counts"]).otherwise(more(more(s["counts"], came, 1), left, -1))
             if gaps:
-                over_gap = F.when(F.get(chars, i) == "\n", i).otherwise(s["gap"])
+                over_gap = F.when(came == 0, i).otherwise(s["gap"])
             over = ((i - over_gap >= c.width) if gaps else (i >= c.width - 1)) & (F.log2(F.lit(float(c.width))) - moved / c.width >= c.bits)
             return F.struct(counts.alias("counts"), moved.alias("sum"), F.when(over, F.coalesce(s["start"], i - (c.width - 1))).otherwise(s["start"]).alias("start"), F.when(over, i + 1).otherwise(s["end"]).alias("end"), *([over_gap.alias("gap")] if gaps else []))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), begin, step, lambda s: F.when(s["start"].isNotNull(), F.struct(s["start"], s["end"])))
+        return F.aggregate(F.sequence(F.lit(0), F.size(symbols) - 1), begin, step, lambda s: F.when(s["start"].isNotNull(), F.struct(s["start"], s["end"])))
 
-    return _let(F.split(F.lower(candidate) if c.fold else candidate, ""), slide)
+    return _let(F.transform(F.split(F.lower(candidate) if c.fold else candidate, ""), lambda x: F.instr(F.lit(c.symbols), x)), slide)
 
 
 def entropy_spans(text: Column, c: CharClass, rank: int, allowed=ALLOWED, fillers=()) -> Column:
