@@ -194,15 +194,15 @@ def over(least: float):
     return run
 
 
-def unigram(counts: np.ndarray, total: int, d: np.ndarray, unknown: float) -> np.ndarray:
+def unigram(counts: np.ndarray, norm: float, d: np.ndarray, unknown: float) -> np.ndarray:
     """P(w) of words with these training counts."""
     c = counts.astype(np.int64)
     taken = np.r_[1.0, d, 1.0][np.minimum(c, RANKS + 1)]
-    return np.where(c > 0, taken * c / max(total, 1), unknown)
+    return np.where(c > 0, taken * c / max(norm, 1), unknown)
 
 
-def ask(parts: int, total: int, kinds: int, starts: int, d: np.ndarray, unknown: float, hot: np.ndarray):
-    """A block's tokens with their numbers: sums of each document, and its bigrams by history."""
+def ask(parts: int, total: int, norm: float, kinds: int, starts: int, d: np.ndarray, unknown: float, hot: np.ndarray):
+    """A block's tokens with their numbers: sums of each document, and its bigrams by history; ``norm`` divides the model's counts, ``total`` those of the base score."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         block = int(group["block"].iloc[0])
@@ -224,7 +224,7 @@ def ask(parts: int, total: int, kinds: int, starts: int, d: np.ndarray, unknown:
         h[first], ch[first] = 1, starts
         alone = ch == 0
         p1 = np.zeros(len(w))
-        p1[alone] = np.log10(unigram(count, total, d, unknown))[tokens[alone]]
+        p1[alone] = np.log10(unigram(count, norm, d, unknown))[tokens[alone]]
         rows = [(block, -1, DOCS, pack(known, doc, lengths, *sums, np.add.reduceat(p1, first)))]
         go = np.flatnonzero(~alone)
         del p1, alone, tokens
@@ -253,7 +253,7 @@ def ask(parts: int, total: int, kinds: int, starts: int, d: np.ndarray, unknown:
     return run
 
 
-def answer(total: int, d: np.ndarray, unknown: float, hot: np.ndarray):
+def answer(norm: float, d: np.ndarray, unknown: float, hot: np.ndarray):
     """A part of the histories: each document's sums over seen bigrams, what it asks of unseen ones, counts of counts."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -277,7 +277,7 @@ def answer(total: int, d: np.ndarray, unknown: float, hot: np.ndarray):
         one = order[new]
         u_h, u_ch, u_cw = hs[new], ch[one].astype(np.float64), cw[one]
         del h, ch, w, cw, order, hs, ws, new, trained
-        p1 = unigram(u_cw, total, d, unknown)
+        p1 = unigram(u_cw, norm, d, unknown)
         heads = np.flatnonzero(np.r_[True, u_h[1:] != u_h[:-1]])
         history = np.cumsum(np.r_[True, u_h[1:] != u_h[:-1]]) - 1
         below = np.add.reduceat(np.where(c > 0, p1, 0.0), heads)
@@ -353,7 +353,7 @@ def score(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, part_bytes: in
     often = np.r_[often, np.uint64(1)] if starts > total / (4 * parts) else often
     norm = total if left > EPS / (total + EPS) or not total else total + EPS
 
-    met = blocks.filter(F.col("kind") == TOKENS).unionByName(words.filter(F.col("kind") == WORDS)).groupBy("block").applyInPandas(ask(parts, norm, kinds, starts, d1, left, often), ROW)
+    met = blocks.filter(F.col("kind") == TOKENS).unionByName(words.filter(F.col("kind") == WORDS)).groupBy("block").applyInPandas(ask(parts, total, norm, kinds, starts, d1, left, often), ROW)
     met = met.select("block", F.when(F.col("kind") == PAIRS, F.col("part")).otherwise(-1 - F.pmod("block", F.lit(parts))).cast("int").alias("part"), "kind", "data")
 
     def route(group: pd.DataFrame) -> pd.DataFrame:

@@ -35,11 +35,17 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 DOCS_PER_LANGUAGE = 1000
 WINDOWS_PER_DOC = 3
+#: Letters, and some numbers that Python counts as parts of words.
 LETTER = re.compile(r"[^\W\d_]")
 #: Windows judged at once.
 BATCH = 512
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of ``text`` is a letter by its Unicode category."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def windows(data: bytes) -> np.ndarray:
     """All windows of ``data``, zero-padded: rows of WINDOW bytes."""
     n = max(1, -(-len(data) // WINDOW))
@@ -146,7 +152,7 @@ def train(labelled: DataFrame, per_language: int = DOCS_PER_LANGUAGE, windows_pe
         if taken[r["lang"]] < per_language:
             taken[r["lang"]] += 1
             for cut in r["cuts"]:
-                if LETTER.search(cut):
+                if has_letter(cut):
                     x.append(windows(cut.encode())[0])
                     y.append(classes.index(r["lang"]))
                     if len(cut) > 40:  # short texts are to be told as well
@@ -183,7 +189,7 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
 
             waiting = 0
             for i, text in enumerate(part.column("text").to_pylist()):
-                if tables is not None and text and LETTER.search(text):
+                if tables is not None and text and has_letter(text):
                     data = text.encode("utf-8", "surrogatepass")
                     held.append((i, windows(data), len(data)))
                     waiting += len(held[-1][1])

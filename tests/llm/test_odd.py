@@ -13,9 +13,10 @@ def rows(df):
 
 
 def test_secrets(odd, none):
-    got = rows(secret_scan.scan(odd))
-    assert len(got) == N and all(r["secrets"] == [] or r["secrets"] for r in got) and got[0]["score"] == 9.0
-    assert rows(secret_scan.scan(none)) == []
+    for scan in (secret_scan.scan, secret_scan.scan_all):
+        got = rows(scan(odd))
+        assert len(got) == N and all(isinstance(r["secrets"], list) for r in got) and got[0]["score"] == 9.0
+        assert rows(scan(none)) == []
 
 
 def test_mixing(odd, none):
