@@ -2,7 +2,8 @@
 
 Passages stream by in Arrow batches against the query matrix, whose size is
 checked; each task keeps the best k of every query, and only those are
-shuffled. Beyond the check, the queries are stored, numbered and taken in blocks
+shuffled: a batch is compared with the k-th best so far, and only what reaches it is
+sorted. Ids are of any type. Beyond the check, the queries are stored, numbered and taken in blocks
 of exactly that size, each a pass over the passages.
 """
 
@@ -15,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import RETRIEVAL
 from ..functions.text import l2_normalised, stem, tokens
@@ -54,32 +57,79 @@ def search(passages: DataFrame, queries: DataFrame, k: int = RETRIEVAL.candidate
     ``not_itself`` leaves out the passage whose id is the query's. Of queries with equal ids the least embedding counts.
     """
     ship(passages.sparkSession)
-    each = queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+    each = queries.groupBy("query_id").agg(F.min("embedding").alias("embedding"))
     return reduce(DataFrame.unionByName, (_best(passages, block, k, not_itself) for block in blocks(each, BLOCK)))
 
 
+def ordered(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of ``ids``, equal ones for equal ids."""
+    return ids if ids.dtype.kind in "iu" else np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
+
+
+class Best:
+    """The k best of each query so far: scores, and ids of any type, by score (to nine places), then id."""
+
+    def __init__(self, k: int, n: int, ids: np.ndarray):
+        self.score, self.rough = np.full((k, n), -np.inf), np.full((k, n), -np.inf)
+        self.id = np.full((k, n), ids[0], dtype=ids.dtype)  # any id, where no score is
+        self.k = k
+
+    def add(self, ids: np.ndarray, score: np.ndarray, columns: np.ndarray | None = None) -> None:
+        """Rows of passages (``ids`` ascending) by columns of queries; ``columns``: which ones, all without."""
+        columns = np.arange(score.shape[1]) if columns is None else columns
+        rough = np.round(score, 9)
+        near = (rough >= self.rough[-1, columns]) & np.isfinite(rough)
+        rows, some = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(rows):
+            return
+        rough, score, ids, columns = rough[np.ix_(rows, some)], score[np.ix_(rows, some)], ids[rows], columns[some]
+        order = np.argsort(-rough, axis=0, kind="stable")[: self.k]
+        id_ = np.concatenate([self.id[:, columns], ids[order]])
+        rough = np.concatenate([self.rough[:, columns], np.take_along_axis(rough, order, axis=0)])
+        score = np.concatenate([self.score[:, columns], np.take_along_axis(score, order, axis=0)])
+        order = np.lexsort((ordered(id_), -rough), axis=0)[: self.k]
+        for held, new in ((self.id, id_), (self.rough, rough), (self.score, score)):
+            held[:, columns] = np.take_along_axis(new, order, axis=0)
+
+
+def column_array(column: pa.Array) -> np.ndarray:
+    """Ids as NumPy has them: integers, else objects."""
+    out = column.to_numpy(zero_copy_only=False)
+    return out if out.dtype.kind in "iu" else out.astype(object)
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def _best(passages: DataFrame, queries: DataFrame, k: int, not_itself: bool) -> DataFrame:
-    asked = queries.orderBy("query_id").collect()
-    ids = np.array([r["query_id"] for r in asked], dtype=np.int64)
+    asked = queries.orderBy("query_id").collect()  # of one block
+    ids = [r["query_id"] for r in asked]
     matrix = np.array([r["embedding"] for r in asked], dtype=np.float64).T if asked else None
+    place = {q: i for i, q in enumerate(ids)} if not_itself else {}
+    kinds = [(n, df.schema[c].dataType) for n, df, c in (("query_id", queries, "query_id"), ("id", passages, "id"))]
+    schema = T.StructType([*(T.StructField(n, t) for n, t in kinds), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_id, held = np.zeros((0, len(ids)), dtype=np.int64), np.zeros((0, len(ids)))
+        held = None
         for part in batches if matrix is not None else ():
             if not part.num_rows:
                 continue
-            own = part.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = part.column("embedding")
-            score = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1) @ matrix
+            own = column_array(part.column("id"))
+            order = np.argsort(own, kind="stable")
+            score = (matrix_of(part.column("embedding")) @ matrix)[order]
+            own = own[order]
             if not_itself:
-                score[own[:, None] == ids[None, :]] = -np.inf
-            score, own = np.concatenate([held, score]), np.concatenate([held_id, np.repeat(own[:, None], len(ids), axis=1)])
-            order = np.lexsort((own, -np.round(score, 9)), axis=0)[: k + 1]
-            held, held_id = np.take_along_axis(score, order, axis=0), np.take_along_axis(own, order, axis=0)
-        if len(held):
-            fine = np.isfinite(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, held.shape)[fine]), pa.array(held_id[fine]), pa.array(held[fine])], names=["query_id", "id", "score"])
-
-    found = passages.filter("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(best, "query_id long, id long, score double")
+                for i, x in enumerate(own.tolist()):
+                    if x in place:
+                        score[i, place[x]] = -np.inf
+            held = held or Best(k, len(ids), own)
+            held.add(own, score)
+        if held is not None:
+            at, q = np.nonzero(np.isfinite(held.score))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], arrow.field(0).type), pa.array(held.id[at, q], arrow.field(1).type), pa.array(held.score[at, q])], schema=arrow)
+
+    found = passages.filter("embedding IS NOT NULL AND id IS NOT NULL").select("id", "embedding").mapInArrow(best, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -61,6 +61,19 @@ def manifest_documents(spark, d):
     return back.select("filename", "title", "size_bytes", F.size("crops").alias("n_crops"))
 
 
+@query("SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') || '.html' AS place, md5(html) AS digest, strlen(html)::BIGINT AS n_bytes FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]*/(en|de)/')")
+def zip_pages_wanted(spark, d):
+    """All pages packed into ZIP archives, a folder a page, as .html files by their URLs' paths and as text; of these the wanted folders' .html entries are opened."""
+    path = _place(spark)
+    place = F.regexp_replace("url", "^[a-z]+://[^/]*/", "")
+    kinds = F.explode(F.array(F.lit(".html"), F.lit(".txt")))
+    pages = table(spark, d, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit("/"), place).alias("stem"), F.encode("html", "UTF-8").alias("content"), kinds.alias("kind"))
+    files.archives.pack(pages.select(F.concat("stem", "kind").alias("path"), "content"), path)
+    found = files.zip_pages(spark, path, ["en/", "de/"])
+    inner = F.regexp_replace("path", "^[^/]*/", "")
+    return found.select(F.regexp_extract("path", "^page([0-9]+)/", 1).cast("long").alias("page_id"), inner.alias("place"), F.md5(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes"))
+
+
 @query("SELECT doc_id, doc_id % 3 = 0 AS complete FROM documents")
 def pdf_integrity(spark, d):
     """Texts dressed as PDF files: whole, without their end, without their beginning."""

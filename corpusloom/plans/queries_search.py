@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text
-from ..operators import answer, compress, dense, lexical, search
-from ..operators.tables import stored
+from ..operators import answer, cells, compress, dense, lexical, search
+from ..operators.tables import shared_dir, stored
+from ..sources import files
 from . import fixtures as fx
 from . import rule_sql as R
 from . import sql as S
@@ -87,6 +90,14 @@ def dense_search(spark, d):
     return _nearest(spark, d).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_near} SELECT query_id, id, rank, round(score, 6) AS score FROM near")
+def ivf_search(spark, d):
+    """The same answers from the inverted file: nearest cells first, then those whose bound reaches the k-th score."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = cells.search(cells.build(vectors), vectors.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), not_itself=True)
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(
     f"""WITH {_near}, lx AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) AS rank FROM near WHERE rank % 2 = 0),
     u AS (SELECT query_id, id, rank AS d, NULL AS l FROM near UNION ALL SELECT query_id, id + 1, NULL, rank FROM lx), e AS (SELECT query_id, id, min(d) AS d, min(l) AS l FROM u GROUP BY ALL),
@@ -151,6 +162,18 @@ def hybrid_search(spark, d):
     return search.hybrid(passages, asked, min_score=0.10, index=index_of(spark, d)).select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("hit", "place", "fused_rank")), F.round("score", 6).alias("score"))
 
 
+@query(R.hybrid(S.bm25("documents", "doc_id", "benchmark", "item_id"), 0.10).replace("WITH ", "WITH documents AS (SELECT 'doc-' || doc_id || '#0' AS doc_id, source, text FROM main.documents WHERE doc_id % 5 <> 0), ", 1))
+def built_hybrid(spark, d):
+    """An index with names as ids, saved and loaded, licences gated, and searched in hybrid mode: every benchmark item."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("#0")).alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 5 == 0, "CC BY-ND 4.0").otherwise("CC BY 4.0").alias("licence"))
+    place = f"{shared_dir(spark)}/built-{uuid.uuid4().hex}"
+    files.save_index(docs.join(dense.hashed_embedding(docs), "id"), place)
+    passages, index = files.load_index(spark, place)
+    asked = _asked(spark, d)
+    asked = asked.join(stored(dense.hashed_embedding(asked, "query_id")).withColumnRenamed("id", "query_id"), "query_id")
+    return search.hybrid(passages, asked, min_score=0.10, index=index).select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("hit", "place", "fused_rank")), F.round("score", 6).alias("score"))
+
+
 @query("SELECT label, round(sum(x * x), 6) AS norm, round(max(x) FILTER (i = 1), 6) AS first FROM (SELECT label, i, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-12) AS x FROM (SELECT label, i, sum(embedding[i]::DOUBLE * (vec_id % 2)) / greatest(sum(vec_id % 2), 1e-9) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)) GROUP BY label")
 def mean_pool(spark, d):
     """The vectors of a label as the states of its tokens, every other one masked."""

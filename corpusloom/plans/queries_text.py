@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
-from ..functions import language, quality, text
+from ..functions import language, quality, tables, text
 from ..operators import chunk, dedup, html, ingest, relevance
 from ..sources import files
 from . import fixtures as fx
@@ -86,6 +86,14 @@ def field_labels(spark, d):
     return lines.groupBy("id").agg(F.sum(text.is_field_label(F.col("x")).cast("long")).alias("n_labels"))
 
 
+@query(R.sentences(_passages))
+def sentences_table(spark, d):
+    """The same by the SQL table function."""
+    tables.register(spark)
+    passages(spark, d).createOrReplaceTempView("sentences_table_given")
+    return spark.sql("SELECT id, CAST(position AS INT) AS pos, sentence FROM sentences_of(TABLE(SELECT id, text FROM sentences_table_given) PARTITION BY id)")
+
+
 @query(R.sentences(_passages))
 def sentences(spark, d):
     return passages(spark, d).select("id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
@@ -319,3 +327,11 @@ def specific_title(spark, d):
 def chunk_documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.array(F.coalesce("text", F.lit(""))).alias("pages"), F.lit("given").alias("publisher"), F.lit("unknown").alias("year"), F.lit("unspecified").alias("licence"), F.lit("").alias("source_url"))
     return chunk.chunks(docs)
+
+
+@query()
+def chunk_pages_table(spark, d):
+    """The same by the SQL table function, from a row a document."""
+    tables.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("chunk_pages_given")
+    return spark.sql("""SELECT * FROM chunk_pages(TABLE(SELECT doc_id, source AS title, array(coalesce(text, '')) AS pages, 'given' AS publisher, 'unknown' AS year, 'unspecified' AS licence, '' AS source_url FROM chunk_pages_given))""")

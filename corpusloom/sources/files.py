@@ -13,6 +13,7 @@ from ..functions.quality import licence_reason
 from ..functions.text import clean
 from ..operators import lexical
 from ..session import ship
+from . import archives
 
 PAGE = "doc_id string, title string, text string, source_url string, publisher string, year string, licence string, areas array<string>, crops array<string>, relevance_score double, n_chars int"
 DOCUMENT = "doc_id string, title string, publisher string, year string, doc_type string, access_rights string, licence string, source_url string, landing_page string, filename string, sha256 string, size_bytes long, crops array<string>, relevance_score double, n_pages int, guidance_terms int, institutional_terms int"
@@ -42,6 +43,11 @@ def html_files(spark: SparkSession, path: str, prefixes: list[str] | None = None
     return wanted(files.select("path", root.alias("inner"), F.decode("content", "UTF-8").alias("html")), prefixes, "inner").drop("inner")
 
 
+def zip_pages(spark: SparkSession, path: str, prefixes: list[str] | None = None) -> DataFrame:
+    """path, html of the .html entries of ZIP archives, of some folders only if ``prefixes`` are given; other entries are not opened."""
+    return archives.zip_entries(spark, path, prefixes, ".html").select("path", F.decode("content", "UTF-8").alias("html"))
+
+
 def wanted(files: DataFrame, prefixes: list[str] | None, path: str = "path") -> DataFrame:
     """.html files under some folders of the archive; the archive's own folder, the first, does not count."""
     inner = F.regexp_replace(F.col(path), "^[^/]*/", "")
