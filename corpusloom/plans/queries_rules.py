@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import language, questions, safety, scope, text
 from ..operators import answer, ingest
-from ..operators.tables import stored
+from ..operators.tables import shared_dir, stored
 from ..sources import files
 from ..streaming import guard
 from . import fixtures as fx
@@ -242,6 +244,32 @@ def guarded_stream(spark, d):
     return out.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("upto", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
+_cut = f"(SELECT id, CASE WHEN length(a) % 5 = 0 AND length(a) > 7 THEN left(a, 7 * (ceil(length(a) / 7.0)::INT - 1)) ELSE a END AS a FROM {_a})"
+_speed = "greatest(ceil(length(a) / 7.0), 1)::BIGINT AS tokens, 500::BIGINT AS first_ms, CASE WHEN length(a) > 7 THEN 20.0::DOUBLE END AS per_second"
+
+
+@query(R.guarded(_cut, _sources).replace("SELECT id AS answer_id,", f"SELECT id AS answer_id, {_speed},"))
+def token_log_guarded(spark, d):
+    """All answers as growing token logs, 20 pieces of seven characters a second; every answer of a length divisible by five loses its last piece and is closed by event time."""
+    from ..streaming import answers, tokens
+    from ..streaming.events import run_to_end
+
+    n = F.greatest(F.ceil(F.length("a") / 7.0), F.lit(1)).cast("int")
+    cut = answered(spark, d).select(F.col("id").alias("answer_id"), "a", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    ts = F.timestamp_millis(F.lit(1704067200500) + F.col("seq") * 50)
+    asked = F.timestamp_millis(F.lit(1704067200000))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    said = cut.filter((F.length("a") % 5 > 0) | (F.col("n") == 1) | (F.col("seq") < F.col("n") - 1))
+    last = F.col("seq") == F.col("n") - 1
+    lines = said.select("answer_id", "seq", F.substring("a", F.col("seq") * 7 + 1, F.lit(7)).alias("piece"), last.alias("is_last"), F.lit("\n".join(fx.SOURCES)).alias("sources"), stamp(asked).alias("asked"), stamp(ts).alias("ts"))
+    end = spark.range(1).select(F.lit("end of the log").alias("answer_id"), F.lit(0).alias("seq"), F.lit("").alias("piece"), F.lit(False).alias("is_last"), F.lit("").alias("sources"), stamp(asked).alias("asked"), stamp(F.timestamp_millis(F.lit(1735689600000))).alias("ts"))
+    place = f"{shared_dir(spark)}/token-log-{uuid.uuid4().hex}"
+    lines.unionByName(end).write.json(place)
+    out = run_to_end(answers.answered(tokens.token_log(spark, place), attempts=1), f"{place}-guarded")
+    whole = out.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("upto", F.when(F.col("state") == "more", 0).otherwise(1).alias("end"), "text"))), lambda x: x["text"]), "").alias("text"), F.max("tokens").alias("tokens"), F.max("first_ms").alias("first_ms"), F.round(F.max("per_second"), 6).alias("per_second"))
+    return whole.filter("answer_id <> 'end of the log'")
+
+
 @query(
     """WITH p AS (SELECT label AS k, max(vec_id) FILTER (vec_id % 2 = 0) AS even, max(vec_id) AS last FROM embeddings GROUP BY label), f AS (SELECT vec_id AS id, label + vec_id % 2 * 100 AS k FROM embeddings)
     SELECT f.id, coalesce('d' || coalesce(even, last), '') AS draft, CASE WHEN even IS NOT NULL THEN 'c' || even END AS corrected FROM f LEFT JOIN p USING (k)"""
