@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import text
-from ..operators import answer, cells, compress, dense, lexical, search
+from ..operators import answer, cells, compress, dense, impacts, lexical, search
 from ..operators.tables import shared_dir, stored
 from ..sources import files
 from . import fixtures as fx
@@ -56,6 +56,13 @@ def bm25_search(spark, d):
     return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {S.bm25('documents', 'doc_id', 'benchmark', 'item_id')} SELECT query_id, id AS doc_id, rank, round(score, 6) AS score FROM bm25")
+def bm25_blocks(spark, d):
+    """The same by blocks of impacts: ranges of documents whose bound is below a query's k-th score are not scored."""
+    found = impacts.search(impacts.build(index_of(spark, d)), _asked(spark, d))
+    return found.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {S.bm25('documents', 'doc_id', 'benchmark', 'item_id')} SELECT query_id, id AS doc_id, rank, round(score, 6) AS score FROM bm25")
 def stream_search(spark, d):
     """The same search of a stream of items, a file at a time, against the stored index."""
