@@ -8,10 +8,12 @@ text to begin with, so copies never pair up.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import find_all, let
+from ..session import ship
 from .tables import forget, stored
 
 RUN, SIMILAR = 5, 0.75
@@ -60,20 +62,95 @@ def _pairs(every: DataFrame, similar: float) -> DataFrame:
     return scored.filter(F.col("jaccard") >= similar - 1e-12)
 
 
-def near_keep(documents: DataFrame, block: str | None = None, similar: float = SIMILAR, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, kept: in order of id, a document stays unless it is similar to an earlier one that stays.
+#: Pairs of a component that one task folds, and rounds on the whole graph before components are looked for.
+FOLDED, EASY_ROUNDS = 200_000, 3
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, root: the least id of each one's component; ``edges``: a, b. Rounds double the reach, as stars about least neighbours grow.
+
+    A round joins every larger neighbour of a node with the node's least neighbour (large star), then every smaller one (small star); a node
+    meets its own neighbours only, and their number is the number of edges.
+    """
+
+    def star(e: DataFrame, larger: bool) -> DataFrame:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        met = both.join(least, "a")
+        out = met.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if larger else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return out.filter("a <> b").distinct()
 
-    Rounds decide all documents whose earlier neighbours are decided, on a graph that is only as large
-    as the similar pairs; each round's table is removed after the next.
+    shape = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    now = stored(edges.select("a", "b"), "components")
+    before = None
+    while before != (before := shape(now)):
+        then = stored(star(star(now, True), False), "components")
+        forget(now)
+        now = then
+    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def _round(pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Decides all whose earlier neighbours are decided, or one of whose earlier neighbours stays."""
+    seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("by")), "a").groupBy("b").agg(F.max(F.coalesce("by", F.lit(False))).alias("hit"), F.max(F.col("by").isNull()).alias("open"))
+    return stored(state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("kept")), "dedup-state")
+
+
+def _fold(pairs: DataFrame) -> DataFrame:
+    """id, kept of components of up to ``FOLDED`` pairs, each in one task, in order of id; ``pairs``: root, a, b, all of them open.
+
+    An open one has no neighbour that stays, so its decided neighbours say nothing more.
     """
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        before: dict = {}
+        for a, b in zip(group["a"], group["b"], strict=True):
+            before.setdefault(b, []).append(a)
+            before.setdefault(a, [])
+        kept: dict = {}
+        for x in sorted(before):
+            kept[x] = not any(kept[y] for y in before[x])
+        return pd.DataFrame({"id": list(kept), "kept": list(kept.values())})
+
+    return pairs.groupBy("root").applyInPandas(fold, f"id {kind}, kept boolean")
+
+
+def near_keep(documents: DataFrame, block: str | None = None, similar: float = SIMILAR, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, kept: in order of id, a document stays unless it is similar to an earlier one that stays."""
     every = _sets(documents, block, id, text)
     pairs = stored(_pairs(every, similar).select("a", "b"), "dedup-pairs")
     firsts = every.groupBy("block", "k1", "k2").agg(F.min("id").alias("first"))
+    known = every.join(firsts, ["block", "k1", "k2"]).select("id", "first", (F.size("s") == 0).alias("bare"))
+    state = greedy(pairs)
+    return known.join(state.withColumnRenamed("id", "first"), "first", "left").select("id", (F.col("bare") | ((F.col("id") == F.col("first")) & F.coalesce("kept", F.lit(True)))).alias("kept"))
+
+
+def greedy(pairs: DataFrame) -> DataFrame:
+    """id, kept of all in ``pairs`` (a < b): in order of id, whoever has no earlier neighbour that stays.
+
+    A few rounds decide nearly all, on a graph that is only as large as the similar pairs. What is left are long chains of
+    revisions: their components are found in a number of rounds that goes with the logarithm of their length, and each is
+    folded in order of id in one task. Components of more than ``FOLDED`` pairs go on in rounds. Each round's table is removed after the next.
+    """
+    ship(pairs.sparkSession)
     state = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "dedup-state")
+    rounds = 0
     while state.filter("kept is null").limit(1).count():
-        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("kept").alias("by")), "a").groupBy("b").agg(F.max(F.coalesce("by", F.lit(False))).alias("hit"), F.max(F.col("by").isNull()).alias("open"))
-        then = stored(state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("kept", F.when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))).alias("kept")), "dedup-state")
+        rounds += 1
+        if rounds == EASY_ROUNDS + 1:
+            hit = pairs.join(state.filter("kept").select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"), F.lit(True).alias("hit")).distinct()
+            now = stored(state.join(hit, "id", "left").select("id", F.coalesce("kept", F.when(F.col("hit"), F.lit(False))).alias("kept")), "dedup-state")
+            forget(state)
+            state = now
+            open_ = state.filter("kept is null").select("id")  # none of these has an earlier neighbour that stays
+            left = stored(pairs.join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(open_.withColumnRenamed("id", "b"), "b", "left_semi"), "dedup-left")
+            rooted = stored(left.join(components(left).withColumnRenamed("id", "a"), "a"), "dedup-rooted")
+            size = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FOLDED).select("root")
+            solved = _fold(rooted.join(size, "root"))
+            then = stored(state.join(solved.withColumnRenamed("kept", "solved"), "id", "left").select("id", F.coalesce("kept", "solved").alias("kept")), "dedup-state")
+        else:
+            then = _round(pairs, state)
         forget(state)
         state = then
-    known = every.join(firsts, ["block", "k1", "k2"]).select("id", "first", (F.size("s") == 0).alias("bare"))
-    return known.join(state.withColumnRenamed("id", "first"), "first", "left").select("id", (F.col("bare") | ((F.col("id") == F.col("first")) & F.coalesce("kept", F.lit(True)))).alias("kept"))
+    return state

@@ -98,6 +98,23 @@ def decay_first_last(spark, d):
     return r.select("event_type", *(F.round(c, 6).alias(c) for c in ("early", "late", "decay")))
 
 
+@query(
+    """WITH v AS (SELECT vec_id // 8 AS question_id, (vec_id // 2) % 4 AS choice, vec_id % 2 AS p, list_transform(embedding, lambda x: 10 * x::DOUBLE) AS l FROM embeddings),
+    n AS (SELECT *, list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) AS norm, CASE p WHEN 1 THEN (question_id * 11 + choice * 17) % 64 ELSE (question_id * 3 + 1) % 64 END AS token FROM v)
+    SELECT question_id, choice, round(sum(l[token + 1] - norm), 6) AS score, count(*) AS n_scored FROM n WHERE p = 1 OR choice % 2 = 1 GROUP BY ALL"""
+)
+def continuation_scores(spark, d):
+    """Vectors as logits over 64 tokens, two places a choice; every other choice's tokens leave the prompt's before its end."""
+    v = F.col("vec_id")
+    rows = table(spark, d, "embeddings").select(F.floor(v / 8).alias("question_id"), (F.floor(v / 2) % 4).alias("choice"), (v % 2).alias("position"), "embedding")
+    q, c, p = F.col("question_id"), F.col("choice"), F.col("position")
+    logits = rows.select("question_id", "choice", "position", F.posexplode("embedding").alias("token", "x")).select("question_id", "choice", "position", F.col("token").cast("long").alias("token"), (F.col("x").cast("double") * 10).alias("logit"))
+    places = rows.select("question_id", "choice").distinct().withColumn("position", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))))
+    sequences = places.withColumn("token", F.when(p == 0, q * 5 % 64).when(p == 1, (q * 3 + c % 2) % 64).otherwise((q * 11 + c * 17) % 64))
+    prompts = sequences.filter((c == 0) & (p < 2)).drop("choice")
+    return evaluate.continuation_scores(logits, sequences, prompts).select("question_id", "choice", F.round("score", 6).alias("score"), "n_scored")
+
+
 @query(
     """WITH c AS (SELECT event_id // 4 AS question_id, event_id % 4 AS choice, value AS score, 1 + event_id % 7 AS n_chars, event_id % 4 = (event_id // 4) % 4 AS gold FROM events),
     a AS (SELECT question_id, arg_max(gold, score * 1000003 - choice) AS a, arg_max(gold, score / n_chars) AS b FROM c GROUP BY question_id) SELECT count(*) AS n, round(avg(a::INT), 6) AS acc, round(avg(b::INT), 6) AS acc_norm FROM a"""
