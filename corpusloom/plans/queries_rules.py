@@ -203,9 +203,14 @@ def citation_dump(spark, d):
     return answered(spark, d).select("id", F.md5(safety.without_citation_run(F.col("a"))).alias("digest"))
 
 
-@query(f"SELECT year, coalesce({fx.NOW} - CASE WHEN regexp_matches(trim(left(year, 4)), '^[0-9]+$') THEN trim(left(year, 4))::INT END > 10, true) AS stale FROM {fx.sql_values(fx.YEARS, 'year')}")
+_year = "regexp_extract(coalesce(text, ''), '[0-9]{1,2}[0-9x.][0-9]', 0)"
+
+
+@query(f"SELECT doc_id, year, coalesce({fx.NOW} - CASE WHEN regexp_matches(trim(left(year, 4)), '^[0-9]+$') THEN trim(left(year, 4))::INT END > 10, true) AS stale FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN (2000 + doc_id % 40)::VARCHAR ELSE {_year} END AS year FROM documents)")
 def stale_sources(spark, d):
-    return fx.frame(spark, fx.YEARS, "year string").select("year", safety.is_stale(F.col("year"), fx.NOW).alias("stale"))
+    """A third of the documents by a year of their own, the others by the first number in their text that might be one."""
+    year = F.when(F.col("doc_id") % 3 == 0, (2000 + F.col("doc_id") % 40).cast("string")).otherwise(F.regexp_extract(F.coalesce("text", F.lit("")), "[0-9]{1,2}[0-9x.][0-9]", 0))
+    return table(spark, d, "documents").select("doc_id", year.alias("year")).withColumn("stale", safety.is_stale(F.col("year"), fx.NOW))
 
 
 @query(f"SELECT id, 'event: token' || chr(10) || 'data: ' || length(a) || chr(10) || chr(10) AS frame FROM {_a}")

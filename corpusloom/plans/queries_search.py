@@ -149,9 +149,12 @@ _ranked = [*fx.SOURCES, *fx.PASSAGES, "Cocoa pods turn black; prune the trees.",
 
 @query(R.rerank(fx.QUESTIONS, _ranked))
 def rerank_partitions(spark, d):
-    """Literal questions against literal sources, where the flags fire."""
-    q = fx.frame(spark, list(enumerate(fx.QUESTIONS)), "query_id int, query string")
-    hits = q.select("query_id", "query", F.posexplode(F.array(*map(F.lit, _ranked))).alias("id", "text")).withColumns({"title": F.lit(""), "fused_rank": F.col("id")})
+    """Every benchmark item behind a literal question, against literal sources that go on with the item's text, where the flags fire."""
+    text_ = F.coalesce("text", F.lit(""))
+    asked = F.get(F.array(*map(F.lit, fx.QUESTIONS)), (F.col("item_id") % len(fx.QUESTIONS)).cast("int"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", asked, text_).alias("query"), text_.alias("own"))
+    hits = q.select("query_id", "query", "own", F.posexplode(F.array(*map(F.lit, _ranked))).alias("id", "source"))
+    hits = hits.select("query_id", "query", "id", F.concat_ws(" ", "source", "own").alias("text"), F.lit("").alias("title"), F.col("id").alias("fused_rank"))
     return search.rerank(hits).select("query_id", "id", "place", "offcrop", "not_named", "research", "postharvest")
 
 

@@ -165,13 +165,23 @@ def licence_gate(spark, d):
     return rows.select("id", "licence", quality.licence_reason(F.col("licence")).alias("excluded"))
 
 
+_licence_line = "coalesce(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]e|copyright|rights'))[1], '')"
+_kinds = [*ingest.GUIDANCE_TYPES, "journal article", ""]
+
+
 @query(
-    f"""SELECT id, CASE WHEN lower(trim(access)) <> 'open access' THEN 'access rights: ' || CASE WHEN trim(access) = '' THEN 'unspecified' ELSE access END
+    f"""WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN ' Open Access' ELSE coalesce(lang, '') END AS access, {_licence_line} AS licence, {S.listed(_kinds).replace('(', '[', 1)[:-1]}][coalesce(length(text), 0) % {len(_kinds)} + 1] AS kind FROM documents)
+    SELECT doc_id, CASE WHEN lower(trim(access)) <> 'open access' THEN 'access rights: ' || CASE WHEN trim(access) = '' THEN 'unspecified' ELSE access END
     WHEN {S.rx('licence', X.NO_DERIVATIVES)} THEN 'licence: NoDerivatives (' || licence || ')' WHEN {S.rx('licence', X.PROPRIETARY)} THEN 'licence: proprietary (' || licence || ')'
-    WHEN lower(trim(kind)) NOT IN {S.listed(ingest.GUIDANCE_TYPES)} THEN 'type: ' || CASE WHEN trim(kind) = '' THEN 'unspecified' ELSE lower(trim(kind)) END || ' (not extension guidance)' END AS rejected FROM {fx.sql_values(fx.RECORDS, 'id, access, licence, kind')}"""
+    WHEN lower(trim(kind)) NOT IN {S.listed(ingest.GUIDANCE_TYPES)} THEN 'type: ' || CASE WHEN trim(kind) = '' THEN 'unspecified' ELSE lower(trim(kind)) END || ' (not extension guidance)' END AS rejected FROM r"""
 )
 def vet_gates(spark, d):
-    return fx.frame(spark, fx.RECORDS, "id string, access string, licence string, kind string").select("id", ingest.vet(F.col("access"), F.col("licence"), F.col("kind")).alias("rejected"))
+    """All documents: access by language, licence by the line of the text that speaks of it, type by the text's length."""
+    kind = F.get(F.array(*map(F.lit, _kinds)), (F.coalesce(F.length("text"), F.lit(0)) % len(_kinds)).cast("int"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.rlike(x, F.lit("(?i)licen[cs]e|copyright|rights")))
+    line = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    access = F.when(F.col("lang") == "en", " Open Access").otherwise(F.coalesce("lang", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", ingest.vet(access, line, kind).alias("rejected"))
 
 
 @query("SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY 1")

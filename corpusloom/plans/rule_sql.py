@@ -310,14 +310,15 @@ def hybrid(bm25: str, min_score: float, top_k: int = 6) -> str:
 
 
 def rerank(questions: list[str], sources: list[str]) -> str:
+    """Every benchmark item behind one of ``questions``, against each of ``sources`` with the item's own text."""
     body = "(' ' || text)"
-    asked = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(questions))
+    asked = f"([{', '.join(map(q, questions))}])[item_id % {len(questions)} + 1] || ' ' || coalesce(text, '')"
     given = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(sources))
     words = rf"len(list_filter(string_split_regex({body}, '\s+'), lambda w: w <> ''))"
-    return f"""WITH a AS (SELECT query_id, query, {crops('query')} AS wanted, {sign_names('query')} AS signs, {rx('query', X.FIELD_CONTEXT)} AND NOT {rx('query', X.STORE_CONTEXT)} AS field FROM (VALUES {asked}) v(query_id, query)),
-        s AS (SELECT id, text, list_concat({crops(body)}, {other_crops(body)}) AS crops, {rx(body, X.RESEARCH_REGISTER)} AS research, {rx_count(body, X.POSTHARVEST_TERMS)} AS n_post, {words} AS n FROM (VALUES {given}) v(id, text)),
+    return f"""WITH a AS (SELECT query_id, query, {crops('query')} AS wanted, {sign_names('query')} AS signs, {rx('query', X.FIELD_CONTEXT)} AND NOT {rx('query', X.STORE_CONTEXT)} AS field FROM (SELECT item_id AS query_id, {asked} AS query FROM benchmark)),
+        s AS (SELECT query_id, id, text, list_concat({crops(body)}, {other_crops(body)}) AS crops, {rx(body, X.RESEARCH_REGISTER)} AS research, {rx_count(body, X.POSTHARVEST_TERMS)} AS n_post, {words} AS n FROM (SELECT item_id AS query_id, id, source || ' ' || coalesce(text, '') AS text FROM benchmark, (VALUES {given}) v(id, source))),
         f AS (SELECT query_id, id, len(wanted) > 0 AND len(crops) > 0 AND NOT list_has_any(crops, wanted) AS offcrop, len(signs) > 0 AND len(list_filter(signs, lambda x: contains(lower({body}), x))) = 0 AS not_named, research,
-            field AND n_post >= 3 AND 1000.0 * n_post / greatest(n, 1) >= 25 AS postharvest FROM a CROSS JOIN s)
+            field AND n_post >= 3 AND 1000.0 * n_post / greatest(n, 1) >= 25 AS postharvest FROM a JOIN s USING (query_id))
         SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY postharvest, research, not_named, offcrop, id) - 1)::INT AS place, offcrop, not_named, research, postharvest FROM f"""
 
 
