@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, lexical
-from ..operators.tables import stored
+from ..operators.tables import shared_dir, stored
 from ..streaming import events
 from . import sql as S
 from .base import registry, table
@@ -127,6 +129,20 @@ def argmax_accuracy(spark, d):
     return r.select("n", F.round("acc", 6).alias("acc"), F.round("acc_norm", 6).alias("acc_norm"))
 
 
+@query("SELECT event_id, event_type, round(value, 6) AS value, n AS n_of_type FROM events JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type)")
+def events_once(spark, d):
+    """Events as a stream in which a third comes again and some come a year late, once each, joined with a static table."""
+    given = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    static = given.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_of_type"))
+    late = given.filter("event_id % 50 = 1").withColumns({"event_id": F.col("event_id") + 10**12, "ts": F.col("ts") - F.expr("INTERVAL 365 DAYS")})
+    place = f"{shared_dir(spark)}/events-once-{uuid.uuid4().hex}"
+    for rows in (given, given.filter("event_id % 3 = 0"), late):  # rows are late by the watermark of the batch before
+        rows.repartition(4).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+    out = events.run_to_end(events.once(stream, "60 days").join(static, "event_type"), place)
+    return out.select("event_id", "event_type", F.round("value", 6).alias("value"), "n_of_type")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark, d):
     return events.tumbling(table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))

@@ -184,6 +184,24 @@ def built_hybrid(spark, d):
     return search.hybrid(passages, asked, min_score=0.10, index=index).select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("hit", "place", "fused_rank")), F.round("score", 6).alias("score"))
 
 
+@query(R.hybrid(S.bm25("documents", "doc_id", "benchmark", "item_id"), 0.10))
+def stream_hybrid(spark, d):
+    """The same for a stream of items in which half come again: each is answered once, by the whole hybrid flow."""
+    from ..streaming.events import answered_to_end
+
+    passages, asked = _passage_vectors(spark, d)
+    passages, index = stored(passages), index_of(spark, d)
+    place = f"{shared_dir(spark)}/stream-hybrid-{uuid.uuid4().hex}"
+    timed = asked.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("query_id") % 3600))
+    for rows in (timed, timed.filter("query_id % 2 = 0")):
+        rows.repartition(2).write.mode("append").parquet(f"{place}/in")
+    stream = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/in")
+    once = stream.withWatermark("ts", "2 hours").dropDuplicatesWithinWatermark(["query_id"]).select("query_id", "text", "embedding")
+    names = ["query_id", "id", "hit", "place", "fused_rank", "score"]
+    found = answered_to_end(once, lambda batch: search.hybrid(passages, stored(batch), min_score=0.10, index=index).select(*names), place)
+    return found.select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("hit", "place", "fused_rank")), F.round("score", 6).alias("score"))
+
+
 @query("SELECT label, round(sum(x * x), 6) AS norm, round(max(x) FILTER (i = 1), 6) AS first FROM (SELECT label, i, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY label)), 1e-12) AS x FROM (SELECT label, i, sum(embedding[i]::DOUBLE * (vec_id % 2)) / greatest(sum(vec_id % 2), 1e-9) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL)) GROUP BY label")
 def mean_pool(spark, d):
     """The vectors of a label as the states of its tokens, every other one masked."""

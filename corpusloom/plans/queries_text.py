@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions import language, quality, tables, text
 from ..operators import chunk, dedup, html, ingest, relevance
-from ..sources import files
+from ..operators.tables import shared_dir
+from ..sources import files, snapshots
 from . import fixtures as fx
 from . import rule_sql as R
 from . import sql as S
@@ -301,6 +304,18 @@ def manifest_upsert(spark, d):
     return ingest.upsert(ingest.upsert(manifest, entry), entry)
 
 
+@query("SELECT lang AS name, count(*) AS n_pages, 3 AS version FROM documents WHERE lang <> 'en' GROUP BY lang UNION ALL SELECT 'en', -1, 3")
+def manifest_versions(spark, d):
+    """The same as versions of a stored manifest: the table, then an entry, then that entry again."""
+    manifest = table(spark, d, "documents").groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("n_pages"))
+    entry = spark.createDataFrame([("en", -1)], "name string, n_pages long")
+    kept = snapshots.Snapshots(spark, f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}")
+    kept.commit(manifest, 0)
+    kept.update(lambda now: ingest.upsert(now, entry))
+    version = kept.update(lambda now: ingest.upsert(now, entry))
+    return kept.read().withColumn("version", F.lit(version))
+
+
 @query("SELECT d.doc_id AS filename, CASE WHEN d.doc_id % 3 = 0 THEN 'MISSING' WHEN d.doc_id % 3 = 1 THEN 'MISMATCH' ELSE 'ok' END AS status FROM documents d")
 def verify_hashes(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("filename"), F.coalesce("text", F.lit("")).alias("text"))
