@@ -6,7 +6,8 @@ has. Items are partitioned by size, by powers of two, and the partition is part
 of the key of the search: an item is found through its MinHash sketch, the least
 hashes of its runs, and each partition has its own greatest sketch hash. A run of
 a document asks only those partitions whose items the document is large enough to
-contain and whose sketches reach up to its hash. Candidates are verified by exact
+contain and whose sketches reach up to its hash. Before it asks, a Bloom filter of all sketch
+hashes lets go nearly every run that no item has. Candidates are verified by exact
 containment.
 
 An item of n runs needs at least n - ceil(t n) + 1 of them in its sketch for one of
@@ -38,6 +39,8 @@ from .store import written
 RUN, SKETCH, COMMON = 5, 8, 64
 #: What may be broadcast.
 BROADCAST_BYTES = 32 * 1024**2
+#: The largest bitmap of sketch hashes, half a MB in the plan.
+BLOOM_BITS = 1 << 22
 
 
 def _may_broadcast(df: DataFrame, array: str | None = None) -> DataFrame:
@@ -71,6 +74,27 @@ def _sketches(sets: DataFrame, threshold: float) -> DataFrame:
     return written(each.join(shared, "hash").withColumn("place", place).filter(F.col("place") <= need).select("set", "n_item", "part", "hash"), "bench-sketch")
 
 
+def _bloom(sketch: DataFrame):
+    """A test of a hash column: whether both of its bits are set by some hash of ``sketch``.
+
+    The bitmap has 16 to 32 bits a hash, at most ``BLOOM_BITS``; past that it lets more through, never less.
+    """
+    n = sketch.count()
+    bits = min(BLOOM_BITS, 1 << max(10, (16 * n).bit_length()))
+    places = lambda h: (F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 31), F.lit(bits)))
+    each = sketch.select(F.explode(F.array(*places(F.col("hash")))).alias("bit"))
+    mask = F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))")
+    words_ = dict(each.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(mask.alias("mask")).collect())  # BLOOM_BITS / 64 rows at most
+    bitmap = F.split(F.lit(",".join(str(words_.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>")
+    held = lambda bit: F.get(bitmap, F.shiftright(bit, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))) != 0
+
+    def test(h: Column) -> Column:
+        a, b = places(h)
+        return held(a) & held(b)
+
+    return test
+
+
 def contained(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, text_key, item_id, n_item, n_shared, containment of each item in a document at or over ``threshold``."""
     items, sets = _items(benchmark)
@@ -79,7 +103,8 @@ def contained(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.8
     sketch = _sketches(sets, threshold)
     parts = sorted(sketch.groupBy("part").agg(F.min("n_item").alias("least"), F.max("hash").alias("top")).collect())  # one row a power of two
     asks = F.array_compact(F.array(*(F.when((F.col("n") >= threshold * p["least"] - 1e-9) & (F.col("hash") <= p["top"]), F.lit(p["part"])) for p in parts))) if parts else F.array().cast("array<int>")
-    probes = docs.select("text_key", _hashes(F.col("text"), lengths).alias("h")).select("text_key", F.size("h").alias("n"), F.explode("h").alias("hash")).select("text_key", "n", "hash", F.explode(asks).alias("part"))
+    runs_ = docs.select("text_key", _hashes(F.col("text"), lengths).alias("h")).select("text_key", F.size("h").alias("n"), F.explode("h").alias("hash"))
+    probes = runs_.filter(_bloom(sketch)(F.col("hash"))).select("text_key", "n", "hash", F.explode(asks).alias("part"))
     met = probes.join(_may_broadcast(sketch), ["part", "hash"]).filter(F.col("n") >= threshold * F.col("n_item") - 1e-9)
     candidates = written(met.select("text_key", "set").distinct(), "bench-candidates")
 

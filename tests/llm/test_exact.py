@@ -524,3 +524,11 @@ def test_fingerprint_neighbours_follow_ids(spark, monkeypatch):
         assert r["n_chars"] == len(t or "") and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert r["fingerprint"] == fingerprint.as_text(fingerprint.samples([fingerprint.bag(t or "", Words())])[0])
         assert r["near_next"] == fingerprint.likeness(*fingerprint.samples([fingerprint.bag(x or "", Words()) for x in (t, texts[(i + 1) % 102])]))
+
+
+def test_the_bloom_filter_lets_few_runs_through(spark):
+    r = np.random.default_rng(4)
+    some, other = (spark.createDataFrame([(int(x),) for x in r.integers(-(2**63), 2**63, size=n)], "hash long") for n in (3000, 20_000))
+    test = decontaminate._bloom(some)(decontaminate.F.col("hash"))
+    assert some.filter(test).count() == 3000 and other.filter(test).count() < 0.02 * 20_000
+    assert other.filter(decontaminate._bloom(some.limit(0))(decontaminate.F.col("hash"))).count() == 0
