@@ -604,6 +604,9 @@ MONEY = (
     r"us|west african|central african)?\s*(?:naira|kobo|dollars?|cents?|pounds?|euros?|shillings?|kwacha|cedis?|rand|francs?|"
     r"birr|dalasis?|leones?|kwanzas?|meticals?|pulas?|dirhams?))\b)"
 )
+#: What stands for a dose that the sources lack: in a whole answer, and in one that streams (fixed values).
+DOSE_REMOVED = "[rate not stated in sources - ask an extension officer]"
+DOSE_GONE = "[rate not given in the sources - ask an extension officer]"
 MONEY_REDACTION = "[this system has no price data - ask at your local market]"
 REUSE_CONTAINER = (
     r"(?i)\b(?:re-?use|reusing|use|using|keep|store|fill)\w*\s+(?:the\s+|an?\s+|empty\s+|old\s+){0,3}(?:pesticide|chemical|"

@@ -10,7 +10,6 @@ from .scope import message
 from .text import find_all, let, matches, strip
 
 RECENT_YEARS, MONEY_WINDOW = 10, 14
-DOSE_REMOVED = "[rate not stated in sources - ask an extension officer]"
 
 
 def _named(text: Column, terms) -> Column:

@@ -97,7 +97,9 @@ def strip_boilerplate(text: Column) -> Column:
 def unique_long_lines(lines: Column) -> Column:
     """Lines of 80 characters and more once each, by their first 200 letters and digits; shorter ones stay."""
     key = lambda x: F.substring(F.regexp_replace(F.lower(x), r"(?U)\W+", ""), 1, 200)
-    return let(lines, lambda ls: let(F.transform(ls, lambda x, i: F.when(F.length(x) < 80, F.concat(F.lit("#"), i.cast("string"))).otherwise(F.concat(F.lit("="), key(x)))), lambda ks: F.filter(ls, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)))
+    named = lambda x, i: F.struct(F.when(F.length(x) < 80, F.concat(F.lit("#"), i.cast("string"))).otherwise(F.concat(F.lit("="), key(x))).alias("k"), i.alias("i"))
+    first = lambda ks: F.filter(ks, lambda x, j: (j == 0) | (F.get(ks, j - 1)["k"] != x["k"]))  # noqa: E731  of lines in order of key, then place
+    return let(lines, lambda ls: let(F.array_sort(F.transform(ls, named)), lambda ks: F.transform(F.array_sort(F.transform(first(ks), lambda x: x["i"])), lambda i: F.get(ls, i))))
 
 
 def strip_furniture(text: Column, title: Column) -> Column:
@@ -119,12 +121,11 @@ def sentences(text: Column) -> Column:
     """Sentences; one of up to three words belongs to that before it."""
     parts = F.filter(F.transform(F.split(text, X.SENTENCE), strip), lambda s: s != "")
 
-    def add(done: Column, s: Column) -> Column:
-        short = (F.size(done) > 0) & (F.size(words(s)) <= 3)
-        joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(done, -1), s)))
-        return F.when(short, joined).otherwise(F.concat(done, F.array(s)))
+    def joined(ps: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: (i == 0) | (F.size(words(F.get(ps, i))) > 3))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.array_join(F.slice(ps, i + 1, F.coalesce(F.get(at, j + 1), F.size(ps)) - i), " ")))
 
-    return F.when(F.size(parts) == 0, parts).otherwise(F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts), F.lit(1))), F.slice(parts, 1, 1), add))
+    return let(parts, lambda ps: F.when(F.size(ps) == 0, ps).otherwise(joined(ps)))
 
 
 def is_heading(line: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions import language, questions, safety, scope
 from ..functions.text import citation, let, sentences, words
 
@@ -68,6 +69,6 @@ def advise(asked: DataFrame, hits: DataFrame, now: int, generate: Generator = ex
     sources = F.coalesce(F.col("hits.text"), F.array().cast("array<string>"))
     years = F.coalesce(F.col("hits.year"), F.array().cast("array<string>"))
     df = df.withColumn("safety", F.when(F.col("clean").isNotNull(), safety.verdict(F.col("clean"), sources, q, years, now)))
-    spoken = let(safety.replaced(F.col("clean"), F.col("safety.unsupported_doses"), safety.DOSE_REMOVED), lambda a: let(safety.notice(F.col("safety"), lang), lambda n: F.when(n == "", a).otherwise(F.concat(a, F.lit("\n\n---\n"), n))))
+    spoken = let(safety.replaced(F.col("clean"), F.col("safety.unsupported_doses"), X.DOSE_REMOVED), lambda a: let(safety.notice(F.col("safety"), lang), lambda n: F.when(n == "", a).otherwise(F.concat(a, F.lit("\n\n---\n"), n))))
     refusal = F.coalesce(scope.refusal_text(F.col("reason"), lang), scope.message("no_guidance", lang))
     return df.select("query_id", "question", lang, F.when(F.col("why").isNull(), spoken).otherwise(refusal).alias("answer"), F.col("why").isNotNull().alias("refused"), "why", F.transform(F.coalesce("hits", F.array().cast(df.schema["hits"].dataType)), lambda h, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), h["citation"])).alias("citations"), F.coalesce(F.col("safety.safe"), F.lit(True)).alias("safe"))

@@ -37,8 +37,9 @@ def jsonl_pages(spark, d):
 
 
 def _wrapped(rows, name: str, path: str, **about) -> str:
-    """One JSON object a file, with the rows of a partition under ``name``, as question sets and manifests are kept."""
-    each = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
+    """One JSON object a file, with up to a thousand rows under ``name``, as question sets and manifests are kept."""
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits of place
+    each = rows.groupBy(F.shiftright(place, 33).alias("part"), F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / 1000).alias("cut")).agg(F.collect_list(F.struct(*rows.columns)).alias(name))
     each.select(*(F.lit(v).alias(k) for k, v in about.items()), name).write.option("maxRecordsPerFile", 1).json(path)
     return path
 

@@ -176,9 +176,9 @@ def strip_disclaimer(spark, d):
     return answered(spark, d).select("id", F.md5(safety.without_disclaimer(F.col("a"))).alias("digest"))
 
 
-@query(f"SELECT id, {R.replaced('a', R.lacking('said', _sources), safety.DOSE_REMOVED)} AS answer FROM (SELECT *, {R.doses('a')} AS said FROM {_a})")
+@query(f"SELECT id, {R.replaced('a', R.lacking('said', _sources), X.DOSE_REMOVED)} AS answer FROM (SELECT *, {R.doses('a')} AS said FROM {_a})")
 def redact_doses(spark, d):
-    return answered(spark, d).select("id", safety.replaced(F.col("a"), safety.unsupported_doses(F.col("a"), F.lit(_sources)), safety.DOSE_REMOVED).alias("answer"))
+    return answered(spark, d).select("id", safety.replaced(F.col("a"), safety.unsupported_doses(F.col("a"), F.lit(_sources)), X.DOSE_REMOVED).alias("answer"))
 
 
 @query(f"WITH {R.verdict(_a, fx.SOURCES, ['2010', 'unknown'], fx.NOW)}, l AS (SELECT *, 'en' AS language FROM judged) SELECT id, {R.notice()} AS notice FROM l")

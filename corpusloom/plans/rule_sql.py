@@ -324,11 +324,9 @@ def rerank(questions: list[str], sources: list[str]) -> str:
 
 def guarded(source: str, sources: str) -> str:
     """An answer's text as a whole: without the first run of citations, money, and doses that the sources lack."""
-    from ..streaming.guard import DOSE_GONE
-
     cut = rf"regexp_replace(regexp_replace(a, {q(X.CITATION_RUN)}, ''), '^\s+', '')"
     return f"""WITH h AS (SELECT id, a, coalesce(nullif({cut}, ''), a) AS t FROM {source}), m AS (SELECT id, a, t, {lacking(doses('t'), sources)} AS gone FROM h)
-        SELECT id AS answer_id, CASE WHEN NOT regexp_matches(a, '\\pL') THEN {q(X.NO_GUIDANCE_MESSAGE)} ELSE {replaced(without_money('t'), 'gone', DOSE_GONE)} END AS text FROM m"""
+        SELECT id AS answer_id, CASE WHEN NOT regexp_matches(a, '\\pL') THEN {q(X.NO_GUIDANCE_MESSAGE)} ELSE {replaced(without_money('t'), 'gone', X.DOSE_GONE)} END AS text FROM m"""
 
 
 def near_keep(pairs: str) -> str:

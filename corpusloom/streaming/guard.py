@@ -25,7 +25,6 @@ from ..functions import fixed as X
 from ..session import ship
 
 LOOK_BEHIND, ATTEMPTS = 24, 2
-DOSE_GONE = "[rate not given in the sources - ask an extension officer]"
 _python = lambda p: re.compile(p.replace("(?<dose>", "(?P<dose>"))
 DOSES, MONEY, RISKY = [_python(p) for p in X.DOSAGE_PATTERNS], re.compile(X.MONEY), re.compile(r"\d|(?:" + X.MONEY_MARK.removeprefix("(?i)") + ")", re.IGNORECASE)
 ENDS, CITATIONS = re.compile(r"[.!?]\s|\n"), re.compile(X.CITATION_RUN)
@@ -40,7 +39,7 @@ def released(span: str, sources: str) -> str:
     gone = {amount: X.MONEY_REDACTION for amount in MONEY.findall(span)}
     for rx in DOSES:
         named = [(m["dose"] if "dose" in rx.groupindex else m[0]).strip() for m in rx.finditer(span)]
-        gone |= {dose: DOSE_GONE for dose in named if squeezed(dose) not in sources}
+        gone |= {dose: X.DOSE_GONE for dose in named if squeezed(dose) not in sources}
     for said, instead in gone.items():
         span = span.replace(said, instead)
     return span
