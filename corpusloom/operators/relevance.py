@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions.language import stopword_votes
 from ..functions.text import find_all, let, words
+from . import lexicons
 
 GROUPS = {**X.POSITIVE_GROUPS, "institutional": X.INSTITUTIONAL_TERMS, "africa": X.AFRICA_TERMS, "elsewhere": X.ELSEWHERE_TERMS}
 
@@ -74,13 +75,16 @@ def total(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda a, x: a + x["n"])
 
 
-def scored(documents: DataFrame, text: str = "text", groups: dict | None = None) -> DataFrame:
-    """``documents`` with n_words, n_<group>, positive, score, language, english_share, areas, crops, accepted, reason, top_terms."""
+def scored(documents: DataFrame, text: str = "text", groups: dict | None = None, automaton: bool = False) -> DataFrame:
+    """``documents`` with n_words, n_<group>, positive, score, language, english_share, areas, crops, accepted, reason, top_terms.
+
+    ``automaton``: terms are found by ``lexicons`` in one pass of each text, for lexicons of many terms; the rows are the same.
+    """
     groups = GROUPS if groups is None else groups
     t = F.coalesce(F.col(text), F.lit(""))
     votes_ = {f"__v_{lang}": n for lang, n in stopword_votes(t).items()}
     df = documents.withColumns({"n_words": F.greatest(F.size(words(t)), F.lit(1)), "__low": F.lower(t), **votes_})
-    df = df.withColumn("__hits", _hits(F.col("__low"), _tokens(F.col("__low")), groups))
+    df = lexicons.with_hits(df, "__low", _numbered(groups), "__hits") if automaton else df.withColumn("__hits", _hits(F.col("__low"), _tokens(F.col("__low")), groups))
     positive = [g for g in groups if g not in ("institutional", "africa", "elsewhere")]
     df = df.withColumns({f"n_{g}": _total(F.col("__hits"), i) for i, g in enumerate(groups)})
     df = df.withColumn("positive", reduce(lambda a, b: a + b, (F.col(f"n_{g}") for g in positive)))
