@@ -113,7 +113,11 @@ def verdict(answer: Column, sources: Column, question: Column, years: Column, no
 
 
 def notice(v: Column, language: Column) -> Column:
-    """The lines that a verdict adds to an answer, in order; empty for a safe one."""
+    """The lines that a verdict adds to an answer, in order; empty for a safe one. The verdict is evaluated once, however many lines ask for it."""
+    return let(v, lambda x: _lines(x, language))
+
+
+def _lines(v: Column, language: Column) -> Column:
     listed = lambda k: F.array_join(F.array_sort(v[k]), ", ")
     some = lambda k: F.size(v[k]) > 0
     lines = F.array(

@@ -144,3 +144,12 @@ def test_patterns_are_read_alike_by_python(spark):
     for name in ("LIVE_PRICE", "LIVE_FORECAST", "FINANCIAL_LEGAL", "IN_DOMAIN", "HARM_TO_OTHERS"):
         rx = getattr(X, name)
         assert of(spark, lambda q, rx=rx: text.matches(q, rx), *fx.QUESTIONS) == [bool(re.search(rx, q)) for q in fx.QUESTIONS]
+
+
+def test_a_notice_asks_for_its_verdict_once(spark):
+    v = safety.verdict(F.col("a"), F.array(F.lit("Use 5 ml of oil per litre.")), F.col("q"), F.array(F.lit("2010")), 2026)
+    rows = spark.createDataFrame([("Give 5 ml of ivermectin. It costs $5.", "My goat has worms"), ("Weed twice.", "?")], "a string, q string")
+    said = rows.select(safety.notice(v, F.lit("en")).alias("n"))
+    times = lambda df: df._jdf.queryExecution().analyzed().toJSON().count("ml of oil")
+    assert times(said) == times(rows.select(v))
+    assert ["5 ml" in r.n or "currency" in r.n for r in said.collect()] == [True, False]
