@@ -151,5 +151,5 @@ def test_a_notice_asks_for_its_verdict_once(spark):
     rows = spark.createDataFrame([("Give 5 ml of ivermectin. It costs $5.", "My goat has worms"), ("Weed twice.", "?")], "a string, q string")
     said = rows.select(safety.notice(v, F.lit("en")).alias("n"))
     times = lambda df: df._jdf.queryExecution().analyzed().toJSON().count("ml of oil")
-    assert times(said) == times(rows.select(v))
+    assert times(said) == times(rows.select(v.alias("v")))
     assert ["5 ml" in r.n or "currency" in r.n for r in said.collect()] == [True, False]
