@@ -39,5 +39,5 @@ def passages(docs: DataFrame, limits: Chunking = CHUNKING) -> DataFrame:
 def index(spark: SparkSession, docs: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] = dense.hashed_embedding) -> tuple[DataFrame, lexical.Index]:
     """Passages with vectors and their BM25 index, saved in ``path`` and loaded from there."""
     made = passages(docs)
-    files.save_index(made.join(embed(made.select("id", "text")), "id"), path)
+    files.save_index(dense.with_hashed_embedding(made) if embed is dense.hashed_embedding else made.join(embed(made.select("id", "text")), "id"), path)
     return files.load_index(spark, path)

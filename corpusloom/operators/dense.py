@@ -9,6 +9,7 @@ of exactly that size, each a pass over the passages.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,9 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import RETRIEVAL
-from ..functions.text import l2_normalised, stem, tokens
+from ..functions.text import l2_normalised
 from ..session import ship
-from .tables import blocks
+from .lexical import _counted
+from .tables import blocks, column_array, ordered
 
 #: Queries of one block: at 384 numbers each, 24 MB.
 BLOCK = 8192
@@ -30,17 +32,28 @@ BLOCK = 8192
 
 def hashed_embedding(passages: DataFrame, id: str = "id", text: str = "text", dim: int = 256) -> DataFrame:
     """A deterministic embedding of text: stems hashed to ``dim`` places by MD5, 1 + ln(tf), unit length."""
-    each = passages.select(F.col(id).alias("id"), F.explode_outer(tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).select("id", stem(F.col("token")).alias("term"))
-    return embedding_of(each.groupBy("id", "term").agg(F.count("term").alias("tf")), dim)
+    return with_hashed_embedding(passages.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", dim).select("id", "embedding")
 
 
-def embedding_of(postings: DataFrame, dim: int = 256) -> DataFrame:
-    """That embedding from postings (id, term, tf), as an index holds them; a null or empty term stands for none."""
-    place = F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("long") % dim
-    weights = postings.select("id", F.when(F.col("term") != "", place.cast("int")).alias("place"), (1 + F.ln("tf")).alias("w")).groupBy("id", "place").agg(F.sum("w").alias("w"))
-    filled = weights.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "w")))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return filled.select("id", l2_normalised(vector).alias("embedding"))
+def with_hashed_embedding(passages: DataFrame, text: str = "text", dim: int = 256) -> DataFrame:
+    """``passages`` with that embedding of their text; each row is finished where it is read."""
+    ship(passages.sparkSession)
+    schema = T.StructType([*passages.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    at, names = passages.columns.index(text), [*passages.columns, "embedding"]
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows)), b.column(at)], names=["id", "text"])
+            lists = next(_counted(iter([texts]))).column("terms")
+            each, row = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            term = each.field("term").dictionary_encode()
+            place = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim for t in term.dictionary.to_pylist()], dtype=np.int64)[term.indices.to_numpy()]
+            m = np.bincount(row * dim + place, 1 + np.log(each.field("tf").to_numpy()), b.num_rows * dim).reshape(-1, dim)
+            m = m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, dim, dtype=np.int32)), pa.array(m.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, vectors], names=names)
+
+    return passages.mapInArrow(embed, schema)
 
 
 def mean_pooled(states: DataFrame, key: str = "id", vector: str = "state", mask: str = "mask") -> DataFrame:
@@ -61,11 +74,6 @@ def search(passages: DataFrame, queries: DataFrame, k: int = RETRIEVAL.candidate
     return reduce(DataFrame.unionByName, (_best(passages, block, k, not_itself) for block in blocks(each, BLOCK)))
 
 
-def ordered(ids: np.ndarray) -> np.ndarray:
-    """Numbers in the order of ``ids``, equal ones for equal ids."""
-    return ids if ids.dtype.kind in "iu" else np.unique(ids, return_inverse=True)[1].reshape(ids.shape)
-
-
 class Best:
     """The k best of each query so far: scores, and ids of any type, by score (to nine places), then id."""
 
@@ -92,12 +100,6 @@ class Best:
             held[:, columns] = np.take_along_axis(new, order, axis=0)
 
 
-def column_array(column: pa.Array) -> np.ndarray:
-    """Ids as NumPy has them: integers, else objects."""
-    out = column.to_numpy(zero_copy_only=False)
-    return out if out.dtype.kind in "iu" else out.astype(object)
-
-
 def matrix_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 

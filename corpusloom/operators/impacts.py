@@ -66,10 +66,10 @@ def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def build(index: Index, span: int = SPAN, folders: int = FOLDERS) -> Impacts:
     """The blocks of an index, stored in the shared folder."""
-    spark = index.postings.sparkSession
+    spark = index.passages.sparkSession
     ship(spark)
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = index.postings.filter("term = ''").select("id").repartitionByRange(wide, "id").sortWithinPartitions("id")
+    ids = index.passages.select("id").repartitionByRange(wide, "id").sortWithinPartitions("id")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -77,7 +77,7 @@ def build(index: Index, span: int = SPAN, folders: int = FOLDERS) -> Impacts:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(np.arange(at, at + b.num_rows)), b.column("id")], names=["part", "at", "id"])
             at += b.num_rows
 
-    field = T.StructField("id", index.postings.schema["id"].dataType)
+    field = T.StructField("id", index.passages.schema["id"].dataType)
     placed = stored(ids.mapInArrow(number, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), field])), "impacts-places")
     before, starts = 0, {}
     for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a partition
@@ -85,8 +85,10 @@ def build(index: Index, span: int = SPAN, folders: int = FOLDERS) -> Impacts:
     offset = F.get(F.array(*(F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts, default=0) + 1))), F.col("part"))
     passages = stored(placed.select((offset + F.col("at")).alias("n"), "id"), "impacts-passages")
 
-    rows = index.postings.filter("term <> ''").join(passages, "id").select("term", "n", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
-    ordered = rows.withColumn("range", F.floor(F.col("n") / span).cast("long")).repartitionByRange(wide, "term", "range").sortWithinPartitions("term", "range", "n")
+    # Passages go to the task of their range with all their terms, so that postings are made into blocks there and only blocks are shuffled.
+    near = index.passages.join(passages, "id").withColumn("range", F.floor(F.col("n") / span).cast("long")).repartition("range")
+    rows = near.select("range", "n", F.col("dl").cast("long").alias("dl"), F.inline("terms")).select("term", "range", "n", "tf", "dl")
+    ordered = rows.sortWithinPartitions("range", "term", "n")
     slope = RETRIEVAL.k1 * RETRIEVAL.b / (index.avg_len or 1.0)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

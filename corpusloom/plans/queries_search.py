@@ -159,10 +159,9 @@ def rerank_partitions(spark, d):
 
 
 def _passage_vectors(spark, d):
+    """Passages with their vectors, stored together, and the items with theirs."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    vectors = stored(dense.embedding_of(index_of(spark, d).postings))
-    asked = _asked(spark, d)
-    return docs.join(vectors, "id"), asked.join(stored(dense.hashed_embedding(asked, "query_id")).withColumnRenamed("id", "query_id"), "query_id")
+    return stored(dense.with_hashed_embedding(docs), "passages"), stored(dense.with_hashed_embedding(_asked(spark, d)), "asked")
 
 
 @query(R.hybrid(S.bm25("documents", "doc_id", "benchmark", "item_id"), 0.10))
@@ -177,10 +176,9 @@ def built_hybrid(spark, d):
     """An index with names as ids, saved and loaded, licences gated, and searched in hybrid mode: every benchmark item."""
     docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("#0")).alias("id"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("doc_id") % 5 == 0, "CC BY-ND 4.0").otherwise("CC BY 4.0").alias("licence"))
     place = f"{shared_dir(spark)}/built-{uuid.uuid4().hex}"
-    files.save_index(docs.join(dense.hashed_embedding(docs), "id"), place)
+    files.save_index(dense.with_hashed_embedding(docs), place)
     passages, index = files.load_index(spark, place)
-    asked = _asked(spark, d)
-    asked = asked.join(stored(dense.hashed_embedding(asked, "query_id")).withColumnRenamed("id", "query_id"), "query_id")
+    asked = stored(dense.with_hashed_embedding(_asked(spark, d)), "asked")
     return search.hybrid(passages, asked, min_score=0.10, index=index).select("query_id", "id", *(F.col(c).cast("long").alias(c) for c in ("hit", "place", "fused_rank")), F.round("score", 6).alias("score"))
 
 
@@ -190,7 +188,7 @@ def stream_hybrid(spark, d):
     from ..streaming.events import answered_to_end
 
     passages, asked = _passage_vectors(spark, d)
-    passages, index = stored(passages), index_of(spark, d)
+    index = index_of(spark, d)
     place = f"{shared_dir(spark)}/stream-hybrid-{uuid.uuid4().hex}"
     timed = asked.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("query_id") % 3600))
     for rows in (timed, timed.filter("query_id % 2 = 0")):

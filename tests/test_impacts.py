@@ -36,3 +36,17 @@ def test_nothing_to_search(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "yam")], "query_id long, text string")
     assert impacts.search(impacts.build(lexical.build(df)), asked).count() == 0
+
+
+def test_an_index_is_made_and_read_without_a_shuffle_of_postings(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"word{r.randrange(60)}" for _ in range(r.randrange(1, 20))) for _ in range(9000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"word{i} word{i + 1} word7") for i in range(12)], "query_id long, text string")
+    one, many = lexical.build(df.repartition(1)), lexical.build(df.repartition(7))
+    found = [sorted(tuple(x) for x in lexical.search(i, asked, 15).selectExpr("query_id", "rank", "id", "round(score, 9)").collect()) for i in (one, many)]
+    assert found[0] == found[1] and len(found[0]) == 180  # one task takes several tables of passages
+    assert one.passages.count() == 9000 and one.postings.filter("term = ''").count() == 9000
+    best = lexical._best(one, spark.createDataFrame([(1, [("word7", 1, 0, 5)])], "query_id long, terms array<struct<term:string,times:long,pos:int,df:long>>"), 5)
+    for plan in (lexical.counted(df), best):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
