@@ -104,3 +104,18 @@ def test_odd_rows(spark, odd, none):
     assert P.find(odd).count() == odd.count() and P.find(none).count() == 0
     assert P.sanitised(odd).columns == odd.columns and P.sanitised(odd).count() == odd.count()
     assert P.find(spark.createDataFrame([("k", "a@b.cc")], "doc_id string, text string")).first().n_email == 1
+
+
+def test_terms_far_from_a_value_give_it_away_too(spark):
+    r = random.Random(6)
+    some = lambda n: " ".join(f"w{r.randrange(40)}" for _ in range(n))
+    docs = [(i, some(60)) for i in range(300)]
+    docs += [(1000 + i, f"Zephyrine {some(40)} zq@mail.example.org {some(30)} 40417 {some(3)}") for i in range(5)]
+    docs += [(2000 + i, f"hapax {' '.join(f'w{k}' for k in range(30))} once@mail.example.org {' '.join(f'w{k}' for k in range(9))} {some(5)}") for i in range(5)]  # one surrounding
+    got = {x.doc_id: x.spans for x in P.find(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", P.spelled().alias("spans")).collect()}
+    for i in range(5):
+        text = docs[300 + i][1]
+        at = text.index("40417")
+        assert ":0:9" in got[1000 + i] and f":{at}:{at + 5}" in got[1000 + i], got[1000 + i]
+        assert got[2000 + i].count(":") == 2
+    assert all(got[i] == "" for i in range(300))
