@@ -62,7 +62,10 @@ class Answers(StatefulProcessor):
                     tokens += 1
                     if ts is not None:
                         first, last = ts if first is None else min(first, ts), ts if last is None else max(last, ts)
-                out += g.take(seq, r.piece or "", bool(r.is_last), attempt, self.attempts)
+                    g.put(seq, r.piece or "", bool(r.is_last), attempt)
+                    if r.is_last or before:  # it may end here, and what comes after the end does not count
+                        out += g.drained(self.attempts)
+            out += g.drained(self.attempts)
         self.guard.update((json.dumps({k: getattr(g, k) for k in KEPT}),))
         self.clock.update((asked, first, last, tokens))
         for place in before.keys() - g.waiting.keys():

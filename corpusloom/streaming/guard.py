@@ -91,19 +91,28 @@ class Guard:
         return out
 
     def take(self, seq: int, piece: str, last: bool, attempt: int = 0, attempts: int = 1) -> str:
-        """Pieces in any order; what their turn lets out."""
-        if self.state == "done" or (attempt, seq) < (self.attempt, self.turn):
-            return ""  # it came twice
-        self.waiting[f"{attempt}:{seq}"] = [piece, last]
-        out = ""
+        """A piece, in any order; what its turn lets out."""
+        self.put(seq, piece, last, attempt)
+        return self.drained(attempts)
+
+    def put(self, seq: int, piece: str, last: bool, attempt: int = 0) -> None:
+        """A piece that waits for its turn, unless it came before."""
+        if self.state != "done" and (attempt, seq) >= (self.attempt, self.turn):
+            self.waiting.setdefault(f"{attempt}:{seq}", [piece, last])
+
+    def drained(self, attempts: int = 1) -> str:
+        """What the pieces whose turn it is let out; those that follow each other are looked at as one."""
+        out, run = "", []
         while self.state != "done" and (came := self.waiting.pop(f"{self.attempt}:{self.turn}", None)):
             self.turn, self.taken, self.state = self.turn + 1, self.taken + 1, "more"
-            out += self.feed(came[0])
-            if came[1] and not self.spoken and self.attempt + 1 < attempts:
-                self.attempt, self.turn, self.text, self.state = self.attempt + 1, 0, "", "retry"
-            elif came[1]:
-                out += self.close()
-        return out
+            run.append(came[0])
+            if came[1]:
+                out, run = out + self.feed("".join(run)), []
+                if not self.spoken and self.attempt + 1 < attempts:
+                    self.attempt, self.turn, self.text, self.state = self.attempt + 1, 0, "", "retry"
+                else:
+                    out += self.close()
+        return out + (self.feed("".join(run)) if run else "")
 
 
 RESULT = "answer_id string, upto int, text string, state string"
@@ -127,9 +136,11 @@ def guarded(pieces: DataFrame, attempts: int = ATTEMPTS, patience_ms: int | None
             out = guard.close()
         else:
             for batch in batches:
-                for r in batch.sort_values("seq").itertuples():
-                    guard.sources = guard.sources or squeezed(r.sources or "")
-                    out += guard.take(int(r.seq), r.piece or "", bool(r.is_last), int(r.attempt) if most > 1 else 0, most)
+                attempt = batch["attempt"].tolist() if most > 1 else [0] * len(batch)
+                for said, seq, piece, last, n in sorted(zip(batch["sources"].tolist(), batch["seq"].tolist(), batch["piece"].tolist(), batch["is_last"].tolist(), attempt, strict=True), key=lambda r: r[1]):
+                    guard.sources = guard.sources or squeezed(said or "")
+                    guard.put(int(seq), piece or "", bool(last), int(n))
+                out += guard.drained(most)
         if guard.state == "done":
             state.remove()
         else:

@@ -108,3 +108,15 @@ def test_processing_time_has_the_same_text(spark, tmp_path):
     finally:
         query.stop()
     assert said(spark.table("spoken").collect()) == {n: whole(t) for n, t in TEXTS.items()}
+
+
+def test_pieces_that_came_together_are_looked_at_once(monkeypatch):
+    looks = []
+    settled = guard.settled
+    monkeypatch.setattr(guard, "settled", lambda text, sources: looks.append(text) or settled(text, sources))
+    for text in TEXTS.values():
+        g = guard.Guard(sources=guard.squeezed("Apply 20 kg per ha."))
+        for i, piece in enumerate(cut(text)):
+            g.put(i, piece, i == len(cut(text)) - 1)
+        looks.clear()
+        assert g.drained() == whole(text) and len(looks) <= 2 and g.state == "done" and g.taken == len(cut(text))
