@@ -54,7 +54,7 @@ def last_line_end(f: pa.NativeFile, least: int, size: int) -> int:
 def parsed(line: bytes, file: str) -> tuple:
     try:
         r = json.loads(line)
-        time = lambda v: None if v is None else datetime.fromisoformat(v).replace(tzinfo=datetime.fromisoformat(v).tzinfo or UTC)
+        time = lambda v: None if v is None else t if (t := datetime.fromisoformat(v)).tzinfo else t.replace(tzinfo=UTC)
         return r.get("answer_id"), r.get("attempt") or 0, r.get("seq"), r.get("piece"), bool(r.get("is_last")), r.get("sources"), time(r.get("asked")), time(r.get("ts"))
     except (ValueError, AttributeError, TypeError) as e:
         raise ValueError(f"a line of {file} is no token: {line[:80]!r}") from e
