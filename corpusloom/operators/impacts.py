@@ -1,6 +1,6 @@
 """BM25 by blocks of impacts: passages in ranges, and of those only what can reach the best.
 
-Passages get dense numbers in order of their ids and form ranges of ``SPAN``. The postings of a term in a range are one block: numbers
+Passages get numbers in order of their ids and form ranges of ``SPAN``. The postings of a term in a range are one block: numbers
 as differences, frequencies and lengths as packed arrays, and beside them the greatest impact
 
     tf (k1 + 1) / (tf + k1 (1 - b + b dl / avg))
@@ -15,16 +15,19 @@ Edge cases are those of ``lexical.search``: queries without a known term have no
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import RETRIEVAL
 from ..session import ship
@@ -33,12 +36,14 @@ from .tables import blocks as cut_blocks
 from .tables import shared_dir, small, stored
 
 SPAN, FIRST, FOLDERS = 1024, 4, 64
+#: Ranges of one task at most.
+STRETCHES = 1 << 30
 FLAT = RETRIEVAL.k1 * (1 - RETRIEVAL.b)
 
 
 @dataclass
 class Impacts:
-    """``table``: folder, term, range, n, top, data; ``passages``: n (dense, in order of id), id; ``index``: what it was made from."""
+    """``table``: folder, term, range, n, top, data; ``passages``: n (in order of id), id; ``index``: what it was made from."""
 
     table: DataFrame
     passages: DataFrame
@@ -64,55 +69,87 @@ def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(out[0]), out[1], out[2]
 
 
+def packed_blocks(at: np.ndarray, gaps: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.Array:
+    """``packed`` of each block, all at once; ``at``: where blocks begin in the postings."""
+    ends = np.r_[at[1:], len(gaps)]
+    n = ends - at
+    block = np.repeat(np.arange(len(at)), n)
+    nth = np.arange(len(gaps)) - at[block]
+    columns, widths = [x.astype(np.int64) for x in (gaps, tf, dl)], []
+    for x in columns:
+        top = np.maximum.reduceat(x, at)
+        widths.append(np.select([top < 1 << 8, top < 1 << 16, top < 1 << 32], [1, 2, 4], 8))
+    offsets = np.r_[0, np.cumsum(sum(1 + n * w for w in widths))]
+    out, begin = np.zeros(int(offsets[-1]), dtype=np.uint8), offsets[:-1].copy()
+    for x, width in zip(columns, widths, strict=True):
+        out[begin] = width
+        wide = width[block]
+        place = begin[block] + 1 + nth * wide
+        for byte in range(int(width.max())):
+            some = slice(None) if byte == 0 else np.flatnonzero(wide > byte)
+            out[place[some] + byte] = (x[some] >> 8 * byte) & 255
+        begin += 1 + n * width
+    return pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
 def build(index: Index, span: int = SPAN, folders: int = FOLDERS) -> Impacts:
-    """The blocks of an index, stored in the shared folder."""
+    """The blocks of an index, stored in the shared folder.
+
+    Passages are dealt by stretches of ids, once and with all their terms; a task numbers its own and makes their blocks, and only blocks are shuffled.
+    Numbers of a task begin at ``STRETCHES`` ranges after those of the task before it, so they need not be counted first. The ids of a range are a row
+    without a term, in a folder of their own.
+    """
     spark = index.passages.sparkSession
     ship(spark)
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = index.passages.select("id").repartitionByRange(wide, "id").sortWithinPartitions("id")
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part, dtype=np.int32)), pa.array(np.arange(at, at + b.num_rows)), b.column("id")], names=["part", "at", "id"])
-            at += b.num_rows
-
-    field = T.StructField("id", index.passages.schema["id"].dataType)
-    placed = stored(ids.mapInArrow(number, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), field])), "impacts-places")
-    before, starts = 0, {}
-    for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row a partition
-        starts[r["part"]], before = before, before + r["n"]
-    offset = F.get(F.array(*(F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts, default=0) + 1))), F.col("part"))
-    passages = stored(placed.select((offset + F.col("at")).alias("n"), "id"), "impacts-passages")
-
-    # Passages go to the task of their range with all their terms, so that postings are made into blocks there and only blocks are shuffled.
-    near = index.passages.join(passages, "id").withColumn("range", F.floor(F.col("n") / span).cast("long")).repartition("range")
-    rows = near.select("range", "n", F.col("dl").cast("long").alias("dl"), F.inline("terms")).select("term", "range", "n", "tf", "dl")
-    ordered = rows.sortWithinPartitions("range", "term", "n")
+    ordered = index.passages.filter("id IS NOT NULL").select("id", F.col("dl").cast("long").alias("dl"), "terms").repartitionByRange(wide, "id").sortWithinPartitions("id")
     slope = RETRIEVAL.k1 * RETRIEVAL.b / (index.avg_len or 1.0)
+    id_kind = T.ArrayType(index.passages.schema["id"].dataType)
+    schema = T.StructType([*T._parse_datatype_string("term string, range long, n int, top double, data binary").fields, T.StructField("ids", id_kind)])
+    arrow = to_arrow_schema(schema)
+
+    def blocks_of(part: pa.Table, rng: int) -> Iterator[pa.RecordBatch]:
+        """The blocks of a range's passages, which come in order, and its ids."""
+        ids, lists = part.column("id").combine_chunks(), part.column("terms").combine_chunks()
+        null = lambda kind: pa.nulls(1, kind)
+        kinds = [f.type for f in arrow]
+        yield pa.RecordBatch.from_arrays([null(kinds[0]), pa.array([rng]), pa.array([len(ids)], kinds[2]), null(kinds[3]), null(kinds[4]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(kinds[5])], schema=arrow)
+        flat = lists.flatten()
+        if not len(flat):
+            return
+        coded = flat.field("term").dictionary_encode()
+        term, tf = coded.indices.to_numpy().astype(np.int64), flat.field("tf").to_numpy().astype(np.int64)
+        n = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(lists)))
+        order = np.argsort(term, kind="stable")
+        term, tf, n = term[order], tf[order], n[order]
+        dl = part.column("dl").to_numpy()[n]
+        at = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        gaps = np.diff(n, prepend=0)
+        gaps[at] = n[at]
+        impact = tf * (RETRIEVAL.k1 + 1) / (tf + FLAT + slope * dl)
+        size = len(at)
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(term[at])), pa.array(np.full(size, rng)), pa.array(np.diff(np.r_[at, len(term)]).astype(np.int32)), pa.array(np.maximum.reduceat(impact, at)), packed_blocks(at, gaps, tf, dl), pa.nulls(size, kinds[5])],
+            schema=arrow,
+        )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        rng, held = TaskContext.get().partitionId() * STRETCHES, None
         for b in _with_end(batches):
-            came = None if b is None else pa.Table.from_batches([b])
-            whole = came if held is None else held if came is None else pa.concat_tables([held, came])
-            if whole is None or not whole.num_rows:
-                continue
-            whole = whole.combine_chunks()
-            term, rng, n, tf, dl = (whole.column(c).to_numpy() for c in ("term", "range", "n", "tf", "dl"))
-            cut = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (rng[1:] != rng[:-1])])
-            ends = np.r_[cut[1:], len(term)]
-            done = len(cut) if b is None else len(cut) - 1  # the last block may go on
-            impact = tf * (RETRIEVAL.k1 + 1) / (tf + FLAT + slope * dl)
-            out = [(term[a], rng[a], z - a, float(impact[a:z].max()), packed(np.diff(n[a:z] - rng[a] * span, prepend=0), tf[a:z], dl[a:z])) for a, z in zip(cut[:done], ends[:done], strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.binary()), strict=True)], names=["term", "range", "n", "top", "data"])
-            held = whole.slice(int(cut[done])) if done < len(cut) else None
-
-    made = ordered.mapInArrow(make, "term string, range long, n int, top double, data binary").withColumn("folder", F.pmod(F.hash("term"), F.lit(folders)))
-    path = f"{shared_dir(spark)}/impacts-{spark.sparkContext.applicationId}-{abs(hash(passages.stored_at))}"
+            if b is not None:
+                came = pa.Table.from_batches([b])
+                held = came if held is None else pa.concat_tables([held, came])
+            while held is not None and held.num_rows >= (span if b is not None else 1):
+                yield from blocks_of(held.slice(0, span), rng)
+                rng, held = rng + 1, held.slice(span)
+
+    folder = F.when(F.col("term").isNull(), F.lit(-1)).otherwise(F.pmod(F.hash("term"), F.lit(folders)))
+    made = ordered.mapInArrow(make, schema).withColumn("folder", folder)
+    path = f"{shared_dir(spark)}/impacts-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     made.repartition("folder", F.pmod(F.col("range"), F.lit(8))).sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(path)
-    table = spark.read.schema("term string, range long, n int, top double, data binary, folder int").parquet(path)
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("folder", T.IntegerType())])).parquet(path)
+    table = every.filter("folder >= 0").select("term", "range", "n", "top", "data", "folder")
+    passages = every.filter("folder = -1").select("range", F.posexplode("ids").alias("at", "id")).select((F.col("range") * span + F.col("at")).alias("n"), "id")
     return Impacts(table, passages, index, span)
 
 

@@ -50,3 +50,22 @@ def test_an_index_is_made_and_read_without_a_shuffle_of_postings(spark):
     best = lexical._best(one, spark.createDataFrame([(1, [("word7", 1, 0, 5)])], "query_id long, terms array<struct<term:string,times:long,pos:int,df:long>>"), 5)
     for plan in (lexical.counted(df), best):
         assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_packed_at_once_are_those_packed_one_by_one():
+    r = np.random.default_rng(3)
+    sizes = [1, 7, 300, 2, 1]
+    at = np.cumsum([0, *sizes[:-1]])
+    gaps, tf, dl = r.integers(0, 1024, sum(sizes)), r.integers(1, 300, sum(sizes)), r.integers(1, 90_000, sum(sizes))
+    tf[-1], dl[0] = 2**40, 255
+    want = [impacts.packed(gaps[a : a + n], tf[a : a + n], dl[a : a + n]) for a, n in zip(at, sizes, strict=True)]
+    assert impacts.packed_blocks(at, gaps, tf, dl).to_pylist() == want
+
+
+def test_build_shuffles_passages_once_and_no_postings(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"word{i % 7} word{i % 11} yam") for i in range(500)] + [(None, "yam")], "doc_id long, text string")
+    index, plans = lexical.build(df), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, f=type(df).mapInArrow, **b: (plans.append(self._jdf.queryExecution().executedPlan().toString()), f(self, *a, **b))[1])
+    made = impacts.build(index, span=16)
+    assert len(plans) == 1 and plans[0].count("Exchange rangepartitioning") == 1 and "Join" not in plans[0] and "Generate" not in plans[0]
+    assert [x["id"] for x in made.passages.orderBy("n").collect()] == list(range(500))
