@@ -75,10 +75,10 @@ def total(hits: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda a, x: a + x["n"])
 
 
-def scored(documents: DataFrame, text: str = "text", groups: dict | None = None, automaton: bool = False) -> DataFrame:
+def scored(documents: DataFrame, text: str = "text", groups: dict | None = None, automaton: bool = True) -> DataFrame:
     """``documents`` with n_words, n_<group>, positive, score, language, english_share, areas, crops, accepted, reason, top_terms.
 
-    ``automaton``: terms are found by ``lexicons`` in one pass of each text, for lexicons of many terms; the rows are the same.
+    Terms are found by ``lexicons`` in one pass of each text; without ``automaton`` each is looked for by itself, and the rows are the same.
     """
     groups = GROUPS if groups is None else groups
     t = F.coalesce(F.col(text), F.lit(""))

@@ -240,18 +240,18 @@ _GUIDE = [
 @query(R.relevance(_passages + " UNION ALL SELECT 'g' || (row_number() OVER ()) AS id, p AS text FROM " + fx.sql_values(_GUIDE, "p"), relevance.GROUPS))
 def relevance_score(spark, d):
     """All documents, and literal ones that meet other decisions."""
-    return _relevance(spark, d, False)
+    return _relevance(spark, d)
 
 
 @query(R.relevance(_passages + " UNION ALL SELECT 'g' || (row_number() OVER ()) AS id, p AS text FROM " + fx.sql_values(_GUIDE, "p"), relevance.GROUPS))
 def relevance_automaton(spark, d):
-    """The same with all terms found by one automaton."""
-    return _relevance(spark, d, True)
+    """The same query by its older name; both find all terms by one automaton."""
+    return _relevance(spark, d)
 
 
-def _relevance(spark, d, automaton: bool):
+def _relevance(spark, d):
     more = fx.frame(spark, [(f"g{i}", p) for i, p in enumerate(_GUIDE, 1)], "id string, text string")
-    found = relevance.scored(passages(spark, d).unionByName(more), automaton=automaton)
+    found = relevance.scored(passages(spark, d).unionByName(more))
     named = F.array_join(F.transform("top_terms", lambda x: F.concat(x["term"], F.lit(":"), x["n"].cast("string"))), ", ")
     return found.select("id", "n_words", "positive", F.round("score", 6).alias("score"), "language", F.array_join("areas", ", ").alias("areas"), F.array_join("crops", ", ").alias("crops"), "accepted", "reason", named.alias("top_terms"))
 

@@ -38,3 +38,12 @@ def test_rows_equal_the_column_function(spark):
     got = {r["id"]: sorted((names[x["id"]], x["n"]) for x in r["hits"]) for r in lexicons.with_hits(low, "low", names).collect()}
     assert got == want
     assert lexicons.with_hits(low, "low", {}).filter("size(hits) > 0").count() == 0
+
+
+def test_documents_are_scored_in_one_pass_of_each_text(spark):
+    df = spark.createDataFrame([(1, "Maize pests in the dry season of Kenya. " * 9), (2, None), (3, "steering committee " * 30)], "id long, text string")
+    found = relevance.scored(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_count" not in plan.lower()  # no term is looked for by itself
+    same = relevance.scored(df, automaton=False).select(*found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, same.collect()))
