@@ -3,18 +3,20 @@
 Near duplicates are found exactly, without a cap: two sets of similarity t or
 more share one of their rarest runs, so only a prefix of each set, rarest
 first, is looked up (prefix filter); what meets is verified. Equal sets are one
-text to begin with, so copies never pair up.
+text to begin with, so copies never pair up. A third of the runs, by hash, tells which sets can
+be similar to any; theirs are shuffled once, and what only one of these holds stays
+behind there, since no two have it in common.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import find_all, let
 from ..session import ship
-from .tables import forget, stored
+from .tables import forget, small, stored
 
 RUN, SIMILAR = 5, 0.75
 
@@ -33,10 +35,10 @@ def exact(documents: DataFrame, order: str = "doc_id", text: str = "text") -> Da
 
 
 def _sets(documents: DataFrame, block: str | None, id: str, text: str) -> DataFrame:
-    """id, block, s, k1, k2 of each document, stored: its runs, and 128 bits of hash that stand for them."""
+    """row, id, block, s, n, k1, k2 of each document, stored: a number of its own, its runs and how many, and 128 bits of hash that stand for them."""
     key = F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")
     each = documents.select(F.col(id).alias("id"), key.alias("block"), shingles(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    return stored(each.withColumns({"k1": F.xxhash64("s"), "k2": F.xxhash64("s", F.lit("k2"))}), "dedup-sets")
+    return stored(each.withColumns({"n": F.size("s"), "k1": F.xxhash64("s"), "k2": F.xxhash64("s", F.lit("k2")), "row": F.monotonically_increasing_id()}), "dedup-sets")
 
 
 def near_pairs(documents: DataFrame, block: str | None = None, similar: float = SIMILAR, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,21 +46,59 @@ def near_pairs(documents: DataFrame, block: str | None = None, similar: float =
     return _pairs(_sets(documents, block, id, text), similar)
 
 
+#: Row numbers that may be broadcast: some 50 MB.
+ROWS = 2_000_000
+
+
+def _of_rows(df: DataFrame, rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``df`` of the stored ``rows``, which are all but ``others``. Runs are not shuffled for it unless both are too many to broadcast."""
+    if others.count() < rows.count():
+        return df.join(small(others, ROWS), "row", "left_anti")
+    return df.join(small(rows, ROWS), "row", "left_semi")
+
+
+def _firsts(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``every`` with the first row of each set, and the numbers of these rows."""
+    full = every.filter((F.col("n") > 0) & F.col("id").isNotNull())
+    firsts = stored(full.groupBy("block", "k1", "k2").agg(F.min(F.struct("id", "row"))["row"].alias("row")).select("row"), "dedup-firsts")
+    return _of_rows(full, firsts, stored(full.select("row").join(firsts, "row", "left_anti"), "dedup-others")), firsts
+
+
+#: Part of a set's runs by which its first ones are more than the prefix filter asks for, so that similar sets share as many of them.
+MORE = 0.1
+
+
+def _in_company(sets: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
+    """``sets`` without those that are similar to none.
+
+    If x and y have c runs in common, then in any order, such as that of the hashes themselves, the first |x| - c + m of x and |y| - c + m of y have m in common.
+    So with m a tenth of a set (the lesser one's is at least ``similar`` times the other's), a set is left out if fewer of its first runs occur in another set's.
+    """
+    more = F.greatest(F.ceil(F.col("n") * MORE - 1e-9), F.lit(1))
+    first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + more).cast("int"))
+    lead = sets.select("row", "block", F.explode(first).alias("h")).select("row", F.xxhash64("block", "h").alias("h"))
+    met = lead.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("df > 1").groupBy("row").agg(F.count(F.lit(1)).alias("met"))
+    need = F.greatest(F.ceil(F.col("n") * (MORE * similar) - 1e-6), F.lit(1))
+    company = stored(met.join(sets.select("row", "n"), "row").filter(F.col("met") >= need).select("row"), "dedup-company")
+    return _of_rows(sets, company, stored(rows.join(company, "row", "left_anti"), "dedup-alone"))
+
+
 def _pairs(every: DataFrame, similar: float) -> DataFrame:
-    firsts = every.filter(F.size("s") > 0).groupBy("block", "k1", "k2").agg(F.min("id").alias("id"))
-    sets = stored(every.join(firsts, ["block", "k1", "k2", "id"]).dropDuplicates(["block", "k1", "k2"]).select("block", "id", "s"), "dedup-firsts")
-    df = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    often = sets.select("block", "id", F.size("s").alias("n"), F.explode("s").alias("h")).join(df, "h")
-    ordered = often.groupBy("block", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("known"))
+    sets = _in_company(*_firsts(every), similar)
+    # Runs are shuffled once, as (run, row); those of one set alone stay behind there, and go on neither to the prefixes nor to the check.
+    df = F.count(F.lit(1)).over(Window.partitionBy("h")).cast("int")
+    often = sets.select("row", F.explode("s").alias("h")).withColumn("df", df).filter("df > 1")
+    ordered = often.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("known")).join(every.select("row", "block", "id", "n"), "row")
     # Runs of one set alone come first in the order; the prefix is what is left of it after them.
     room = F.col("n") - F.ceil(F.col("n") * similar - 1e-9) + 1 - (F.col("n") - F.size("known"))
-    prefix = stored(ordered.select("block", "id", "n", F.explode(F.slice("known", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("k")).select("block", "id", "n", F.col("k.h").alias("h")), "dedup-prefix")
-    a, b = (prefix.select("block", "h", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    meet = a.join(b, ["block", "h"]).filter((F.col("a") < F.col("b")) & (F.col("n_a") >= similar * F.col("n_b")) & (F.col("n_b") >= similar * F.col("n_a"))).select("block", "a", "b").distinct()
-    left, right = (sets.select("block", F.col("id").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
-    both = meet.join(left, ["block", "a"]).join(right, ["block", "b"])
+    known = stored(ordered.withColumn("room", room.cast("int")).filter("room > 0").withColumn("known", F.col("known.h")), "dedup-known")
+    prefix = stored(known.select("block", "id", "row", "n", F.explode(F.slice("known", F.lit(1), F.col("room"))).alias("h")), "dedup-prefix")
+    a, b = (prefix.select("block", "h", F.col("id").alias(x), F.col("row").alias(f"row_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    meet = a.join(b, ["block", "h"]).filter((F.col("a") < F.col("b")) & (F.col("n_a") >= similar * F.col("n_b")) & (F.col("n_b") >= similar * F.col("n_a"))).drop("h").distinct()
+    left, right = (known.select(F.col("row").alias(f"row_{x}"), F.col("known").alias(f"s_{x}")) for x in "ab")
+    both = small(stored(meet, "dedup-meet")).join(left, "row_a").join(right, "row_b")
     common = F.size(F.array_intersect("s_a", "s_b"))
-    scored = both.select("block", "a", "b", (common / (F.size("s_a") + F.size("s_b") - common)).alias("jaccard"))
+    scored = both.select("block", "a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("jaccard"))
     return scored.filter(F.col("jaccard") >= similar - 1e-12)
 
 
@@ -121,7 +161,7 @@ def near_keep(documents: DataFrame, block: str | None = None, similar: float = S
     every = _sets(documents, block, id, text)
     pairs = stored(_pairs(every, similar).select("a", "b"), "dedup-pairs")
     firsts = every.groupBy("block", "k1", "k2").agg(F.min("id").alias("first"))
-    known = every.join(firsts, ["block", "k1", "k2"]).select("id", "first", (F.size("s") == 0).alias("bare"))
+    known = every.join(firsts, ["block", "k1", "k2"]).select("id", "first", (F.col("n") == 0).alias("bare"))
     state = greedy(pairs)
     return known.join(state.withColumnRenamed("id", "first"), "first", "left").select("id", (F.col("bare") | ((F.col("id") == F.col("first")) & F.coalesce("kept", F.lit(True)))).alias("kept"))
 

@@ -264,3 +264,19 @@ def test_answers_flow(spark):
     assert [got[i]["why"] for i in (2, 3, 4)] == ["live price", "regulatory status", "no guidance"] and all(got[i]["answer"] for i in got)
     talk = answer.advise(asked.filter("query_id = 1"), hits, 2026, generate=lambda prompt, sources: F.lit("[1] [2] ")).first()
     assert talk["refused"] and talk["why"] == "citations only"
+
+
+def test_near_pairs_shuffle_runs_of_sets_in_company_only(spark, monkeypatch):
+    from corpusloom.operators import dedup
+
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    alone, twin = [prose(200) for _ in range(40)], prose(200)
+    rows = [*enumerate(alone), *enumerate(alone[:20], 100), (50, twin), (51, twin + " more words"), (52, twin), (53, None), (54, "")]
+    rows += [(200 + i, prose(150) + " a line that very many texts have at their end") for i in range(20)]
+    df, kept = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {}
+    monkeypatch.setattr(dedup, "stored", lambda df, tag, f=dedup.stored: kept.setdefault(tag, f(df, tag)))
+    assert [(x["a"], x["b"]) for x in dedup.near_pairs(df).collect()] == [(50, 51)]
+    assert kept["dedup-company"].count() == 2 and kept["dedup-known"].count() == 2  # neither copies nor sets alone go on
+    plan = kept["dedup-known"].count() and dedup._of_rows(kept["dedup-sets"], kept["dedup-company"], kept["dedup-alone"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan  # sets stay where they are
