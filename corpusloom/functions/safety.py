@@ -13,8 +13,9 @@ RECENT_YEARS, MONEY_WINDOW = 10, 14
 
 
 def _named(text: Column, terms) -> Column:
-    """Terms that stand in the text as words, sorted; one test each, for names may hold others."""
-    return let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(matches(low, r"\b" + t.replace("-", r"\-") + r"\b"), t) for t in sorted(set(terms))))))
+    """Terms that stand in the text as words, sorted; one test each, for names may hold others. What a text does not hold at all is not sought as a word."""
+    word = lambda low, t: F.contains(low, F.lit(t)) & matches(low, r"\b" + t.replace("-", r"\-") + r"\b")
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(word(low, t), t) for t in sorted(set(terms))))))
 
 
 def hazardous(text: Column) -> Column:

@@ -85,19 +85,29 @@ class Best:
     def add(self, ids: np.ndarray, score: np.ndarray, columns: np.ndarray | None = None) -> None:
         """Rows of passages (``ids`` ascending) by columns of queries; ``columns``: which ones, all without."""
         columns = np.arange(score.shape[1]) if columns is None else columns
-        rough = np.round(score, 9)
-        near = (rough >= self.rough[-1, columns]) & np.isfinite(rough)
-        rows, some = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        bar = self.rough[-1, columns] - 1e-9  # what rounding may add
+        near = (score >= bar) & (score < np.inf)
+        full = np.flatnonzero(near.sum(axis=0) > 2 * self.k)
+        if len(full):  # none below the k-th best of these rows themselves
+            those = np.where(near[:, full], score[:, full], -np.inf)
+            near[:, full] &= score[:, full] >= np.partition(those, len(ids) - self.k, axis=0)[len(ids) - self.k] - 2e-9
+        rows, cols = np.nonzero(near)
+        real = np.isfinite(score[rows, cols])
+        rows, cols = rows[real], cols[real]
         if not len(rows):
             return
-        rough, score, ids, columns = rough[np.ix_(rows, some)], score[np.ix_(rows, some)], ids[rows], columns[some]
-        order = np.argsort(-rough, axis=0, kind="stable")[: self.k]
-        id_ = np.concatenate([self.id[:, columns], ids[order]])
-        rough = np.concatenate([self.rough[:, columns], np.take_along_axis(rough, order, axis=0)])
-        score = np.concatenate([self.score[:, columns], np.take_along_axis(score, order, axis=0)])
-        order = np.lexsort((ordered(id_), -rough), axis=0)[: self.k]
+        some, at = np.unique(cols, return_inverse=True)
+        mine = columns[some]
+        flat = lambda held: held[:, mine].T.reshape(-1)
+        id_ = np.concatenate([flat(self.id), ids[rows]])
+        score = np.concatenate([flat(self.score), score[rows, cols]])
+        rough = np.concatenate([flat(self.rough), np.round(score[len(mine) * self.k :], 9)])
+        column = np.concatenate([np.repeat(np.arange(len(some)), self.k), at])
+        order = np.lexsort((ordered(id_), -rough, column))
+        first = np.searchsorted(column[order], np.arange(len(some)))
+        order = order[first[:, None] + np.arange(self.k)]  # each column has the k that it held and more
         for held, new in ((self.id, id_), (self.rough, rough), (self.score, score)):
-            held[:, columns] = np.take_along_axis(new, order, axis=0)
+            held[:, mine] = new[order].T
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:

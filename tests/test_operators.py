@@ -280,3 +280,40 @@ def test_near_pairs_shuffle_runs_of_sets_in_company_only(spark, monkeypatch):
     assert kept["dedup-company"].count() == 2 and kept["dedup-known"].count() == 2  # neither copies nor sets alone go on
     plan = kept["dedup-known"].count() and dedup._of_rows(kept["dedup-sets"], kept["dedup-company"], kept["dedup-alone"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan  # sets stay where they are
+
+
+def test_search_of_frequent_and_rare_terms_in_parts(spark, monkeypatch):
+    """Products of few columns, sums of few pairs and blocks of few queries give what brute force gives, ties by the first term's place, then by id."""
+    import math
+    from collections import Counter
+
+    r = random.Random(11)
+    words_ = [f"w{i}x" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = {i: r.choices(words_, weights, k=r.randrange(0, 30)) for i in range(300)}
+    asks = {q: r.choices(words_, weights, k=r.randrange(1, 12)) for q in range(23)} | {23: ["w59x"], 24: ["absent"]}
+    for name, value in (("QUERIES", 10), ("PASSAGES", 70), ("OFTEN", 0.05), ("COLUMNS", 3), ("PAIRS", 50)):
+        monkeypatch.setattr(lexical, name, value)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string").repartition(3)
+    got = lexical.search(df, spark.createDataFrame([(q, " ".join(t)) for q, t in asks.items()], "query_id long, text string"), 7).collect()
+    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+    df_ = Counter(t for d in docs.values() for t in set(d))
+    want = []
+    for q, terms_ in asks.items():
+        found = []
+        for i, d in docs.items():
+            if both := set(terms_) & set(d):
+                tf, times = Counter(d), Counter(terms_)
+                s = sum(times[t] * math.log(1 + (n - df_[t] + 0.5) / (df_[t] + 0.5)) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in both)
+                found.append((-round(s, 9), min(terms_.index(t) for t in both), i))
+        want += [(q, rank, i) for rank, (_, _, i) in enumerate(sorted(found)[:7], 1)]
+    assert sorted((x["query_id"], x["rank"], x["id"]) for x in got) == sorted(want)
+
+
+def test_names_absent_from_a_text_are_not_sought_as_words(spark):
+    from corpusloom.functions import safety
+
+    df = spark.createDataFrame([("Use DDT, not addtion; Methyl-Parathion too.",), ("addtions",), (None,)], "a string")
+    assert [r["h"] for r in df.select(safety.hazardous(F.col("a")).alias("h")).collect()] == [["ddt", "parathion"], [], []]
+    plan = df.select(safety.hazardous(F.col("a")).alias("h"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") >= 3
