@@ -120,3 +120,80 @@ def test_pieces_that_came_together_are_looked_at_once(monkeypatch):
             g.put(i, piece, i == len(cut(text)) - 1)
         looks.clear()
         assert g.drained() == whole(text) and len(looks) <= 2 and g.state == "done" and g.taken == len(cut(text))
+
+
+class Handle:
+    """State of one answer that counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = [], None, {}, set()
+
+    def getValueState(self, *_):
+        return self._named(get=lambda: self.value, update=lambda v: setattr(self, "value", v), clear=lambda: setattr(self, "value", None))
+
+    def getMapState(self, *_):
+        return self._named(iterator=lambda: iter(list(self.map.items())), updateValue=lambda k, v: self.map.__setitem__(k, v), removeKey=lambda k: self.map.pop(k), clear=self.map.clear)
+
+    def _named(self, **functions):
+        return type("State", (), {n: staticmethod(lambda *a, n=n, f=f: (self.calls.append(n), f(*a))[1]) for n, f in functions.items()})
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+
+def tokens_in(*lines):
+    return list(answers._packed(iter([tokens.tokens_of([x.strip().encode() for x in lines], "a")])))[0]
+
+
+def rows_of(batch):
+    from pyspark.sql import Row
+
+    return [Row(**r) for r in batch.to_pylist()]
+
+
+def test_an_answer_costs_few_calls_of_its_state():
+    text = TEXTS["a1"]
+    pieces = cut(text)
+    lines = [line("a1", i, p, i == len(pieces) - 1, 500 + 40 * i) for i, p in enumerate(pieces)]
+    h, processor = Handle(), answers.Answers(1, 30_000, True)
+    processor.init(h)
+    got = list(processor.handleInputRows(("a1",), iter(rows_of(tokens_in(*lines))), None))
+    assert [(r.text, r.state, r.tokens, r.first_ms) for r in got] == [(whole(text), "done", len(pieces), 500)] and h.calls == ["get", "register", "update"]
+    h.calls.clear()
+    assert list(processor.handleInputRows(("a1",), iter(rows_of(tokens_in(*lines))), None)) == [] and h.calls == ["get"]  # repeats of an ended one
+    assert list(processor.handleExpiredTimer(("a1",), None, None)) == [] and h.calls == ["get", "get", "clear"]
+    h = Handle()
+    processor.init(h)
+    parts = [lines[4:], lines[1:3], lines[:1] + lines[3:4]]  # later pieces first: they wait in the map, and one timer stands at any time
+    said_ = [r for part in parts for r in processor.handleInputRows(("a1",), iter(rows_of(tokens_in(*part))), None)]
+    assert "".join(r.text for r in said_) == whole(text) and said_[-1].tokens == len(pieces) and not h.map and len(h.timers) == 1
+
+
+def test_tokens_of_a_batch_are_one_row_an_answer():
+    some = [line(a, i, f"{a}{i}", i == 5, i) for i in range(6) for a in ("x", "y")]
+    random.Random(4).shuffle(some)
+    bare = json.dumps({"answer_id": "z", "seq": 0, "piece": None, "is_last": None, "sources": None, "asked": None, "ts": None})
+    got = {r.answer_id: r for r in rows_of(tokens_in(*some, bare, line("n", 1, "b", False, 7, sources=" ,"), line("n", 0, "a", False, 8)))}
+    assert set(got) == {"x", "y", "z", "n"} and got["x"].piece == [f"x{i}" for i in range(6)] and got["y"].seq == list(range(6)) and got["x"].last == [False] * 5 + [True]
+    assert got["n"].sources == "Apply 20 kg per ha." and got["n"].ts == ZERO + timedelta(milliseconds=8) and got["n"].ms == [int(ZERO.timestamp() * 1000) + 8, int(ZERO.timestamp() * 1000) + 7]
+    assert (got["z"].ts, got["z"].asked, got["z"].sources, got["z"].piece, got["z"].ms, got["z"].attempt, got["z"].last) == (None, None, None, [None], [None], [0], [False])
+
+
+def test_lines_are_read_alike_by_arrow_and_by_line():
+    odd = [
+        line("é", 0, 'a "quoted" \\ piece ', True, 5), line("b", 1, "", False, 6, attempt=None), '{"answer_id": "c", "seq": 2, "other": [1, {"x": 2}], "ts": "2024-01-01T01:00:00.123456+01:00"}', "{}",
+        '{"answer_id": "d", "ts": "2024-01-01T00:00:00"}', '{"answer_id": "d", "ts": "2024-01-01"}', '{"answer_id": "e", "is_last": 1}', '{"answer_id": "a", "answer_id": "f"}', ' {"answer_id": "g"} ',
+    ]
+    for few in ([odd[i]] for i in range(len(odd))):
+        raw = [x.strip("\n").encode() for x in few]
+        assert tokens.tokens_of(raw, "a").to_pylist() == tokens._batch([tokens.parsed(x, "a") for x in raw]).to_pylist(), few
+    together = [x.strip("\n").encode() for x in odd]
+    assert tokens.tokens_of(together, "a").to_pylist() == tokens._batch([tokens.parsed(x, "a") for x in together]).to_pylist()
+    for wrong in (b"[1]", b"{} {}", b'{"answer_id": "a"', b'{"piece": "\xff"}', b"null", b"{} null {}", b"{}\nnull"):
+        with pytest.raises(ValueError, match="no token"):
+            tokens.tokens_of([wrong], "log")
