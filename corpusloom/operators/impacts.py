@@ -31,11 +31,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import RETRIEVAL
 from ..session import ship
-from .lexical import QUERIES, Index, query_terms
+from .lexical import Index, query_terms
 from .tables import blocks as cut_blocks
 from .tables import shared_dir, small, stored
 
 SPAN, FIRST, FOLDERS = 1024, 4, 64
+#: Queries of one block.
+QUERIES = 1024
 #: Ranges of one task at most.
 STRETCHES = 1 << 30
 FLAT = RETRIEVAL.k1 * (1 - RETRIEVAL.b)
